@@ -33,6 +33,7 @@ from modelshift.operators.rules import (
     Rule,
     check_contract,
 )
+from modelshift.session import new_folder
 
 KINDS = ("table", "document", "vertex", "edge", "wide_column")
 # The kind an entity has in each model.
@@ -211,6 +212,16 @@ class Dataset:
             )
         return self.put({entity: rest, as_: new}, contract, **{as_: "table"})
 
+    def join_parts(self, entity: str, part_column: str) -> Dataset:
+        """Once its arrays are moved out, a spread-out document is its part 0 alone."""
+        df = self[entity].where(P.column(part_column) == 0).drop(part_column)
+        contract = self.contract
+        for key in contract.of(entity, Key):
+            if part_column in key.columns:
+                rest = tuple(c for c in key.columns if c != part_column)
+                contract = contract.remove(key).add(replace(key, columns=rest))
+        return self.put({entity: df}, contract)
+
     def flatten(self, path: str) -> Dataset:
         entity, full = self.locate(path)
         try:
@@ -677,6 +688,20 @@ class Dataset:
         new = [replace(r, cardinality=cardinality) for r in old]
         return replace(self, contract=self.contract.remove(*old).add(*new))
 
+    def store(self, *entities: str) -> Dataset:
+        """Write entities to the shared folder and go on from the written tables.
+
+        For results that several later entities are made from: they are then computed once,
+        read with only the columns each use needs, and survive lost executors.
+        """
+        changes = {}
+        for e in entities or tuple(self.frames):
+            df = self[e]
+            path = f"{new_folder(df.sparkSession, 'store')}/{e}"
+            df.write.parquet(path)
+            changes[e] = df.sparkSession.read.schema(df.schema).parquet(path)
+        return self.put(changes)
+
     def check(self) -> DataFrame:
         """Every rule, measured on the data."""
         return check_contract(self.frames, self.contract)

@@ -104,6 +104,10 @@ def resolve(schema: T.StructType, name: str) -> str:
     raise KeyError(f"{name!r} is ambiguous: {hits}" if hits else f"no field {name!r}")
 
 
+def _each(col: Column, field: str) -> Column:
+    return F.transform(col, lambda x: x.getField(field))
+
+
 def value(schema: T.StructType, path: str) -> Column:
     """The value at a path; below arrays, the flat array of all its values."""
     parts = parts_of(path)
@@ -112,7 +116,7 @@ def value(schema: T.StructType, path: str) -> Column:
         if isinstance(dtype, T.ArrayType):
             inner = element_of(dtype)
             assert isinstance(inner, T.StructType)
-            col = F.transform(col, lambda x, p=part: x.getField(p))
+            col = _each(col, part)
             dtype = T.ArrayType(inner[part].dataType)
             while isinstance(dtype.elementType, T.ArrayType):
                 col, dtype = F.flatten(col), dtype.elementType

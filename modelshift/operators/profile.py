@@ -54,41 +54,58 @@ def discover_keys(
 ) -> DataFrame:
     """The smallest column sets that identify a row: no nulls, no copies.
 
-    Sets are tried by size, and a set that contains a found key is passed over. Distinct
-    counts are first approximated for all sets of a size in one scan; only those near the
-    row count are confirmed, exactly, one shuffle of the set's columns each.
+    The distinct counts of all sets are first approximated in one scan. Only sets near the
+    row count that contain no smaller key are then confirmed, exactly, one shuffle of the
+    set's columns each, all sets of a size in one job.
     """
     cols = columns or [f.name for f in df.schema.fields if _keyable(f.dataType)]
-    n_rows = df.count()
+    sets = [s for size in range(1, max_size + 1) for s in combinations(cols, size)]
+    n_rows, near = _near_unique(df, sets)
     found: list[tuple[str, ...]] = []
     for size in range(1, max_size + 1):
-        sets = [s for s in combinations(cols, size) if not any(set(k) <= set(s) for k in found)]
-        for near in _near_unique(df, sets, n_rows):
-            got = check_key(df, list(near)).first()
-            if got.n_keys == got.n_rows:
-                found.append(near)
+        todo = [s for s in near if len(s) == size and not any(set(k) < set(s) for k in found)]
+        checks = [
+            check_key(df, list(s)).select(F.lit(i).alias("i"), "n_keys", "n_rows")
+            for i, s in enumerate(todo)
+        ]
+        if not checks:
+            continue
+        union = checks[0]
+        for c in checks[1:]:
+            union = union.unionByName(c)
+        exact = union.where("n_keys = n_rows").select("i").collect()
+        found += [todo[i] for i in sorted(r.i for r in exact)]
     return df.sparkSession.createDataFrame(
         [(entity, ",".join(k), len(k), n_rows) for k in found],
         "entity string, key string, size int, n_rows bigint",
     )
 
 
+#: Relative error of the approximate counts, and how many column sets share a scan.
+APPROX_ERROR = 0.02
+SETS_PER_SCAN = 64
+
+
 def _near_unique(
-    df: DataFrame, sets: list[tuple[str, ...]], n_rows: int
-) -> list[tuple[str, ...]]:
-    """Sets whose approximate distinct count is within five errors of the row count."""
-    error = 0.02
+    df: DataFrame, sets: list[tuple[str, ...]]
+) -> tuple[int, list[tuple[str, ...]]]:
+    """The row count, and the sets whose approximate distinct count is within five errors of it."""
     near: list[tuple[str, ...]] = []
-    for start in range(0, len(sets), 64):
-        some = sets[start : start + 64]
+    n_rows = 0
+    for start in range(0, len(sets), SETS_PER_SCAN):
+        some = sets[start : start + SETS_PER_SCAN]
         got = df.agg(
+            F.count("*").alias("n"),
             *[
-                F.approx_count_distinct(F.xxhash64(*[P.column(c) for c in s]), error).alias(f"d{i}")
+                F.approx_count_distinct(
+                    F.xxhash64(*[P.column(c) for c in s]), APPROX_ERROR
+                ).alias(f"d{i}")
                 for i, s in enumerate(some)
-            ]
+            ],
         ).first()
-        near += [s for i, s in enumerate(some) if got[i] >= n_rows * (1 - 5 * error)]
-    return near
+        n_rows = got.n
+        near += [s for i, s in enumerate(some) if got[f"d{i}"] >= n_rows * (1 - 5 * APPROX_ERROR)]
+    return n_rows, near
 
 
 #: Columns compared in one pass of the reference search: the bits of a bigint.
@@ -152,18 +169,22 @@ def _included(
             F.count_if(mine).alias(f"n{i}"),
         ]
     names = [f"{e}.{c}" for e, c in members]
-    found = [
-        F.struct(
-            F.lit(names[i]).alias("child"),
-            F.lit(names[j]).alias("parent"),
-            F.col(f"n{i}").alias("n_values"),
-            (F.col(f"m{i}").bitwiseAND(F.lit(1 << j).cast("bigint")) != 0).alias("holds"),
-        )
-        for i in range(len(members))
-        for j in range(len(members))
-        if i != j
+    kids = [
+        F.struct(F.lit(n).alias("child"), F.col(f"m{i}").alias("m"), F.col(f"n{i}").alias("n_values"))
+        for i, n in enumerate(names)
     ]
-    return masks.agg(*aggs).select(F.inline(F.array(*found))).where("holds").drop("holds")
+    # One row per column, each met by the list of column names: as many rows as name pairs.
+    folks = F.array(
+        *[F.struct(F.lit(n).alias("parent"), F.lit(1 << j).cast("bigint").alias("bit"))
+          for j, n in enumerate(names)]
+    )
+    return (
+        masks.agg(*aggs)
+        .select(F.inline(F.array(*kids)))
+        .select("child", "m", "n_values", F.inline(folks))
+        .where((F.col("m").bitwiseAND(F.col("bit")) != 0) & (F.col("child") != F.col("parent")))
+        .select("child", "parent", "n_values")
+    )
 
 
 def nested_paths(df: DataFrame, entity: str) -> DataFrame:

@@ -63,6 +63,10 @@ def cast_property(df: DataFrame, path: str, dtype: str | T.DataType) -> DataFram
     return P.edit_object(df, parent, edit)
 
 
+def _uncastable(values: Column, to: T.DataType) -> Column:
+    return F.filter(values, lambda x: x.isNotNull() & x.try_cast(to).isNull())
+
+
 def cast_losses(df: DataFrame, casts: dict[str, str | T.DataType]) -> DataFrame:
     """For each cast: values present, and values the new type cannot hold. One scan."""
     aggs = []
@@ -71,9 +75,7 @@ def cast_losses(df: DataFrame, casts: dict[str, str | T.DataType]) -> DataFrame:
         old, to = P.value(df.schema, full), spark_type(dtype)
         if P.arrays_above(df.schema, full):
             here = F.size(F.filter(old, lambda x: x.isNotNull()))
-            lost = F.size(
-                F.filter(old, lambda x, to=to: x.isNotNull() & x.try_cast(to).isNull())
-            )
+            lost = F.size(_uncastable(old, to))
         else:
             here = old.isNotNull().cast("int")
             lost = (old.isNotNull() & old.try_cast(to).isNull()).cast("int")
