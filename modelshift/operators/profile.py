@@ -81,7 +81,8 @@ def discover_keys(
     )
 
 
-#: Relative error of the approximate counts, and how many column sets share a scan.
+#: Size of a distinct-count sketch, its relative error, and how many sets share a scan.
+SKETCH_BITS = 12
 APPROX_ERROR = 0.02
 SETS_PER_SCAN = 64
 
@@ -97,8 +98,8 @@ def _near_unique(
         got = df.agg(
             F.count("*").alias("n"),
             *[
-                F.approx_count_distinct(
-                    F.xxhash64(*[P.column(c) for c in s]), APPROX_ERROR
+                F.hll_sketch_estimate(
+                    F.hll_sketch_agg(F.xxhash64(*[P.column(c) for c in s]), F.lit(SKETCH_BITS))
                 ).alias(f"d{i}")
                 for i, s in enumerate(some)
             ],
