@@ -22,6 +22,7 @@ from modelshift.functions.types import conform, spark_type
 from modelshift.operators import graph as G
 from modelshift.operators import properties as pr
 from modelshift.operators import structural as st
+from modelshift.operators.grouping import DuplicateKey, duplicate_groups
 from modelshift.operators.rules import (
     IDENTIFYING,
     Check,
@@ -66,6 +67,8 @@ class Dataset:
     contract: Contract = Contract()
     kinds: Mapping[str, str] = field(default_factory=dict)
     ends: Mapping[str, Ends] = field(default_factory=dict)
+    #: Keys known to be unique, by a look at the data or by how the rows were made.
+    proved: frozenset[tuple[str, tuple[str, ...]]] = frozenset()
 
     def __post_init__(self) -> None:
         kinds = {n: self.kinds.get(n, "table") for n in self.frames}
@@ -84,21 +87,65 @@ class Dataset:
     # --- helpers --------------------------------------------------------------------
 
     def put(
-        self, changes: Mapping[str, DataFrame], contract: Contract | None = None, **kinds: str
+        self,
+        changes: Mapping[str, DataFrame],
+        contract: Contract | None = None,
+        same_rows: bool = False,
+        **kinds: str,
     ) -> Dataset:
+        """New frames for some entities. Proved keys of a changed entity last only if no row
+        of it was added or multiplied and the key columns are still there."""
+        proved = frozenset(
+            (e, cols)
+            for e, cols in self.proved
+            if e not in changes or (same_rows and all(c in changes[e].columns for c in cols))
+        )
         return replace(
             self,
             frames={**self.frames, **changes},
             contract=self.contract if contract is None else contract,
             kinds={**self.kinds, **kinds},
+            proved=proved,
         )
 
+    def _prove(self, *keys: tuple[str, tuple[str, ...]]) -> Dataset:
+        return replace(self, proved=self.proved | set(keys))
+
+    def is_proved(self, entity: str, columns: Iterable[str]) -> bool:
+        """Whether some known key of the entity lies within these columns."""
+        have = set(columns)
+        return any(e == entity and set(cols) <= have for e, cols in self.proved)
+
+    def prove_keys(self, *entities: str) -> Dataset:
+        """Look for copies of the entities' keys, all in one job, and raise if there are any.
+
+        Done on the source tables this reads the key columns alone, and the nesting steps
+        that follow need not look again.
+        """
+        keys = [(e, self.contract.key_columns(e)) for e in entities or self.frames]
+        keys = [(e, k) for e, k in keys if k and not self.is_proved(e, k)]
+        repeats = [
+            duplicate_groups(self[e], list(k)).agg(F.count("*").alias("n")).select(
+                F.lit(i).alias("i"), "n")
+            for i, (e, k) in enumerate(keys)
+        ]
+        if not repeats:
+            return self
+        union = repeats[0]
+        for one in repeats[1:]:
+            union = union.unionByName(one)
+        wrong = [keys[r.i] for r in union.where("n > 0").collect()]
+        if wrong:
+            raise DuplicateKey("; ".join(f"{e}({', '.join(k)}) repeats" for e, k in wrong))
+        return self._prove(*keys)
+
     def _without(self, *names: str) -> Dataset:
         return replace(
             self,
             frames={n: f for n, f in self.frames.items() if n not in names},
             kinds={n: k for n, k in self.kinds.items() if n not in names},
             ends={n: e for n, e in self.ends.items() if n not in names},
+            proved=frozenset(p for p in self.proved if p[0] not in names),
         )
 
     def locate(self, path: str) -> tuple[str, str]:
@@ -165,12 +212,13 @@ class Dataset:
                         replace(key, columns=(*key.columns, part_column))
                     )
         else:
-            out = st.nest_one(dst, src, on, alias, fields)
+            known = self.is_proved(source, on.values())
+            out = st.nest_one(dst, src, on, alias, fields, check=not known)
             need = bool(to_source) and all(r.required for r in to_source)
             for path in on:
                 contract = contract.without_column(target, path)
             contract = contract.add(Embedded(target, alias, "1..1" if need else "0..1"))
-        ds = self.put({target: out}, contract)
+        ds = self.put({target: out}, contract, same_rows=not (many and part_column))
         return ds.delete_entity(source) if drop_source else ds
 
     def unnest(
@@ -210,7 +258,10 @@ class Dataset:
             contract = contract.add(
                 Reference(as_, tuple(carried[c] for c in parent_key), entity, tuple(parent_key))
             )
-        return self.put({entity: rest, as_: new}, contract, **{as_: "table"})
+        ds = self.put({entity: rest}, contract, same_rows=True).put(
+            {as_: new}, **{as_: "table"})
+        # A key over everything that tells distinct rows apart is unique by construction.
+        return ds._prove((as_, (key,))) if key and distinct and not key_from and not carry else ds
 
     def join_parts(self, entity: str, part_column: str) -> Dataset:
         """Once its arrays are moved out, a spread-out document is its part 0 alone."""
@@ -228,7 +279,8 @@ class Dataset:
             out = st.flatten(self[entity], full)
         except KeyError as e:
             raise Skip(str(e)) from None
-        return self.put({entity: out}, self.contract.without_column(entity, full))
+        return self.put(
+            {entity: out}, self.contract.without_column(entity, full), same_rows=True)
 
     def unflatten(
         self, entity: str, fields: list[str] | dict[str, str], name: str, *, null_if_empty: bool = False
@@ -240,7 +292,7 @@ class Dataset:
             )
         except KeyError as e:
             raise Skip(str(e)) from None
-        return self.put({entity: out})
+        return self.put({entity: out}, same_rows=True)
 
     def unwind(self, path: str, *, keep_empty: bool = False) -> Dataset:
         entity, full = self.locate(path)
@@ -269,7 +321,10 @@ class Dataset:
         """MERGE: by key columns, or without any a union; the first entity's key wins."""
         self._not_edge(first, second)
         a, b = self[first], self[second]
-        out = st.merge_join(a, b, on) if on else st.merge_union(a, b)
+        one = "first" if on and self.is_proved(first, on) else None
+        if on and not one and self.is_proved(second, on):
+            one = "second"
+        out = st.merge_join(a, b, on, one=one) if on else st.merge_union(a, b)
         contract = self.contract
         rules = [replace(r, entity=into) for r in contract.of(first)]
         has_key = any(isinstance(r, Key) and r.kind in IDENTIFYING for r in rules)
@@ -311,7 +366,15 @@ class Dataset:
         ds = self if source in parts else self._without(source)
         if source not in parts:
             contract = contract.without_entity(source)
-        return ds.put(pieces, contract, **{n: kind for n in pieces})
+        ds = ds.put(pieces, contract, **{n: kind for n in pieces})
+        # Every part has the source's rows, or fewer.
+        return ds._prove(*[
+            (n, cols)
+            for e, cols in self.proved
+            if e == source
+            for n, piece in pieces.items()
+            if set(cols) <= set(piece.columns)
+        ])
 
     def transform_to_relationship(
         self,
@@ -352,7 +415,7 @@ class Dataset:
         except KeyError as e:
             raise Skip(str(e)) from None
         rules = [Existence(entity, full)] if not_null else []
-        return self.put({entity: out}, self.contract.add(*rules))
+        return self.put({entity: out}, self.contract.add(*rules), same_rows=True)
 
     def delete_property(self, path: str) -> Dataset:
         """DELETE_PROPERTY: with the keys, references and checks that use it."""
@@ -360,6 +423,7 @@ class Dataset:
         return self.put(
             {entity: pr.delete_property(self[entity], full)},
             self.contract.without_column(entity, full),
+            same_rows=True,
         )
 
     def rename_property(self, path: str, new: str) -> Dataset:
@@ -370,7 +434,11 @@ class Dataset:
         except KeyError as e:
             raise Skip(str(e)) from None
         to = f"{parent}.{new}" if parent else new
-        return self.put({entity: out}, self.contract.renamed_column(entity, full, to))
+        known = [
+            tuple(to if c == full else c for c in cols) for e, cols in self.proved if e == entity
+        ]
+        ds = self.put({entity: out}, self.contract.renamed_column(entity, full, to))
+        return ds._prove(*[(entity, cols) for cols in known])
 
     def copy_property(
         self, source: str, to: str, on: dict[str, str], *, agg: str | None = None
@@ -380,7 +448,7 @@ class Dataset:
         out = pr.copy_property(
             self[t_entity], self[s_entity], s_path, on, t_path, agg=agg
         )
-        return self.put({t_entity: out})
+        return self.put({t_entity: out}, same_rows=True)
 
     def move_property(
         self, source: str, to: str, on: dict[str, str], *, agg: str | None = None
@@ -397,7 +465,8 @@ class Dataset:
         entity, full = self._place(path)
         many = cardinality.endswith("n")
         out = pr.add_embedded(self[entity], full, structure, many=many)
-        return self.put({entity: out}, self.contract.add(Embedded(entity, full, cardinality)))
+        return self.put(
+            {entity: out}, self.contract.add(Embedded(entity, full, cardinality)), same_rows=True)
 
     def delete_embedded(self, path: str) -> Dataset:
         entity, full = self.locate(path)
@@ -405,7 +474,8 @@ class Dataset:
             out = pr.delete_embedded(self[entity], full)
         except KeyError as e:
             raise Skip(str(e)) from None
-        return self.put({entity: out}, self.contract.without_column(entity, full))
+        return self.put(
+            {entity: out}, self.contract.without_column(entity, full), same_rows=True)
 
     # --- entities -------------------------------------------------------------------
 
@@ -434,7 +504,8 @@ class Dataset:
             some = next(iter(self.frames.values()))
             frame = some.sparkSession.createDataFrame([], schema)
         contract = self.contract.add(Key(name, tuple(key))) if key else self.contract
-        return self.put({name: frame}, contract, **{name: "table"})
+        ds = self.put({name: frame}, contract, **{name: "table"})
+        return ds._prove((name, tuple(frame.columns)))
 
     def add_edge(
         self,
@@ -463,7 +534,11 @@ class Dataset:
             for c in reference:
                 ds = ds.delete_property(f"{holder}.{c}")
         contract = ds.contract.add(*self._end_rules(name, Ends(source, target)))
+        known = self.is_proved(holder, key)
         ds = ds.put({name: edges}, contract, **{name: "edge"})
+        if known:
+            # One edge per row of the holder.
+            ds = ds._prove((name, ("dst" if from_parent else "src",)))
         return replace(ds, ends={**ds.ends, name: Ends(source, target)})
 
     def edge_to_reference(self, edge: str, holder: str, column: str) -> Dataset:
@@ -473,12 +548,14 @@ class Dataset:
         ends = self.ends[edge]
         from_parent = holder == ends.target and ends.source != ends.target
         parent = ends.source if from_parent else ends.target
-        out = G.edges_to_reference(self[holder], self[edge], column, from_parent=from_parent)
+        known = self.is_proved(edge, ["dst" if from_parent else "src"])
+        out = G.edges_to_reference(
+            self[holder], self[edge], column, from_parent=from_parent, check=not known)
         key = list(self.contract.key_columns(parent))
         rules = [Reference(holder, (column,), parent, tuple(key), "0..1")] if len(key) == 1 else []
         ds = self._without(edge)
         contract = self.contract.without_entity(edge).add(*rules)
-        return ds.put({holder: out}, contract)
+        return ds.put({holder: out}, contract, same_rows=True)
 
     def _end_rules(self, name: str, ends: Ends) -> list[Rule]:
         rules: list[Rule] = []
@@ -511,7 +588,7 @@ class Dataset:
                     edges = G.without_dangling(edges, kept, col, key)
             if entity in ends:
                 changes[name] = edges
-        return self.put(changes)
+        return self.put(changes, same_rows=True)
 
     def rename_entity(self, old: str, new: str) -> Dataset:
         """RENAME_ENTITY: references, edge ends and vertex labels follow."""
@@ -525,8 +602,10 @@ class Dataset:
             (new if n == old else n): Ends(*(new if x == old else x for x in e))
             for n, e in self.ends.items()
         }
+        known = [(new, cols) for e, cols in self.proved if e == old]
         ds = replace(self._without(old), ends=ends)
-        return ds.put({new: frame}, self.contract.renamed_entity(old, new), **{new: kind})
+        ds = ds.put({new: frame}, self.contract.renamed_entity(old, new), **{new: kind})
+        return ds._prove(*known)
 
     def copy_entity(
         self, source: str, as_: str, ends: tuple[str, str] | None = None
@@ -558,17 +637,20 @@ class Dataset:
             if not key:
                 raise Skip(f"{entity!r} has no key")
             df = G.to_vertices(df, key, entity)
-        return self.put({entity: df}, **{entity: KIND_OF_MODEL[model]})
+        ds = self.put({entity: df}, same_rows=True, **{entity: KIND_OF_MODEL[model]})
+        if model == "graph" and ds.is_proved(entity, self.contract.key_columns(entity)):
+            ds = ds._prove((entity, ("id",)))
+        return ds
 
     def add_label(self, entity: str, label: str, where: Column | None = None) -> Dataset:
         if self.kinds.get(entity) != "vertex":
             raise Skip(f"{entity!r} is not a vertex entity")
-        return self.put({entity: G.add_label(self[entity], label, where)})
+        return self.put({entity: G.add_label(self[entity], label, where)}, same_rows=True)
 
     def delete_label(self, entity: str, label: str, where: Column | None = None) -> Dataset:
         if self.kinds.get(entity) != "vertex":
             raise Skip(f"{entity!r} is not a vertex entity")
-        return self.put({entity: G.delete_label(self[entity], label, where)})
+        return self.put({entity: G.delete_label(self[entity], label, where)}, same_rows=True)
 
     # --- keys and constraints -------------------------------------------------------
 
@@ -700,7 +782,7 @@ class Dataset:
             path = f"{new_folder(df.sparkSession, 'store')}/{e}"
             df.write.parquet(path)
             changes[e] = df.sparkSession.read.schema(df.schema).parquet(path)
-        return self.put(changes)
+        return self.put(changes, same_rows=True)
 
     def check(self) -> DataFrame:
         """Every rule, measured on the data."""

@@ -42,11 +42,17 @@ def edges_from_reference(
 
 
 def edges_to_reference(
-    vertices: DataFrame, edges: DataFrame, name: str, *, from_parent: bool = False
+    vertices: DataFrame,
+    edges: DataFrame,
+    name: str,
+    *,
+    from_parent: bool = False,
+    check: bool = True,
 ) -> DataFrame:
     """The reverse: the one edge at each vertex becomes its reference column ``name``."""
     mine, other = ("dst", "src") if from_parent else ("src", "dst")
-    require_unique(edges, [mine], f"edges into {name}")
+    if check:
+        require_unique(edges, [mine], f"edges into {name}")
     ends = edges.select(P.column(mine).alias("_mine"), P.column(other).alias("_other"))
     joined = vertices.join(ends, vertices["id"] == F.col("_mine"), "left")
     return joined.select(

@@ -390,20 +390,25 @@ def wind_group(
 
 # --- MERGE / SPLIT ------------------------------------------------------------------
 
-def merge_join(first: DataFrame, second: DataFrame, on: list[str]) -> DataFrame:
+def merge_join(
+    first: DataFrame, second: DataFrame, on: list[str], *, one: str | None = None
+) -> DataFrame:
     """One entity out of two that share key columns; no row of either is lost.
 
     Values of ``first`` win and ``second`` fills the gaps. One side may hold a key many
     times (its rows all survive), but not both. The rows of that side are joined with a
     left join, whose skewed keys Spark can split, and the other side's unmatched rows are
-    added, rather than a full outer join, which cannot be split.
+    added, rather than a full outer join, which cannot be split. ``one`` ("first" or
+    "second") names a side known to have unique keys and saves the look at them.
     """
-    try:
-        require_unique(first, on, "merge")
-        one, many = first, second
-    except DuplicateKey:
-        require_unique(second, on, "merge")
-        one, many = second, first
+    if one is None:
+        try:
+            require_unique(first, on, "merge")
+            one = "first"
+        except DuplicateKey:
+            require_unique(second, on, "merge")
+            one = "second"
+    one, many = (first, second) if one == "first" else (second, first)
     names = first.columns + [n for n in second.columns if n not in first.columns]
     many_wins = many is first
     other = one.select(*[P.column(n).alias(f"_o_{n}") for n in one.columns])

@@ -14,6 +14,7 @@ from modelshift.dataset import Dataset, Step, run_steps, step
 from modelshift.functions import paths as P
 from modelshift.functions.keys import natural_key
 from modelshift.operators.rules import Contract, Key, Reference
+from modelshift.plans.registry import read
 from modelshift.session import new_folder
 from modelshift.sources import models
 
@@ -79,15 +80,11 @@ REFERENCES = (
 )
 
 
-def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
-
-
 def relational(spark: SparkSession, folder: str) -> Dataset:
     """The eight tables; categories are the distinct brands under a surrogate key."""
     frames = {}
     for entity, (source, names) in COLUMNS.items():
-        df = table(spark, folder, source)
+        df = read(spark, folder, source)
         frames[entity] = df.select(*[P.column(c).alias(n) for c, n in names.items()])
     brands = frames["products"]
     key = natural_key(F.col("category_name"))
@@ -98,6 +95,10 @@ def relational(spark: SparkSession, folder: str) -> Dataset:
     return Dataset(frames, Contract(KEYS + REFERENCES))
 
 
+#: Entities other entities refer to; their keys must be unique for a nest or a merge.
+PARENTS = ("regions", "nations", "categories", "suppliers", "customers", "products", "orders")
+
+
 # --- relational and document ---------------------------------------------------------
 
 DETAIL_FIELDS = ["line_number", "quantity", "price", "discount", "tax", "return_flag",
@@ -108,6 +109,7 @@ PRODUCT_FIELDS = ["product_name", "product_type", "size", "unit_price"]
 def tables_to_documents() -> list[Step]:
     """Embed everything an order needs, deepest first; keys of embedded rows are dropped."""
     return [
+        step("prove_keys", "regions", "nations", "categories", "products", "suppliers"),
         step("unflatten", "customers", ["customer_balance", "segment"], "account"),
         step("unflatten", "suppliers", ["supplier_balance"], "account"),
         step("unflatten", "orders", ["order_status", "priority"], "state"),
@@ -405,7 +407,9 @@ def documents(spark: SparkSession, folder: str) -> Dataset:
 
 
 def graph(spark: SparkSession, folder: str) -> Dataset:
-    return run_steps(relational(spark, folder), tables_to_graph())[0]
+    """Vertices and edges; their sources' keys are proved, so the ends of edges are too."""
+    return run_steps(
+        relational(spark, folder), [step("prove_keys", *PARENTS), *tables_to_graph()])[0]
 
 
 def wide(spark: SparkSession, folder: str) -> Dataset:
