@@ -108,6 +108,12 @@ def _each(col: Column, field: str) -> Column:
     return F.transform(col, lambda x: x.getField(field))
 
 
+def _flat(col: Column, inner: T.ArrayType) -> Column:
+    """One array out of an array of arrays; a missing inner array counts as empty, where
+    ``flatten`` alone would give null for everything."""
+    return F.flatten(F.transform(col, lambda x: F.coalesce(x, F.array().cast(inner))))
+
+
 def value(schema: T.StructType, path: str) -> Column:
     """The value at a path; below arrays, the flat array of all its values."""
     parts = parts_of(path)
@@ -119,7 +125,7 @@ def value(schema: T.StructType, path: str) -> Column:
             col = _each(col, part)
             dtype = T.ArrayType(inner[part].dataType)
             while isinstance(dtype.elementType, T.ArrayType):
-                col, dtype = F.flatten(col), dtype.elementType
+                col, dtype = _flat(col, dtype.elementType), dtype.elementType
         else:
             col, dtype = col.getField(part), dtype[part].dataType
     return col

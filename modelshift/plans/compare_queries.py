@@ -12,7 +12,7 @@ from modelshift.operators import graph as G
 from modelshift.operators.rules import Check, Contract, Existence, Key, Reference
 from modelshift.plans import trade
 from modelshift.plans.registry import query, read
-from modelshift.plans.rule_queries import _union
+from modelshift.plans.rule_queries import _is_key, _union
 from modelshift.plans.structure_queries import deep_orders
 from modelshift.session import new_folder
 from modelshift.sources import models
@@ -298,31 +298,36 @@ def contract_check(spark: SparkSession, d: str) -> DataFrame:
     return ds.check()
 
 
-@query("proposed_contract", """
-    SELECT 'region' AS entity, 'primary(r_regionkey)' AS rule
-    UNION ALL SELECT 'region', 'unique(r_name)'
-    UNION ALL SELECT 'nation', 'primary(n_nationkey)'
-    UNION ALL SELECT 'nation', 'unique(n_name)'
-    UNION ALL SELECT 'nation', 'reference(n_regionkey)->region(r_regionkey)'
-    UNION ALL SELECT 'region', 'reference(r_regionkey)->nation(n_nationkey)'
-    UNION ALL SELECT 'supplier', 'primary(s_suppkey)'
-    UNION ALL SELECT 'supplier', 'unique(s_name)'
-    UNION ALL SELECT 'supplier', 'reference(s_nationkey)->nation(n_nationkey)'
-    UNION ALL SELECT 'supplier', 'reference(s_nationkey)->supplier(s_suppkey)' WHERE false
-    UNION ALL SELECT 'nation', 'reference(n_nationkey)->supplier(s_suppkey)'
-              WHERE (SELECT count(*) FROM supplier) >= 25
-    UNION ALL SELECT 'nation', 'reference(n_regionkey)->supplier(s_suppkey)'
-    UNION ALL SELECT 'region', 'reference(r_regionkey)->supplier(s_suppkey)'
-    UNION ALL SELECT 'supplier', 'reference(s_suppkey)->nation(n_nationkey)'
-              WHERE (SELECT count(*) FROM supplier) <= 25
-    UNION ALL SELECT 'supplier', 'reference(s_nationkey)->region(r_regionkey)'
-              WHERE (SELECT max(s_nationkey) FROM supplier) < 5
-""")
+PROPOSED = {
+    "region": ["r_regionkey", "r_name"],
+    "nation": ["n_nationkey", "n_name", "n_regionkey"],
+    "supplier": ["s_suppkey", "s_name", "s_nationkey"],
+}
+
+
+def _proposed_sql() -> str:
+    rows = []
+    for table, cols in PROPOSED.items():
+        for i, c in enumerate(cols):
+            earlier = " OR ".join(_is_key(table, (x,)) for x in cols[:i]) or "false"
+            rows.append(
+                f"SELECT '{table}' AS entity, CASE WHEN {earlier} THEN 'unique({c})' "
+                f"ELSE 'primary({c})' END AS rule WHERE {_is_key(table, (c,))}")
+    pairs = [(t, c, u, x) for t, cs in PROPOSED.items() for c in cs
+             for u, xs in PROPOSED.items() for x in xs
+             if t != u and c.endswith("name") == x.endswith("name")]
+    for t, c, u, x in pairs:
+        rows.append(
+            f"SELECT '{t}', 'reference({c})->{u}({x})' WHERE {_is_key(u, (x,))} "
+            f"AND NOT EXISTS (SELECT {c} FROM {t} EXCEPT SELECT {x} FROM {u})")
+    return " UNION ALL ".join(rows)
+
+
+@query("proposed_contract", _proposed_sql())
 def proposed_contract(spark: SparkSession, d: str) -> DataFrame:
     """Keys and references proposed by the data alone; chance inclusions show up too."""
     from modelshift.operators.profile import proposed_contract as propose
 
-    frames = {t: read(spark, d, t) for t in ("region", "nation", "supplier")}
-    rules = propose({n: f.drop("s_acctbal") for n, f in frames.items()})
+    rules = propose({t: read(spark, d, t).select(*cols) for t, cols in PROPOSED.items()})
     return spark.createDataFrame(
         [(r.entity, r.name) for r in rules.rules], "entity string, rule string")

@@ -10,7 +10,6 @@ from pyspark.sql import types as T
 
 from modelshift.functions import paths as P
 from modelshift.operators import structural as st
-from modelshift.operators.grouping import MAX_ELEMENTS
 from modelshift.operators.rules import RowRule, broken_rules
 from modelshift.session import new_folder
 
@@ -67,16 +66,15 @@ def wind_windows(
     window: str,
     late: str,
     salt: list[str],
-    max_elements: int = MAX_ELEMENTS,
+    n_parts: int = 8,
 ) -> DataFrame:
     """WIND on a stream: the values of a key within a time window as a sorted array.
 
     Rows later than ``late`` are dropped. A window's group is known only when it closes, so
-    it cannot be counted first; instead values are spread over parts by a hash of the
-    ``salt`` columns from the start, and the state of one group never sits in one task.
-    ``n_parts`` rows per key and window at most; ``part`` numbers them.
+    it cannot be counted first; instead values are spread over ``n_parts`` parts by a hash
+    of the ``salt`` columns from the start, and the state of one group never sits in one
+    task. ``part`` numbers the rows of a key and window.
     """
-    n_parts = 8
     part = F.pmod(F.xxhash64(*[P.column(c) for c in salt]), F.lit(n_parts)).cast("int")
     grouped = (
         stream.withWatermark(time, late)
