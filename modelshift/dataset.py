@@ -233,11 +233,14 @@ class Dataset:
         link: str | None = None,
         distinct: bool = False,
         part_column: str | None = None,
+        keep: bool = False,
     ) -> Dataset:
         """UNNEST: move an embedded object or array to an entity of its own.
 
-        With ``key`` and ``link`` the parent keeps a reference to it; carried columns that
-        are the parent's key refer back to the parent.
+        ``keep`` leaves the parent as it is, so that several objects can each be taken from
+        stored documents with a scan of their own columns; :meth:`link` replaces them later.
+        With ``key`` and ``link`` the parent keeps the key; a link at the top of the parent
+        and carried columns that are the parent's key become references.
         """
         entity, full = self.locate(path)
         try:
@@ -247,10 +250,14 @@ class Dataset:
             )
         except KeyError as e:
             raise Skip(str(e)) from None
-        contract = self.contract.without_column(entity, full)
+        contract = self.contract
+        if keep:
+            rest = self[entity]
+        else:
+            contract = contract.without_column(entity, full)
         if key and distinct:
             contract = contract.add(Key(as_, (key,)))
-        if key and link:
+        if key and link and "." not in full:
             contract = contract.add(Reference(entity, (link,), as_, (key,), "0..1"))
         parent_key = [c for c in contract.key_columns(entity) if c != part_column]
         carried = carry or {}
@@ -263,6 +270,20 @@ class Dataset:
         # A key over everything that tells distinct rows apart is unique by construction.
         return ds._prove((as_, (key,))) if key and distinct and not key_from and not carry else ds
 
+    def link(
+        self, path: str, to: str, column: str, key: str, key_from: list[str] | None = None
+    ) -> Dataset:
+        """Replace an embedded object by the surrogate ``key`` its own entity ``to`` has."""
+        entity, full = self.locate(path)
+        try:
+            out = st.link_object(self[entity], full, column, key_from)
+        except KeyError as e:
+            raise Skip(str(e)) from None
+        contract = self.contract.without_column(entity, full)
+        if "." not in full:
+            contract = contract.add(Reference(entity, (column,), to, (key,), "0..1"))
+        return self.put({entity: out}, contract, same_rows=True)
+
     def join_parts(self, entity: str, part_column: str) -> Dataset:
         """Once its arrays are moved out, a spread-out document is its part 0 alone."""
         df = self[entity].where(P.column(part_column) == 0).drop(part_column)

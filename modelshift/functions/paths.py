@@ -104,10 +104,6 @@ def resolve(schema: T.StructType, name: str) -> str:
     raise KeyError(f"{name!r} is ambiguous: {hits}" if hits else f"no field {name!r}")
 
 
-def _each(col: Column, field: str) -> Column:
-    return F.transform(col, lambda x: x.getField(field))
-
-
 def _flat(col: Column, inner: T.ArrayType) -> Column:
     """One array out of an array of arrays; a missing inner array counts as empty, where
     ``flatten`` alone would give null for everything."""
@@ -122,7 +118,8 @@ def value(schema: T.StructType, path: str) -> Column:
         if isinstance(dtype, T.ArrayType):
             inner = element_of(dtype)
             assert isinstance(inner, T.StructType)
-            col = _each(col, part)
+            # Reads the field out of every element; unlike a lambda, a scan can be pruned by it.
+            col = col.getField(part)
             dtype = T.ArrayType(inner[part].dataType)
             while isinstance(dtype.elementType, T.ArrayType):
                 col, dtype = _flat(col, dtype.elementType), dtype.elementType

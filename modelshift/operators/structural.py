@@ -169,7 +169,7 @@ def unnest(
     part 0 only.
     """
     carry = carry or {}
-    cur, read = _explode_along(df, path)
+    cur, read = _explode_along(df, path, list(carry))
     struct = P.struct_at(df.schema, path)
     here, _ = read(path)
     wanted = fields or struct.names
@@ -181,13 +181,7 @@ def unnest(
         return {h: picked.get(h, F.lit(None).cast("string")) for h in heads}
 
     def surrogate(obj: Column) -> Column:
-        cols = []
-        for f in key_from or known:
-            dtype, col = P.type_at(struct, f), obj
-            for part in P.parts_of(f):
-                col = col.getField(part)
-            cols.append(_text(col, dtype))
-        return natural_key(*cols)
+        return _object_key(obj, struct, key_from or known)
 
     present = cur.where(here.isNotNull())
     in_array = bool(P.arrays_above(df.schema, path)) or isinstance(
@@ -204,16 +198,31 @@ def unnest(
         out = out.distinct()
     if not link:
         return out, _drop(df, path)
-    parent, name = P.parent_of(path)
+    return out, link_object(df, path, link, key_from or known)
+
+
+def link_object(
+    df: DataFrame, path: str, link: str, key_from: list[str] | None = None
+) -> DataFrame:
+    """Replace an embedded object by its surrogate key, as :func:`unnest` gives it."""
     if isinstance(P.type_at(df.schema, path), T.ArrayType):
         raise KeyError(f"{path!r} is an array; its parent cannot hold one link")
+    struct = P.struct_at(df.schema, path)
+    parent, name = P.parent_of(path)
 
     def leave(fs: P.Fields, _: T.StructType) -> P.Fields:
         obj = fs.pop(name)
-        fs[link] = F.when(obj.isNotNull(), surrogate(obj))
+        fs[link] = F.when(obj.isNotNull(), _object_key(obj, struct, key_from or struct.names))
         return fs
 
-    return out, P.edit_object(df, parent, leave)
+    return P.edit_object(df, parent, leave)
+
+
+def _object_key(obj: Column, struct: T.StructType, key_from: list[str]) -> Column:
+    cols = []
+    for f in key_from:
+        cols.append(_text(_through(obj, f), P.type_at(struct, f)))
+    return natural_key(*cols)
 
 
 def _text(col: Column, dtype: T.DataType) -> Column:
@@ -222,10 +231,15 @@ def _text(col: Column, dtype: T.DataType) -> Column:
     return col
 
 
-def _explode_along(df: DataFrame, path: str):
-    """Explode every array on the way to ``path``; returns the frame and a path reader."""
+def _explode_along(df: DataFrame, path: str, also: list[str]):
+    """Explode every array on the way to ``path``; returns the frame and a path reader.
+
+    Of the arrays passed on the way only what ``path`` and ``also`` need is exploded, zipped
+    together, so that a scan reads those nested columns and no others.
+    """
     cur, spots = df, {}
     parts = P.parts_of(path)
+    targets = [path, *[P.resolve(df.schema, p) for p in also]]
 
     def read(p: str) -> tuple[Column, T.DataType]:
         for spot in sorted(spots, key=len, reverse=True):
@@ -243,12 +257,48 @@ def _explode_along(df: DataFrame, path: str):
         col, dtype = read(prefix)
         while isinstance(dtype, T.ArrayType):
             name = f"_at{len(spots)}_{depth}"
+            heads = _heads(dtype.elementType, prefix, targets)
+            if heads:
+                cur = cur.select("*", F.explode(F.arrays_zip(
+                    *[_through(col, head[len(prefix) + 1 :]) for head in heads])).alias(name))
+                for head, field in zip(heads, cur.schema[name].dataType.names):
+                    spots[head] = (F.col(name).getField(field), P.type_at(df.schema, head))
+                break
             cur = cur.select("*", F.explode(col).alias(name))
             col, dtype = F.col(name), dtype.elementType
             spots[prefix] = (col, dtype)
     return cur, read
 
 
+def _heads(element: T.DataType, array: str, targets: list[str]) -> list[str]:
+    """The paths just below an array that the targets need, each up to the next array.
+
+    Empty when an element is needed whole or the names would clash.
+    """
+    if not isinstance(element, T.StructType) or array in targets:
+        return []
+    heads: list[str] = []
+    for target in targets:
+        if not target.startswith(array + "."):
+            continue
+        dtype: T.DataType = element
+        head = array
+        for name in P.parts_of(target[len(array) + 1 :]):
+            head, dtype = f"{head}.{name}", dtype[name].dataType
+            if isinstance(dtype, T.ArrayType):
+                break
+        heads.append(head)
+    heads = [h for h in dict.fromkeys(heads) if not any(h.startswith(o + ".") for o in heads)]
+    names = [h.split(".")[-1] for h in heads]
+    return heads if len(set(names)) == len(names) else []
+
+
+def _through(col: Column, path: str) -> Column:
+    for name in P.parts_of(path):
+        col = col.getField(name)
+    return col
+
+
 def _read_value(read, df: DataFrame, path: str) -> Column:
     return read(P.resolve(df.schema, path))[0]
 

@@ -103,6 +103,8 @@ PARENTS = ("regions", "nations", "categories", "suppliers", "customers", "produc
 
 DETAIL_FIELDS = ["line_number", "quantity", "price", "discount", "tax", "return_flag",
                  "line_status", "ship_date"]
+PRODUCT_KEY = ["product_name", "product_type", "size", "unit_price", "category.category_name"]
+SUPPLIER_KEY = ["supplier_name", "account.supplier_balance", "nation.nation_name"]
 PRODUCT_FIELDS = ["product_name", "product_type", "size", "unit_price"]
 
 
@@ -137,18 +139,23 @@ def tables_to_documents() -> list[Step]:
 
 def documents_to_tables() -> list[Step]:
     """Take the documents apart again. Embedded rows carry no keys, so each gets a surrogate
-    over its natural columns, and its holder keeps the same value as the reference."""
+    over its natural columns, and its holder keeps the same value as the reference.
+
+    Products and suppliers leave first, straight from the stored documents: each is a scan
+    of its own nested columns alone."""
     return [
+        step("unnest", "orders.details.product", "products", key="product_id",
+             key_from=PRODUCT_KEY, distinct=True, keep=True),
+        step("unnest", "orders.details.supplier", "suppliers", key="supplier_id",
+             key_from=SUPPLIER_KEY, distinct=True, keep=True),
+        # Both are distincts over all details, and more entities are taken from them.
+        step("store", "products", "suppliers"),
         step("unnest", "orders.details", "order_details",
              [*DETAIL_FIELDS, "product", "supplier"], {"_id": "order_id"}, part_column=PART),
+        step("link", "order_details.product", "products", "product_id", "product_id", PRODUCT_KEY),
+        step("link", "order_details.supplier", "suppliers", "supplier_id", "supplier_id",
+             SUPPLIER_KEY),
         step("join_parts", "orders", PART),
-        step("unnest", "order_details.product", "products", key="product_id", link="product_id",
-             key_from=[*PRODUCT_FIELDS, "category.category_name"], distinct=True),
-        step("unnest", "order_details.supplier", "suppliers", key="supplier_id",
-             link="supplier_id", distinct=True,
-             key_from=["supplier_name", "account.supplier_balance", "nation.nation_name"]),
-        # Both are distincts over all details, and more entities are taken from them.
-        step("store", "products", "suppliers"),
         step("unnest", "products.category", "categories", key="category_id",
              link="category_id", distinct=True),
         step("unnest", "suppliers.nation", "supplier_nations", key="nation_id", link="nation_id",
