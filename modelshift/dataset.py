@@ -22,7 +22,7 @@ from modelshift.functions.types import conform, spark_type
 from modelshift.operators import graph as G
 from modelshift.operators import properties as pr
 from modelshift.operators import structural as st
-from modelshift.operators.grouping import DuplicateKey, duplicate_groups
+from modelshift.operators.grouping import DuplicateKey, duplicate_groups, require_unique
 from modelshift.operators.rules import (
     IDENTIFYING,
     Check,
@@ -34,7 +34,7 @@ from modelshift.operators.rules import (
     Rule,
     check_contract,
 )
-from modelshift.session import new_folder
+from modelshift.session import new_folder, write_all
 
 KINDS = ("table", "document", "vertex", "edge", "wide_column")
 # The kind an entity has in each model.
@@ -69,9 +69,14 @@ class Dataset:
     ends: Mapping[str, Ends] = field(default_factory=dict)
     #: Keys known to be unique, by a look at the data or by how the rows were made.
     proved: frozenset[tuple[str, tuple[str, ...]]] = frozenset()
+    #: Per entity an earlier frame with the same rows and some unchanged plain columns.
+    #: Keys are counted there, without the joins that have been added since.
+    bases: Mapping[str, DataFrame] = field(default_factory=dict)
 
     def __post_init__(self) -> None:
         kinds = {n: self.kinds.get(n, "table") for n in self.frames}
+        bases = {n: self.bases.get(n, f) for n, f in self.frames.items()}
+        object.__setattr__(self, "bases", _frozen(bases))
         object.__setattr__(self, "frames", _frozen(self.frames))
         object.__setattr__(self, "kinds", _frozen(kinds))
         object.__setattr__(self, "ends", _frozen(self.ends))
@@ -106,8 +111,36 @@ class Dataset:
             contract=self.contract if contract is None else contract,
             kinds={**self.kinds, **kinds},
             proved=proved,
+            bases={
+                **self.bases,
+                **{e: self._base(e, f) if same_rows else f for e, f in changes.items()},
+            },
         )
 
+    def _base(self, entity: str, new: DataFrame) -> DataFrame:
+        """The entity's base without the columns that ``new`` lacks or holds as another type.
+
+        A column that was once gone stays out, even if one of its name is added later.
+        """
+        old = self.bases.get(entity)
+        if old is None:
+            return new
+        types = {f.name: f.dataType for f in new.schema.fields}
+        kept = [
+            f.name
+            for f in old.schema.fields
+            if types.get(f.name) == f.dataType
+            and not isinstance(f.dataType, (T.StructType, T.ArrayType, T.MapType))
+        ]
+        if kept == old.columns:
+            return old
+        return old.select(*[P.column(n) for n in kept]) if kept else new
+
+    def key_rows(self, entity: str, columns: Iterable[str]) -> DataFrame:
+        """A frame with the entity's rows that is cheapest for these columns."""
+        base = self.bases[entity]
+        return base if set(columns) <= set(base.columns) else self[entity]
+
     def _prove(self, *keys: tuple[str, tuple[str, ...]]) -> Dataset:
         return replace(self, proved=self.proved | set(keys))
 
@@ -125,7 +158,7 @@ class Dataset:
         keys = [(e, self.contract.key_columns(e)) for e in entities or self.frames]
         keys = [(e, k) for e, k in keys if k and not self.is_proved(e, k)]
         repeats = [
-            duplicate_groups(self[e], list(k)).agg(F.count("*").alias("n")).select(
+            duplicate_groups(self.key_rows(e, k), list(k)).agg(F.count("*").alias("n")).select(
                 F.lit(i).alias("i"), "n")
             for i, (e, k) in enumerate(keys)
         ]
@@ -203,7 +236,10 @@ class Dataset:
             refs = {c for r in contract.of(source, Reference) for c in r.columns}
             fields = [n for n in src.columns if n not in refs]
         if many:
-            out = st.nest_many(dst, src, on, alias, fields, part_column=part_column)
+            out = st.nest_many(
+                dst, src, on, alias, fields, part_column=part_column,
+                sizes_from=self.key_rows(source, on.values()),
+            )
             need = any(r.source_cardinality == "1..n" for r in to_target)
             contract = contract.add(Embedded(target, alias, "1..n" if need else "0..n"))
             if part_column:
@@ -212,8 +248,10 @@ class Dataset:
                         replace(key, columns=(*key.columns, part_column))
                     )
         else:
-            known = self.is_proved(source, on.values())
-            out = st.nest_one(dst, src, on, alias, fields, check=not known)
+            if not self.is_proved(source, on.values()):
+                require_unique(
+                    self.key_rows(source, on.values()), list(on.values()), f"nest into {into}")
+            out = st.nest_one(dst, src, on, alias, fields, check=False)
             need = bool(to_source) and all(r.required for r in to_source)
             for path in on:
                 contract = contract.without_column(target, path)
@@ -609,7 +647,7 @@ class Dataset:
                     edges = G.without_dangling(edges, kept, col, key)
             if entity in ends:
                 changes[name] = edges
-        return self.put(changes, same_rows=True)
+        return self.put(changes, same_rows=True).rebased(*changes)
 
     def rename_entity(self, old: str, new: str) -> Dataset:
         """RENAME_ENTITY: references, edge ends and vertex labels follow."""
@@ -797,13 +835,18 @@ class Dataset:
         For results that several later entities are made from: they are then computed once,
         read with only the columns each use needs, and survive lost executors.
         """
-        changes = {}
-        for e in entities or tuple(self.frames):
-            df = self[e]
-            path = f"{new_folder(df.sparkSession, 'store')}/{e}"
-            df.write.parquet(path)
-            changes[e] = df.sparkSession.read.schema(df.schema).parquet(path)
-        return self.put(changes, same_rows=True)
+        names = entities or tuple(self.frames)
+        spark = self[names[0]].sparkSession
+        folder = new_folder(spark, "store")
+        write_all({e: self[e].write for e in names}, folder)
+        return self.put(
+            {e: spark.read.schema(self[e].schema).parquet(f"{folder}/{e}") for e in names},
+            same_rows=True,
+        ).rebased(*names)
+
+    def rebased(self, *entities: str) -> Dataset:
+        """Take the entities' present frames as their bases."""
+        return replace(self, bases={**self.bases, **{e: self[e] for e in entities}})
 
     def check(self) -> DataFrame:
         """Every rule, measured on the data."""

@@ -61,20 +61,23 @@ def gather(
     *,
     part_column: str | None = None,
     max_elements: int | None = MAX_ELEMENTS,
+    sizes_from: DataFrame | None = None,
 ) -> Gathered:
     """One sorted array of ``element`` per key, in ``alias``.
 
     The group sizes are counted first, from the key columns alone. A key with more than
     ``max_elements`` rows yields several rows numbered in ``part_column``, each with a
     share of the elements, so that a key owning a third of all rows spreads over many
-    tasks. Without a part column such a key is refused. ``max_elements=None`` skips the
-    count, for sources known to be small per key.
+    tasks. Without a part column such a key is refused. ``sizes_from`` is a frame with the
+    same keys that is cheaper to count, such as the table ``rows`` were joined from.
+    ``max_elements=None`` skips the count, for sources known to be small per key.
     """
     carried = rows.select(*[column(k) for k in keys], element.alias(alias))
     sizes = oversized = None
     if max_elements is not None:
         sizes = (
-            rows.select(*[column(k) for k in keys])
+            (rows if sizes_from is None else sizes_from)
+            .select(*[column(k) for k in keys])
             .groupBy(*[column(k) for k in keys])
             .agg(F.count("*").alias("_n"))
             .where(F.col("_n") > max_elements)

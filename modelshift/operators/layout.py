@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, DataFrameWriter, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
@@ -11,6 +11,10 @@ from modelshift.functions import paths as P
 from modelshift.functions.keys import row_hash
 
 
+#: Rows per written file; bounds a file whatever one task received.
+MAX_RECORDS = 5_000_000
+
+
 def clustering(keys: list[str | tuple[str, str]]) -> list[tuple[str, bool]]:
     """Normalise ``["a", ("b", "desc")]`` to names with an ascending flag."""
     out = []
@@ -39,6 +43,21 @@ def laid_out(
     return df.repartitionByRange(*order, row_hash(df)).sortWithinPartitions(*order)
 
 
+def layout_writer(
+    df: DataFrame,
+    partition: list[str],
+    cluster: list[str | tuple[str, str]] | None = None,
+    folders: list[str] | None = None,
+) -> DataFrameWriter:
+    """A writer of this layout. ``folders`` names low-cardinality directory columns."""
+    writer = (
+        laid_out(df, partition, cluster)
+        .write.mode("errorifexists")
+        .option("maxRecordsPerFile", MAX_RECORDS)
+    )
+    return writer.partitionBy(*folders) if folders else writer
+
+
 def write_layout(
     df: DataFrame,
     path: str,
@@ -46,11 +65,7 @@ def write_layout(
     cluster: list[str | tuple[str, str]] | None = None,
     folders: list[str] | None = None,
 ) -> None:
-    """Write Parquet in this layout. ``folders`` names low-cardinality directory columns."""
-    writer = laid_out(df, partition, cluster).write.mode("errorifexists")
-    if folders:
-        writer = writer.partitionBy(*folders)
-    writer.parquet(path)
+    layout_writer(df, partition, cluster, folders).parquet(path)
 
 
 def partition_sizes(df: DataFrame, partition: list[str]) -> DataFrame:

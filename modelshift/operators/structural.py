@@ -79,17 +79,20 @@ def nest_many(
     *,
     part_column: str | None = None,
     max_elements: int | None = MAX_ELEMENTS,
+    sizes_from: DataFrame | None = None,
 ) -> DataFrame:
     """Embed all matching source rows as a sorted array; no match gives an empty array.
 
     ``on`` maps target columns to source columns. See :func:`gather` for groups too large
-    for one array.
+    for one array, and for ``sizes_from``.
     """
     keys = list(on.values())
-    present = source.where(" and ".join(f"{P.quoted(k)} is not null" for k in keys))
+    has_key = " and ".join(f"{P.quoted(k)} is not null" for k in keys)
     element = _embedded(source, fields, set(keys))
     got = gather(
-        present, keys, element, "_nested", part_column=part_column, max_elements=max_elements
+        source.where(has_key), keys, element, "_nested", part_column=part_column,
+        max_elements=max_elements,
+        sizes_from=None if sizes_from is None else sizes_from.where(has_key),
     )
     out = attach(target, got, on, "_nested", part_column)
     keep = [n for n in target.columns if n != alias]

@@ -15,7 +15,7 @@ from modelshift.functions import paths as P
 from modelshift.functions.keys import natural_key
 from modelshift.operators.rules import Contract, Key, Reference
 from modelshift.plans.registry import read
-from modelshift.session import new_folder
+from modelshift.session import new_folder, write_all
 from modelshift.sources import models
 
 #: Column that numbers the parts of an order document with very many details.
@@ -292,18 +292,20 @@ def wide_to_tables() -> list[Step]:
 
 def stored_wide(ds: Dataset) -> Dataset:
     """Write every wide-column table in its layout and read it back."""
-    some = next(iter(ds.frames.values()))
-    folder = new_folder(some.sparkSession, "wide")
-    back = {}
+    spark = next(iter(ds.frames.values())).sparkSession
+    folder = new_folder(spark, "wide")
+    writers = {}
     for name in ds.frames:
-        partition = [c for r in ds.contract.of(name, Key) if r.kind == "partition" for c in r.columns]
-        cluster: list[str | tuple[str, str]] = []
-        for r in ds.contract.of(name, Key):
-            if r.kind == "clustering":
-                cluster += [tuple(c.split(" ")) if " " in c else c for c in r.columns]
-        models.write_wide_column(ds[name], f"{folder}/{name}", partition, cluster)
-        back[name] = models.read_table(some.sparkSession, f"{folder}/{name}", ds[name].schema)
-    return ds.put(back)
+        keys = ds.contract.of(name, Key)
+        partition = [c for r in keys if r.kind == "partition" for c in r.columns]
+        cluster: list[str | tuple[str, str]] = [
+            (c.split(" ")[0], c.split(" ")[1]) if " " in c else c
+            for r in keys if r.kind == "clustering" for c in r.columns
+        ]
+        writers[name] = models.wide_column_writer(ds[name], partition, cluster)
+    write_all(writers, folder)
+    back = {n: models.read_table(spark, f"{folder}/{n}", ds[n].schema) for n in ds.frames}
+    return ds.put(back, same_rows=True).rebased(*back)
 
 
 # --- evolution within a model --------------------------------------------------------

@@ -6,7 +6,11 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from collections.abc import Mapping
+from concurrent.futures import ThreadPoolExecutor
+
+from pyspark import inheritable_thread_target
+from pyspark.sql import DataFrameWriter, SparkSession
 
 
 def local_session(cpus: str = "*", app: str = "modelshift") -> SparkSession:
@@ -47,3 +51,17 @@ def shared_folder(spark: SparkSession) -> str:
 def new_folder(spark: SparkSession, purpose: str) -> str:
     """A fresh, unused path below the shared folder."""
     return f"{shared_folder(spark)}/{purpose}-{uuid.uuid4().hex}"
+
+
+def write_all(writers: Mapping[str, DataFrameWriter], folder: str, at_once: int = 4) -> None:
+    """Write several frames as Parquet below ``folder``, a few jobs at a time.
+
+    Independent jobs share the cluster, so a small one does not wait for a large one's tail.
+    """
+    with ThreadPoolExecutor(at_once) as pool:
+        jobs = [
+            pool.submit(inheritable_thread_target(w.parquet), f"{folder}/{name}")
+            for name, w in writers.items()
+        ]
+        for job in jobs:
+            job.result()
