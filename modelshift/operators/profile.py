@@ -188,33 +188,41 @@ def _included(
     )
 
 
-def nested_paths(df: DataFrame, entity: str) -> DataFrame:
-    """Every array path with the number of arrays and their shortest, mean and longest
-    length, and every object path with how often it is present. One scan."""
-    aggs, heads = [], []
+def nested_paths(df: DataFrame, entity: str, key: list[str] | None = None) -> DataFrame:
+    """Per array path: how many arrays, their fewest, most and total elements; per object
+    path: how often it is present. One scan.
+
+    ``key`` names the columns of a document that may lie in several parts; its arrays are
+    then measured together.
+    """
+    heads, sizes = [], []
     for path, dtype in P.all_paths(df.schema):
         if not isinstance(dtype, (T.ArrayType, T.StructType)):
             continue
         col = P.value(df.schema, path)
         above = P.arrays_above(df.schema, path)
-        i = len(heads)
         is_array = isinstance(dtype, T.ArrayType)
         if is_array and not above:
-            n = F.when(col.isNotNull(), F.size(col))
-            aggs += [F.count(n), F.min(n), F.max(n), F.sum(n)]
+            size = F.when(col.isNotNull(), F.size(col))
+        elif above:
+            size = F.greatest(F.size(F.filter(col, lambda x: x.isNotNull())), F.lit(0))
         else:
-            present = (
-                F.size(F.filter(col, lambda x: x.isNotNull()))
-                if above
-                else col.isNotNull().cast("int")
-            )
-            present = F.greatest(present, F.lit(0))
-            aggs += [F.sum(present), F.min(present), F.max(present), F.sum(present)]
-        aggs[-4:] = [a.cast("bigint").alias(f"{k}{i}") for a, k in zip(aggs[-4:], "nlht")]
-        heads.append((path, "array" if is_array else "object"))
+            size = col.isNotNull().cast("int")
+        sizes.append(size.cast("bigint").alias(f"s{len(heads)}"))
+        heads.append((path, "array" if is_array else "object", is_array and not above))
     schema = "entity string, path string, kind string, n bigint, fewest bigint, most bigint, total bigint"
     if not heads:
         return df.sparkSession.createDataFrame([], schema)
+    measured = df.select(*[P.column(k) for k in key or []], *sizes)
+    if key:
+        measured = measured.groupBy(*[P.column(k) for k in key]).agg(
+            *[F.sum(f"s{i}").alias(f"s{i}") for i in range(len(heads))]
+        )
+    aggs = []
+    for i, (_, _, counted) in enumerate(heads):
+        s = F.col(f"s{i}")
+        aggs += [(F.count(s) if counted else F.sum(s)).alias(f"n{i}"), F.min(s).alias(f"l{i}"),
+                 F.max(s).alias(f"h{i}"), F.sum(s).alias(f"t{i}")]
     rows = F.array(
         *[
             F.struct(
@@ -226,10 +234,10 @@ def nested_paths(df: DataFrame, entity: str) -> DataFrame:
                 F.col(f"h{i}").alias("most"),
                 F.coalesce(f"t{i}", F.lit(0).cast("bigint")).alias("total"),
             )
-            for i, (path, kind) in enumerate(heads)
+            for i, (path, kind, _) in enumerate(heads)
         ]
     )
-    return df.agg(*aggs).select(F.inline(rows))
+    return measured.agg(*aggs).select(F.inline(rows))
 
 
 def entity_summary(frames: Mapping[str, DataFrame], contract: Contract) -> DataFrame:

@@ -70,21 +70,25 @@ _NATION_KEY = _coded("n_name", "r_name")
 #: What documents give back: only what orders and customers refer to, under surrogate keys.
 SURROGATE = f"""
     WITH places AS (SELECT * FROM nation JOIN region ON n_regionkey = r_regionkey),
-    lines AS (SELECT * FROM lineitem JOIN part ON l_partkey = p_partkey
-              JOIN supplier ON l_suppkey = s_suppkey JOIN places ON s_nationkey = n_nationkey),
-    homes AS (SELECT * FROM customer JOIN places ON c_nationkey = n_nationkey),
+    lines AS (SELECT * FROM lineitem LEFT JOIN part ON l_partkey = p_partkey
+              LEFT JOIN supplier ON l_suppkey = s_suppkey
+              LEFT JOIN places ON s_nationkey = n_nationkey),
+    homes AS (SELECT * FROM customer LEFT JOIN places ON c_nationkey = n_nationkey),
     t_products AS (SELECT DISTINCT {_PRODUCT_KEY} AS product_id, p_name AS product_name,
                    p_type AS product_type, p_size AS size, p_retailprice AS unit_price,
-                   {_coded('p_brand')} AS category_id FROM lines),
+                   {_coded('p_brand')} AS category_id FROM lines WHERE p_partkey IS NOT NULL),
     t_categories AS (SELECT DISTINCT {_coded('p_brand')} AS category_id, p_brand AS category_name
-                     FROM lines),
+                     FROM lines WHERE p_partkey IS NOT NULL),
     t_suppliers AS (SELECT DISTINCT {_SUPPLIER_KEY} AS supplier_id, s_name AS supplier_name,
-                    s_acctbal AS supplier_balance, {_NATION_KEY} AS nation_id FROM lines),
+                    s_acctbal AS supplier_balance, {_NATION_KEY} AS nation_id
+                    FROM lines WHERE s_suppkey IS NOT NULL),
     t_nations AS (SELECT DISTINCT {_NATION_KEY} AS nation_id, n_name AS nation_name,
                   {_coded('r_name')} AS region_id
-                  FROM (SELECT n_name, r_name FROM lines UNION ALL SELECT n_name, r_name FROM homes)),
+                  FROM (SELECT n_name, r_name FROM lines UNION ALL SELECT n_name, r_name FROM homes)
+                  WHERE n_name IS NOT NULL),
     t_regions AS (SELECT DISTINCT {_coded('r_name')} AS region_id, r_name AS region_name
-                  FROM (SELECT r_name FROM lines UNION ALL SELECT r_name FROM homes)),
+                  FROM (SELECT r_name FROM lines UNION ALL SELECT r_name FROM homes)
+                  WHERE r_name IS NOT NULL),
     t_customers AS (SELECT c_custkey AS customer_id, c_name AS customer_name,
                     c_acctbal AS customer_balance, c_mktsegment AS segment,
                     {_NATION_KEY} AS nation_id FROM homes),
@@ -92,7 +96,8 @@ SURROGATE = f"""
                  o_totalprice AS total, o_orderdate AS order_date, o_orderpriority AS priority,
                  o_custkey AS customer_id FROM orders),
     t_order_details AS (SELECT l_orderkey AS order_id, l_linenumber AS line_number,
-                        {_PRODUCT_KEY} AS product_id, {_SUPPLIER_KEY} AS supplier_id,
+                        CASE WHEN p_partkey IS NOT NULL THEN {_PRODUCT_KEY} END AS product_id,
+                        CASE WHEN s_suppkey IS NOT NULL THEN {_SUPPLIER_KEY} END AS supplier_id,
                         l_quantity AS quantity, l_extendedprice AS price, l_discount AS discount,
                         l_tax AS tax, l_returnflag AS return_flag, l_linestatus AS line_status,
                         l_shipdate AS ship_date FROM lines)
@@ -102,13 +107,21 @@ TABLES_SQL = " UNION ALL ".join(
     _row(e, f"t_{e}", key, body) for e, (key, body) in T.TABLE_LISTING.items()
 )
 
+
+def _set(table: str, *cols: str) -> str:
+    """The rows of a table whose references are set: the others make no edge."""
+    return f"(SELECT * FROM {table} WHERE {' AND '.join(f'{c} IS NOT NULL' for c in cols)})"
+
+
+_LINKED_DETAILS = _set("t_order_details", "order_id", "product_id")
 _EDGE_SQL = {
-    "LOCATED_IN": ("t_nations", "nation_id", "region_id"),
-    "LIVES_IN": ("t_customers", "customer_id", "nation_id"),
-    "BASED_IN": ("t_suppliers", "supplier_id", "nation_id"),
-    "PART_OF": ("t_products", "product_id", "category_id"),
-    "PURCHASED": ("t_orders", "customer_id", "order_id"),
-    "SUPPLIES": ("(SELECT DISTINCT supplier_id, product_id FROM t_order_details)",
+    "LOCATED_IN": (_set("t_nations", "region_id"), "nation_id", "region_id"),
+    "LIVES_IN": (_set("t_customers", "nation_id"), "customer_id", "nation_id"),
+    "BASED_IN": (_set("t_suppliers", "nation_id"), "supplier_id", "nation_id"),
+    "PART_OF": (_set("t_products", "category_id"), "product_id", "category_id"),
+    "PURCHASED": (_set("t_orders", "customer_id"), "customer_id", "order_id"),
+    "SUPPLIES": ("(SELECT DISTINCT supplier_id, product_id FROM t_order_details "
+                 "WHERE supplier_id IS NOT NULL AND product_id IS NOT NULL)",
                  "supplier_id", "product_id"),
 }
 _REFERENCE_OF = {holder: col for _, _, _, holder, col in T.EDGES}
@@ -123,15 +136,15 @@ def _vertex_sql(entity: str) -> str:
 GRAPH_SQL = " UNION ALL ".join(
     [_vertex_sql(v) for v in T.VERTICES]
     + [_row(n, t, [a, b], [a]) for n, (t, a, b) in _EDGE_SQL.items()]
-    + [_row("CONTAINS", "t_order_details",
+    + [_row("CONTAINS", _LINKED_DETAILS,
             ["order_id", "product_id", "line_number", "supplier_id"],
             T.TABLE_LISTING["order_details"][1])]
 )
 
 _JOINED = """(SELECT * FROM t_order_details
-    JOIN (SELECT product_id, product_name, product_type, size, unit_price, category_name
+    LEFT JOIN (SELECT product_id, product_name, product_type, size, unit_price, category_name
           FROM t_products JOIN t_categories USING (category_id)) USING (product_id)
-    JOIN (SELECT supplier_id, supplier_name, supplier_balance, nation_name, region_name
+    LEFT JOIN (SELECT supplier_id, supplier_name, supplier_balance, nation_name, region_name
           FROM t_suppliers JOIN t_nations USING (nation_id) JOIN t_regions USING (region_id))
          USING (supplier_id))"""
 _HOMES = "(SELECT * FROM t_customers JOIN t_nations USING (nation_id) JOIN t_regions USING (region_id))"
@@ -153,10 +166,16 @@ def _direction(name: str, head: str, body: str, list_rows) -> None:
         return list_rows(T.migrate(spark, d, name))
 
 
-for _name in ("r2d", "g2d", "c2d"):
+for _name in ("r2d", "c2d"):
     _direction(_name, GIVEN, DOCUMENTS_SQL, T.document_listing)
-for _name in ("g2r", "c2r", "r2c", "g2c"):
+_direction("g2d", GIVEN, DOCUMENTS_SQL.replace(
+    "FROM t_order_details", f"FROM {_LINKED_DETAILS}"), T.document_listing)
+for _name in ("c2r", "r2c"):
     _direction(_name, GIVEN, TABLES_SQL, T.table_listing)
+for _name in ("g2r", "g2c"):
+    # A detail without its product has no edge to come back from.
+    _direction(_name, GIVEN, TABLES_SQL.replace(
+        "FROM t_order_details", f"FROM {_LINKED_DETAILS}"), T.table_listing)
 for _name in ("d2r", "d2c"):
     _direction(_name, SURROGATE, TABLES_SQL, T.table_listing)
 for _name in ("r2g", "c2g"):
@@ -270,7 +289,7 @@ _direction("g2g", GIVEN, " UNION ALL ".join([
     *[_row(n, t, [a, b], [a]) for n, (t, a, b) in _EDGE_SQL.items() if n != "PART_OF"],
     _row("HAS_ACCOUNT", "t_customers", ["customer_id", "customer_id"], ["customer_id"]),
     _row("IN_SEGMENT", "t_customers", ["customer_id", "segment"], ["customer_id"]),
-    _row("CONTAINS", "t_order_details", ["order_id", "product_id", "line_number", "supplier_id"],
+    _row("CONTAINS", _LINKED_DETAILS, ["order_id", "product_id", "line_number", "supplier_id"],
          T.TABLE_LISTING["order_details"][1]),
 ]), _evolved_graph)
 

@@ -42,7 +42,7 @@ def delete_property(spark: SparkSession, d: str) -> DataFrame:
 
 @query("rename_property", """
     SELECT l_orderkey AS order_id, l_quantity AS amount, p_name AS title
-    FROM lineitem JOIN part ON l_partkey = p_partkey
+    FROM lineitem LEFT JOIN part ON l_partkey = p_partkey
 """)
 def rename_property(spark: SparkSession, d: str) -> DataFrame:
     """At the top, inside array elements, and inside an object of array elements."""
@@ -238,7 +238,7 @@ def rename_entity(spark: SparkSession, d: str) -> DataFrame:
 @query("copy_entity", """
     SELECT 'customers_archive' AS entity, c_custkey AS a, CAST(NULL AS BIGINT) AS b FROM customer
     UNION ALL
-    SELECT 'BOUGHT', o_custkey, o_orderkey FROM orders
+    SELECT 'BOUGHT', o_custkey, o_orderkey FROM orders WHERE o_custkey IS NOT NULL
 """)
 def copy_entity(spark: SparkSession, d: str) -> DataFrame:
     ds = trade_graph(spark, d).copy_entity("customers", "customers_archive")

@@ -183,7 +183,8 @@ def check_reference(spark: SparkSession, d: str) -> DataFrame:
 
 @query("orphans", """
     SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey FROM lineitem
-    WHERE NOT EXISTS (SELECT 1 FROM part WHERE p_partkey = l_partkey AND p_type <> 'PROMO')
+    WHERE l_partkey IS NOT NULL
+      AND NOT EXISTS (SELECT 1 FROM part WHERE p_partkey = l_partkey AND p_type <> 'PROMO')
 """)
 def orphans(spark: SparkSession, d: str) -> DataFrame:
     out = R.orphans(read(spark, d, "lineitem"), ["l_partkey"],
@@ -598,7 +599,7 @@ def discover_references(spark: SparkSession, d: str) -> DataFrame:
            CAST(sum(n) AS BIGINT) FROM p
 """)
 def nested_paths(spark: SparkSession, d: str) -> DataFrame:
-    return pf.nested_paths(deep_orders(spark, d), "orders")
+    return pf.nested_paths(deep_orders(spark, d), "orders", key=["o_orderkey"])
 
 
 @query("conform_types", """

@@ -340,7 +340,7 @@ def split_merge(spark: SparkSession, d: str) -> DataFrame:
 
 @query("transform_to_edges", """
     SELECT l_orderkey AS src, l_partkey AS dst, l_linenumber, l_suppkey, l_quantity, l_discount
-    FROM lineitem
+    FROM lineitem WHERE l_orderkey IS NOT NULL AND l_partkey IS NOT NULL
 """)
 def transform_to_edges(spark: SparkSession, d: str) -> DataFrame:
     lines = read(spark, d, "lineitem").select(
@@ -355,7 +355,7 @@ def transform_to_edges(spark: SparkSession, d: str) -> DataFrame:
                               length(CAST(l_linenumber AS VARCHAR)) || ':' || l_linenumber,
                               length(CAST(l_suppkey AS VARCHAR)) || ':' || l_suppkey)) AS id,
            l_orderkey AS src, l_partkey AS dst, l_linenumber, l_suppkey, l_quantity
-    FROM lineitem
+    FROM lineitem WHERE l_orderkey IS NOT NULL AND l_partkey IS NOT NULL
 """)
 def transform_to_entity(spark: SparkSession, d: str) -> DataFrame:
     lines = read(spark, d, "lineitem").select(

@@ -303,7 +303,7 @@ def stored_wide(ds: Dataset) -> Dataset:
             for r in keys if r.kind == "clustering" for c in r.columns
         ]
         writers[name] = models.wide_column_writer(ds[name], partition, cluster)
-    write_all(writers, folder)
+    write_all(spark, writers, folder)
     back = {n: models.read_table(spark, f"{folder}/{n}", ds[n].schema) for n in ds.frames}
     return ds.put(back, same_rows=True).rebased(*back)
 
