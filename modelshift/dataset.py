@@ -838,7 +838,7 @@ class Dataset:
         names = entities or tuple(self.frames)
         spark = self[names[0]].sparkSession
         folder = new_folder(spark, "store")
-        write_all(spark, {e: self[e].write for e in names}, folder)
+        write_all(spark, {e: self[e].write.format("parquet") for e in names}, folder)
         return self.put(
             {e: spark.read.schema(self[e].schema).parquet(f"{folder}/{e}") for e in names},
             same_rows=True,

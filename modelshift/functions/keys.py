@@ -51,6 +51,10 @@ def _holds_map(dtype: T.DataType) -> bool:
     return False
 
 
+#: Null flags per bigint mask.
+MASK_BITS = 62
+
+
 def row_hash(df: DataFrame) -> Column:
     """xxhash64 over all columns in name order, so column order does not matter.
 
@@ -58,5 +62,11 @@ def row_hash(df: DataFrame) -> Column:
     move to a neighbouring null column unseen.
     """
     fields = sorted(df.schema.fields, key=lambda f: f.name)
-    mask = F.concat(*[F.when(column(f.name).isNull(), "1").otherwise("0") for f in fields])
-    return F.xxhash64(mask, *[stable(column(f.name), f.dataType) for f in fields])
+    masks = []
+    for start in range(0, len(fields), MASK_BITS):
+        mask = F.lit(0).cast("bigint")
+        for i, f in enumerate(fields[start : start + MASK_BITS]):
+            bit = F.when(column(f.name).isNull(), F.lit(1 << i)).otherwise(F.lit(0))
+            mask = mask.bitwiseOR(bit.cast("bigint"))
+        masks.append(mask)
+    return F.xxhash64(*masks, *[stable(column(f.name), f.dataType) for f in fields])

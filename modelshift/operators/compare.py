@@ -216,6 +216,31 @@ def reconcile(
     return counts.select(F.lit(entity).alias("entity"), "*", verdict.alias("verdict"))
 
 
+#: What a migration may come to, worst first.
+VERDICTS = (
+    "steps failed", "unverifiable", "rows lost", "rows invented", "rows changed", "rules broken", "ok",
+)
+
+
+def migration_verdict(
+    clean: bool, reconciled: DataFrame | None, checked: DataFrame | None = None
+) -> str:
+    """One word on a migration: did all steps run, do the rows agree, do the rules hold.
+
+    Failed steps outweigh everything; without a reconciliation nothing can be said.
+    """
+    if not clean:
+        return "steps failed"
+    if reconciled is None:
+        return "unverifiable"
+    seen = {r.verdict for r in reconciled.select("verdict").distinct().collect()}
+    if checked is not None:
+        errors = checked.where("violations > 0 AND severity = 'error'")
+        if not errors.isEmpty():
+            seen.add("rules broken")
+    return min(seen or {"unverifiable"}, key=VERDICTS.index)
+
+
 def edge_cardinality(
     child: DataFrame,
     child_key: list[str],

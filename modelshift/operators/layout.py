@@ -52,7 +52,8 @@ def layout_writer(
     """A writer of this layout. ``folders`` names low-cardinality directory columns."""
     writer = (
         laid_out(df, partition, cluster)
-        .write.mode("errorifexists")
+        .write.format("parquet")
+        .mode("errorifexists")
         .option("maxRecordsPerFile", MAX_RECORDS)
     )
     return writer.partitionBy(*folders) if folders else writer
@@ -65,7 +66,7 @@ def write_layout(
     cluster: list[str | tuple[str, str]] | None = None,
     folders: list[str] | None = None,
 ) -> None:
-    layout_writer(df, partition, cluster, folders).parquet(path)
+    layout_writer(df, partition, cluster, folders).save(path)
 
 
 def partition_sizes(df: DataFrame, partition: list[str]) -> DataFrame:

@@ -334,3 +334,33 @@ def proposed_contract(spark: SparkSession, d: str) -> DataFrame:
     rules = propose({t: read(spark, d, t).select(*cols) for t, cols in PROPOSED.items()})
     return spark.createDataFrame(
         [(r.entity, r.name) for r in rules.rules], "entity string, rule string")
+
+
+_SAVED = {
+    "relational": ["regions", "nations", "categories", "suppliers", "customers", "products",
+                   "orders", "order_details"],
+    "document": ["customers", "orders"],
+    "graph": ["customers", "orders", "PURCHASED", "CONTAINS"],
+    "wide_column": ["orders", "order_details"],
+}
+
+
+@query("round_trip_models", " UNION ALL ".join(
+    f"SELECT '{m}' AS model, '{e}' AS entity, true AS same_count, true AS equal"
+    for m, es in _SAVED.items() for e in es
+))
+def round_trip_models(spark: SparkSession, d: str) -> DataFrame:
+    """Datasets of all four models, written in their own form, read back and compared."""
+    sources = {
+        "relational": trade.relational, "document": trade.documents, "graph": trade.graph,
+        "wide_column": trade.wide,
+    }
+    rows = []
+    for model, make in sources.items():
+        ds = make(spark, d)
+        back = trade.stored(ds)
+        for e in _SAVED[model]:
+            rows.append(cmp.same_rows(ds[e], back[e]).select(
+                F.lit(model).alias("model"), F.lit(e).alias("entity"),
+                (F.col("left_rows") == F.col("right_rows")).alias("same_count"), "equal"))
+    return _union(rows)

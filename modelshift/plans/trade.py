@@ -15,7 +15,7 @@ from modelshift.functions import paths as P
 from modelshift.functions.keys import natural_key
 from modelshift.operators.rules import Contract, Key, Reference
 from modelshift.plans.registry import read
-from modelshift.session import new_folder, write_all
+from modelshift.session import new_folder
 from modelshift.sources import models
 
 #: Column that numbers the parts of an order document with very many details.
@@ -111,6 +111,8 @@ PRODUCT_FIELDS = ["product_name", "product_type", "size", "unit_price"]
 def tables_to_documents() -> list[Step]:
     """Embed everything an order needs, deepest first; keys of embedded rows are dropped."""
     return [
+        step("cast_entity", "orders", "document"),
+        step("cast_entity", "customers", "document"),
         step("prove_keys", "regions", "nations", "categories", "products", "suppliers"),
         step("unflatten", "customers", ["customer_balance", "segment"], "account"),
         step("unflatten", "suppliers", ["supplier_balance"], "account"),
@@ -174,6 +176,8 @@ def documents_to_tables() -> list[Step]:
         step("flatten", "orders.state"),
         step("rename_property", "orders.state_order_status", "order_status"),
         step("rename_property", "orders.state_priority", "priority"),
+        step("cast_entity", "customers", "relational"),
+        step("cast_entity", "orders", "relational"),
         step("rename_property", "customers._id", "customer_id"),
         step("cast_constraint", "customers", ["customer_id"], "primary"),
         step("rename_property", "orders._id", "order_id"),
@@ -290,22 +294,12 @@ def wide_to_tables() -> list[Step]:
     return steps
 
 
-def stored_wide(ds: Dataset) -> Dataset:
-    """Write every wide-column table in its layout and read it back."""
+def stored(ds: Dataset) -> Dataset:
+    """Write the dataset in its model and go on from what was written."""
     spark = next(iter(ds.frames.values())).sparkSession
-    folder = new_folder(spark, "wide")
-    writers = {}
-    for name in ds.frames:
-        keys = ds.contract.of(name, Key)
-        partition = [c for r in keys if r.kind == "partition" for c in r.columns]
-        cluster: list[str | tuple[str, str]] = [
-            (c.split(" ")[0], c.split(" ")[1]) if " " in c else c
-            for r in keys if r.kind == "clustering" for c in r.columns
-        ]
-        writers[name] = models.wide_column_writer(ds[name], partition, cluster)
-    write_all(spark, writers, folder)
-    back = {n: models.read_table(spark, f"{folder}/{n}", ds[n].schema) for n in ds.frames}
-    return ds.put(back, same_rows=True).rebased(*back)
+    folder = new_folder(spark, "dataset")
+    models.save_dataset(ds, folder)
+    return models.load_dataset(ds, folder)
 
 
 # --- evolution within a model --------------------------------------------------------
@@ -431,8 +425,8 @@ DIRECTIONS = {
     "d2r": (documents, lambda: documents_to_tables()),
     "r2g": (relational, lambda: tables_to_graph()),
     "g2r": (graph, lambda: graph_to_tables()),
-    "r2c": (relational, lambda: [*tables_to_wide(), stored_wide]),
-    "c2r": (wide, lambda: [stored_wide, *wide_to_tables()]),
+    "r2c": (relational, lambda: [*tables_to_wide(), stored]),
+    "c2r": (wide, lambda: [stored, *wide_to_tables()]),
     "d2g": (documents, lambda: [*documents_to_tables(), *tables_to_graph()]),
     "g2d": (graph, lambda: [*graph_to_tables(), *tables_to_documents()]),
     "d2c": (documents, lambda: [*documents_to_tables(), *tables_to_wide()]),
@@ -442,7 +436,7 @@ DIRECTIONS = {
     "r2r": (relational, lambda: evolve_tables()),
     "d2d": (documents, lambda: evolve_documents()),
     "g2g": (graph, lambda: [plain_categories, *evolve_graph()]),
-    "c2c": (wide, lambda: [*evolve_wide(), stored_wide]),
+    "c2c": (wide, lambda: [*evolve_wide(), stored]),
 }
 
 

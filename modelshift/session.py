@@ -56,13 +56,13 @@ def new_folder(spark: SparkSession, purpose: str) -> str:
 def write_all(
     spark: SparkSession, writers: Mapping[str, DataFrameWriter], folder: str, at_once: int = 4
 ) -> None:
-    """Write several frames as Parquet below ``folder``, a few jobs at a time.
+    """Save several frames below ``folder``, a few jobs at a time.
 
     Independent jobs share the cluster, so a small one does not wait for a large one's tail.
     """
     with ThreadPoolExecutor(at_once) as pool:
         jobs = [
-            pool.submit(inheritable_thread_target(spark)(w.parquet), f"{folder}/{name}")
+            pool.submit(inheritable_thread_target(spark)(w.save), f"{folder}/{name}")
             for name, w in writers.items()
         ]
         for job in jobs:
