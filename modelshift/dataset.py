@@ -232,10 +232,20 @@ class Dataset:
         if many is None:
             many = bool(to_target)
         contract = self.contract
+        holder, name = P.parent_of(alias)
+        inside = holder and isinstance(P.type_at(dst.schema, holder), T.ArrayType)
         if fields is None:
             refs = {c for r in contract.of(source, Reference) for c in r.columns}
             fields = [n for n in src.columns if n not in refs]
-        if many:
+        if inside:
+            # Elements of an array each take their one source row; ``on`` names their fields.
+            key = list(contract.key_columns(target))
+            if many or not key:
+                raise Skip(f"nesting into {into!r} takes one row per element and a key")
+            links = {P.parent_of(path)[1]: c for path, c in on.items()}
+            out = st.nest_in_array(dst, src, holder, links, name, fields, key=key)
+            contract = contract.add(Embedded(target, alias, "0..1"))
+        elif many:
             out = st.nest_many(
                 dst, src, on, alias, fields, part_column=part_column,
                 sizes_from=self.key_rows(source, on.values()),
@@ -504,8 +514,11 @@ class Dataset:
     ) -> Dataset:
         s_entity, s_path = self.locate(source)
         t_entity, t_path = self._place(to)
+        if not agg and not self.is_proved(s_entity, on.values()):
+            require_unique(
+                self.key_rows(s_entity, on.values()), list(on.values()), f"copy of {source}")
         out = pr.copy_property(
-            self[t_entity], self[s_entity], s_path, on, t_path, agg=agg
+            self[t_entity], self[s_entity], s_path, on, t_path, agg=agg, check=False
         )
         return self.put({t_entity: out}, same_rows=True)
 

@@ -31,9 +31,9 @@ def stable(col: Column, dtype: T.DataType) -> Column:
             [T.StructField("key", dtype.keyType), T.StructField("value", dtype.valueType)]
         )
         return F.array_sort(F.transform(entries, lambda e: stable(e, inner)))
-    if isinstance(dtype, T.ArrayType) and _holds_map(dtype):
+    if isinstance(dtype, T.ArrayType) and holds_map(dtype):
         return F.transform(col, lambda x: stable(x, dtype.elementType))
-    if isinstance(dtype, T.StructType) and _holds_map(dtype):
+    if isinstance(dtype, T.StructType) and holds_map(dtype):
         whole = F.struct(
             *[stable(col.getField(f.name), f.dataType).alias(f.name) for f in dtype.fields]
         )
@@ -41,13 +41,13 @@ def stable(col: Column, dtype: T.DataType) -> Column:
     return col
 
 
-def _holds_map(dtype: T.DataType) -> bool:
+def holds_map(dtype: T.DataType) -> bool:
     if isinstance(dtype, T.MapType):
         return True
     if isinstance(dtype, T.ArrayType):
-        return _holds_map(dtype.elementType)
+        return holds_map(dtype.elementType)
     if isinstance(dtype, T.StructType):
-        return any(_holds_map(f.dataType) for f in dtype.fields)
+        return any(holds_map(f.dataType) for f in dtype.fields)
     return False
 
 

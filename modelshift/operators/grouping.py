@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from modelshift.functions.keys import holds_map, stable
 from modelshift.functions.paths import column, quoted
 from modelshift.session import shared_folder
 
@@ -73,6 +74,9 @@ def gather(
     ``max_elements=None`` skips the count, for sources known to be small per key.
     """
     carried = rows.select(*[column(k) for k in keys], element.alias(alias))
+    kind = carried.schema[alias].dataType
+    # Maps have no order, so elements that hold one are sorted and compared by a stable form.
+    carried = carried.withColumn("_order", stable(column(alias), kind)) if holds_map(kind) else carried
     sizes = oversized = None
     if max_elements is not None:
         sizes = (
@@ -85,7 +89,7 @@ def gather(
         oversized = sizes.count()
     if not oversized:
         whole = carried.groupBy(*[column(k) for k in keys]).agg(
-            F.array_sort(F.collect_list(column(alias))).alias(alias)
+            _sorted_list(carried, alias).alias(alias)
         )
         if part_column:
             whole = whole.withColumn(part_column, F.lit(0))
@@ -98,6 +102,28 @@ def gather(
     return _gather_in_parts(carried, keys, alias, sizes, oversized, part_column, max_elements)
 
 
+def _packed(rows: DataFrame, alias: str) -> Column:
+    """An element as it is collected: with its stable form beside it where it has one."""
+    if "_order" not in rows.columns:
+        return column(alias)
+    return F.struct("_order", column(alias).alias("_value"))
+
+
+def _sort_packed(rows: DataFrame, array: Column) -> Column:
+    if "_order" not in rows.columns:
+        return F.array_sort(array)
+
+    def by_order(a: Column, b: Column) -> Column:
+        x, y = a.getField("_order"), b.getField("_order")
+        return F.when(x < y, -1).when(x > y, 1).otherwise(0)
+
+    return F.transform(F.array_sort(array, by_order), lambda x: x.getField("_value"))
+
+
+def _sorted_list(rows: DataFrame, alias: str) -> Column:
+    return _sort_packed(rows, F.collect_list(_packed(rows, alias)))
+
+
 def _gather_in_parts(
     carried: DataFrame,
     keys: list[str],
@@ -127,30 +153,29 @@ def _gather_in_parts(
     cold = (
         small.join(big_keys, on, "left_anti")
         .groupBy(*names)
-        .agg(F.array_sort(F.collect_list(column(alias))).alias(alias))
+        .agg(_sorted_list(carried, alias).alias(alias))
         .withColumn(part_column, F.lit(0))
     )
+    content = "_order" if "_order" in carried.columns else alias
+    first = [F.any_value(column(alias)).alias(alias)] if content == "_order" else []
     # Equal rows collapse to one with a count before anything is shuffled by content.
     counted = (
         small.join(big_keys, on, "inner")
-        .groupBy(*names, "_parts", column(alias))
-        .agg(F.count("*").alias("_copies"))
+        .groupBy(*names, "_parts", column(content))
+        .agg(F.count("*").alias("_copies"), *first)
     )
     slices = counted.withColumn(
         "_slice", F.explode(F.sequence(F.lit(0).cast("bigint"), F.expr(f"(_copies - 1) div {slice_len}")))
     )
     take = F.least(F.lit(slice_len).cast("bigint"), F.col("_copies") - F.col("_slice") * slice_len)
+    copies = F.array_repeat(_packed(carried, alias), take.cast("int"))
     hot = (
         slices.withColumn(
             part_column,
-            F.pmod(F.xxhash64(column(alias), F.col("_slice")), F.col("_parts")).cast("int"),
+            F.pmod(F.xxhash64(column(content), F.col("_slice")), F.col("_parts")).cast("int"),
         )
         .groupBy(*names, column(part_column))
-        .agg(
-            F.array_sort(
-                F.flatten(F.collect_list(F.array_repeat(column(alias), take.cast("int"))))
-            ).alias(alias)
-        )
+        .agg(_sort_packed(carried, F.flatten(F.collect_list(copies))).alias(alias))
     )
     return Gathered(cold.unionByName(hot), parts)
 

@@ -103,6 +103,7 @@ def copy_property(
     new: str | None = None,
     *,
     agg: str | None = None,
+    check: bool = True,
 ) -> DataFrame:
     """Copy a column to another entity along a reference.
 
@@ -118,7 +119,7 @@ def copy_property(
     )
     if agg:
         lookup = lookup.groupBy(*keys.values()).agg(F.expr(f"{agg}(_copied)").alias("_copied"))
-    else:
+    elif check:
         require_unique(source, list(on.values()), f"copy of {column}")
     cond = F.lit(True)
     for t, k in on.items():

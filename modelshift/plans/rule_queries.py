@@ -394,12 +394,12 @@ def check_boolean(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("check_raw", _check_sql("events", [
-    ("check(value RAW)", "value * 2 > user_id % 7"),
+    ("check(value RAW)", "value * 10 > user_id"),
     ("check(event_type RAW)", "event_type <> 'error' OR value < 50"),
 ]))
 def check_raw(spark: SparkSession, d: str) -> DataFrame:
     return _checks(read(spark, d, "events"), "events", [
-        ("value", "RAW", C.raw("value * 2 > user_id % 7")),
+        ("value", "RAW", C.raw("value * 10 > user_id")),
         ("event_type", "RAW", C.raw("event_type <> 'error' OR value < 50")),
     ])
 

@@ -33,6 +33,35 @@ def test_nest_array_follows_reference(ds):
     assert Embedded("people", "orders", "0..n") in out.contract.rules
 
 
+def test_nest_into_array_elements(ds, spark):
+    goods = spark.createDataFrame([(1, "pen"), (2, "ink")], "gid int, title string")
+    lists = spark.createDataFrame([(7, [(1, 3), (2, 4)]), (8, [])], "lid int, items array<struct<gid int, n int>>")
+    both = Dataset({"goods": goods, "lists": lists}, Contract((Key("lists", ("lid",)),)))
+    out = both.nest("goods", "lists.items.good", {"items.gid": "gid"}, ["title"])
+    got = {r.lid: [(i.n, i.good.title) for i in r["items"]] for r in out["lists"].collect()}
+    assert got == {7: [(3, "pen"), (4, "ink")], 8: []}
+
+
+def test_key_counts_use_the_table_before_joins(ds):
+    out = ds.nest("people", "orders.buyer", {"pid": "pid"}, ["name"])
+    assert out.key_rows("orders", ["oid"]) is not out["orders"]
+    assert "pid" not in out.bases["orders"].columns
+    later = out.add_property("orders.pid", "Integer", 1)
+    assert later.key_rows("orders", ["pid"]) is later["orders"]
+
+
+def test_verdict(ds):
+    from modelshift.operators.compare import migration_verdict, reconcile
+
+    same = reconcile("people", ds["people"], ds["people"], ["pid"])
+    fewer = reconcile("people", ds["people"], ds["people"].where("pid = 1"), ["pid"])
+    assert migration_verdict(False, same) == "steps failed"
+    assert migration_verdict(True, None) == "unverifiable"
+    assert migration_verdict(True, same.unionByName(fewer)) == "rows lost"
+    assert migration_verdict(True, same, ds.check()) == "ok"
+    assert migration_verdict(True, same, ds.recard("orders", ["pid"], "1..1").check()) == "rules broken"
+
+
 def test_rename_entity_moves_pointers(ds):
     out = ds.rename_entity("people", "clients")
     assert out.contract.of("orders", Reference)[0].parent == "clients"

@@ -201,3 +201,13 @@ def test_gather_against_brute_force(spark, pairs, limit):
     for k, v in pairs:
         want[k].append(v)
     assert {k: sorted(v) for k, v in seen.items()} == {k: sorted(v) for k, v in want.items()}
+
+
+def test_elements_with_maps_spread_too(spark):
+    df = spark.range(90).select(
+        (F.col("id") % 2).cast("int").alias("k"),
+        F.create_map(F.lit("a"), F.col("id") % 5, F.lit("b"), F.col("id") % 3).alias("m"))
+    for limit in (1000, 10):
+        out = st.wind_group(df, "m", part_column="part", max_elements=limit)
+        back = st.unwind(out, "m").select("k", "m.a", "m.b")
+        assert cmp.bag_diff(back, df.select("k", "m.a", "m.b")).count() == 0
