@@ -652,7 +652,7 @@ class Dataset:
         """Remove rows of an entity and the edges that would dangle."""
         kept = self[entity].where(~F.coalesce(where, F.lit(False)))
         changes = {entity: kept}
-        key = "id" if self.kinds[entity] == "vertex" else self.contract.key_columns(entity)[0]
+        key = ["id"] if self.kinds[entity] == "vertex" else list(self.contract.key_columns(entity))
         for name, ends in self.ends.items():
             edges = self[name]
             for col, end in (("src", ends.source), ("dst", ends.target)):

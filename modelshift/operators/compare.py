@@ -117,13 +117,20 @@ def fingerprint(df: DataFrame) -> DataFrame:
 
 
 def same_rows(left: DataFrame, right: DataFrame) -> DataFrame:
-    """One row: row counts, whether the fingerprints agree."""
-    a = fingerprint(left).select(F.col("n_rows").alias("left_rows"), F.col("hash_sum").alias("l"))
-    b = fingerprint(right).select(F.col("n_rows").alias("right_rows"), F.col("hash_sum").alias("r"))
-    # Both sides are single rows; the join key is a constant.
-    joined = a.withColumn("_one", F.lit(1)).join(b.withColumn("_one", F.lit(1)), "_one")
-    equal = (F.col("left_rows") == F.col("right_rows")) & F.col("l").eqNullSafe(F.col("r"))
-    return joined.select("left_rows", "right_rows", equal.alias("equal"))
+    """One row: row counts, whether the fingerprints agree. One scan of each side."""
+
+    def hashed(df: DataFrame, is_left: bool) -> DataFrame:
+        return df.select(row_hash(df).cast("decimal(38,0)").alias("h"), F.lit(is_left).alias("l"))
+
+    both = hashed(left, True).unionByName(hashed(right, False))
+    sums = both.agg(
+        F.count_if("l").alias("left_rows"),
+        F.count_if(~F.col("l")).alias("right_rows"),
+        F.sum(F.when(F.col("l"), F.col("h"))).alias("a"),
+        F.sum(F.when(~F.col("l"), F.col("h"))).alias("b"),
+    )
+    equal = (F.col("left_rows") == F.col("right_rows")) & F.col("a").eqNullSafe(F.col("b"))
+    return sums.select("left_rows", "right_rows", equal.alias("equal"))
 
 
 def contract_diff(
@@ -262,24 +269,28 @@ def edge_cardinality(
     down = observe_cardinality(edges, [other], parent, parent_key)
     target_end, source_end = ("source_end", "target_end") if from_parent else (
         "target_end", "source_end")
-    ends = {
-        "target_end": up.select(F.col("source_end").alias("_e")),
-        "source_end": down.select(F.col("source_end").alias("_e")),
-    }
-    rows: DataFrame | None = None
-    for end in ("target_end", "source_end"):
-        edge_end = target_end if end == "target_end" else source_end
-        one = (
-            fk.select(F.lit(1).alias("_one"), F.col(end).alias("reference"))
-            .join(ends[end].withColumn("_one", F.lit(1)), "_one")
-            .select(
-                F.lit(end).alias("reference_end"),
-                F.lit(edge_end).alias("edge_end"),
-                "reference",
-                F.col("_e").alias("edge"),
-                (F.col("reference") == F.col("_e")).alias("kept"),
-            )
+    measured = [
+        (fk, "target_end", "target_end", "reference"),
+        (fk, "source_end", "source_end", "reference"),
+        (up, "source_end", "target_end", "edge"),
+        (down, "source_end", "source_end", "edge"),
+    ]
+    facts = [
+        df.select(F.lit(end).alias("reference_end"), F.lit(who).alias("who"), F.col(col).alias("is"))
+        for df, col, end, who in measured
+    ]
+    union = facts[0]
+    for one in facts[1:]:
+        union = union.unionByName(one)
+    edge_end = F.when(F.col("reference_end") == "target_end", target_end).otherwise(source_end)
+    return (
+        union.groupBy("reference_end")
+        .agg(
+            F.max(F.when(F.col("who") == "reference", F.col("is"))).alias("reference"),
+            F.max(F.when(F.col("who") == "edge", F.col("is"))).alias("edge"),
         )
-        rows = one if rows is None else rows.unionByName(one)
-    assert rows is not None
-    return rows
+        .select(
+            "reference_end", edge_end.alias("edge_end"), "reference", "edge",
+            F.col("reference").eqNullSafe(F.col("edge")).alias("kept"),
+        )
+    )

@@ -106,10 +106,10 @@ def rename_label(df: DataFrame, old: str, new: str) -> DataFrame:
 
 
 def without_dangling(
-    edges: DataFrame, vertices: DataFrame, end: str, key: str = "id"
+    edges: DataFrame, vertices: DataFrame, end: str, key: list[str] | None = None
 ) -> DataFrame:
-    """Edges whose ``end`` is among the vertices."""
-    ids = vertices.select(P.column(key).alias("_id"))
+    """Edges whose ``end`` is among the vertices, known by ``id`` or by their key columns."""
+    ids = vertices.select(_one(key or ["id"]).alias("_id"))
     return edges.join(ids, edges[end] == F.col("_id"), "left_semi")
 
 

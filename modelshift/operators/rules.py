@@ -170,14 +170,16 @@ class Contract:
     def without_column(self, entity: str, path: str) -> Contract:
         """Without the rules that use a column of the entity."""
 
+        def within(col: str) -> bool:
+            col = col.split(" ")[0]
+            return col == path or col.startswith(path + ".")
+
         def uses(r: Rule) -> bool:
-            if isinstance(r, Reference) and r.parent == entity and path in r.parent_columns:
+            if isinstance(r, Reference) and r.parent == entity and any(map(within, r.parent_columns)):
                 return True
             if r.entity != entity:
                 return False
-            if isinstance(r, (Key, Reference)):
-                return path in [c.split(" ")[0] for c in r.columns]
-            return r.path == path or r.path.startswith(path + ".")
+            return any(map(within, r.columns)) if isinstance(r, (Key, Reference)) else within(r.path)
 
         return Contract(tuple(r for r in self.rules if not uses(r)))
 
@@ -194,10 +196,14 @@ class Contract:
     def renamed_column(self, entity: str, old: str, new: str) -> Contract:
         """``old`` and ``new`` are full paths."""
 
+        def moved(col: str) -> str:
+            name, *order = col.split(" ")
+            if name == old or name.startswith(old + "."):
+                name = new + name[len(old) :]
+            return " ".join([name, *order])
+
         def swap(cols: tuple[str, ...]) -> tuple[str, ...]:
-            return tuple(
-                " ".join([new, *c.split(" ")[1:]]) if c.split(" ")[0] == old else c for c in cols
-            )
+            return tuple(map(moved, cols))
 
         def move(r: Rule) -> Rule:
             if isinstance(r, Reference) and r.parent == entity:
@@ -206,9 +212,7 @@ class Contract:
                 return r
             if isinstance(r, (Key, Reference)):
                 return replace(r, columns=swap(r.columns))
-            if r.path == old or r.path.startswith(old + "."):
-                return replace(r, path=new + r.path[len(old) :])
-            return r
+            return replace(r, path=moved(r.path))
 
         return Contract(tuple(move(r) for r in self.rules))
 
@@ -222,17 +226,41 @@ def _any_null(cols: Iterable[str]) -> Column:
     return out
 
 
+def key_values(df: DataFrame, columns: list[str], names: list[str]) -> DataFrame:
+    """The key columns alone, under new names; paths may lie inside objects and arrays.
+
+    Columns inside an array give one row per element, so they must share their array.
+    """
+    schema = df.schema
+    paths = [P.resolve(schema, c) for c in columns]
+    inside = [bool(P.arrays_above(schema, p)) for p in paths]
+    values = [P.value(schema, p).alias(n) for p, n in zip(paths, names)]
+    if not any(inside):
+        return df.select(*values)
+    if len({tuple(P.arrays_above(schema, p)) for p, i in zip(paths, inside) if i}) > 1:
+        raise ValueError(f"{columns} lie in different arrays")
+    zipped = F.arrays_zip(*[v for v, i in zip(values, inside) if i])
+    opened = df.select(*[v for v, i in zip(values, inside) if not i], F.explode(zipped).alias("_z"))
+    fields = iter(opened.schema["_z"].dataType.names)
+    return opened.select(
+        *[
+            F.col("_z").getField(next(fields)).alias(n) if i else P.column(n)
+            for n, i in zip(names, inside)
+        ]
+    )
+
+
 def check_key(df: DataFrame, columns: list[str]) -> DataFrame:
     """One row: rows, distinct keys, groups and rows that repeat a key, rows with a null part.
 
     Copies collapse to a count before the shuffle, and only the key columns are read.
     """
-    keys = [P.column(c) for c in columns]
+    names = [f"_k{i}" for i in range(len(columns))]
     groups = (
-        df.select(*keys)
-        .groupBy(*keys)
+        key_values(df, columns, names)
+        .groupBy(*names)
         .agg(F.count("*").alias("_n"))
-        .select("_n", _any_null(columns).alias("_null"))
+        .select("_n", _any_null(names).alias("_null"))
     )
     repeats = (F.col("_n") > 1) & ~F.col("_null")
     return groups.agg(
@@ -254,12 +282,12 @@ def _linked(
     """Child and parent key values with their row counts ``_c`` and ``_p``, joined."""
     aliases = [f"_k{i}" for i in range(len(columns))]
     kids = (
-        child.select(*[P.column(c).alias(a) for c, a in zip(columns, aliases)])
+        key_values(child, columns, aliases)
         .groupBy(*aliases)
         .agg(F.count("*").alias("_c"))
     )
     folks = (
-        parent.select(*[P.column(c).alias(a) for c, a in zip(parent_columns, aliases)])
+        key_values(parent, parent_columns, aliases)
         .groupBy(*aliases)
         .agg(F.count("*").alias("_p"))
     )

@@ -198,3 +198,19 @@ def test_graph_round_trip(spark):
     models.write_edges(e, folder, "KNOWS")
     vs, es = models.read_graph(spark, folder, {"p": v.schema}, {"KNOWS": e.schema})
     assert vs["p"].first()._labels == ["p"] and es["KNOWS"].first().w == 2.0
+
+
+def test_reference_from_inside_objects_and_arrays(spark):
+    orders = spark.createDataFrame(
+        [(1, (5,), [(1, "a"), (9, "b")]), (2, (6,), [(2, "c")]), (3, None, None)],
+        "id int, who struct<boss int>, items array<struct<gid int, t string>>")
+    goods = spark.createDataFrame([(1,), (2,)], "gid int")
+    people = spark.createDataFrame([((5,),)], "p struct<id int>")
+    assert one(R.check_reference(orders, ["items.gid"], goods, ["gid"])) == {
+        "n_rows": 3, "null_rows": 0, "orphan_keys": 1, "orphan_rows": 1}
+    assert one(R.check_reference(orders, ["who.boss"], people, ["p.id"])) == {
+        "n_rows": 3, "null_rows": 1, "orphan_keys": 1, "orphan_rows": 1}
+    assert one(R.check_key(orders, ["id", "items.gid"]))["n_keys"] == 3
+    contract = R.Contract((R.Reference("o", ("who.boss",), "p", ("p.id",)),))
+    assert contract.renamed_column("o", "who", "whom").rules[0].columns == ("whom.boss",)
+    assert not contract.without_column("o", "who").rules
