@@ -211,3 +211,43 @@ def test_elements_with_maps_spread_too(spark):
         out = st.wind_group(df, "m", part_column="part", max_elements=limit)
         back = st.unwind(out, "m").select("k", "m.a", "m.b")
         assert cmp.bag_diff(back, df.select("k", "m.a", "m.b")).count() == 0
+
+
+# --- hot join keys -------------------------------------------------------------------
+
+SPLITTING = {
+    "spark.sql.autoBroadcastJoinThreshold": "-1",
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "100KB",
+    "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "50KB",
+}
+
+
+@pytest.fixture()
+def splitting(spark):
+    old = {k: spark.conf.get(k, None) for k in SPLITTING}
+    for k, v in SPLITTING.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in old.items():
+        spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def test_hot_join_keys_are_split(spark, splitting):
+    """The joins keep the shape in which Spark splits a hot key at run time."""
+    from modelshift.operators import rules as R
+
+    n = 120_000
+    many = spark.range(n).repartition(8).select(
+        F.when(F.col("id") % 3 == 0, 1).otherwise(F.col("id") % 5000).alias("k"),
+        F.col("id").alias("v"), F.md5(F.col("id").cast("string")).alias("t"))
+    one = spark.range(5000).select(F.col("id").alias("k"), F.lit("x").alias("name"))
+    frames = {
+        "nest": st.nest_one(many, one, {"k": "k"}, "o", ["name"], check=False),
+        "merge": st.merge_join(one, many, ["k"], one="first"),
+        "orphans": R.orphans(many, ["k"], one.where("k > 10"), ["k"]),
+    }
+    for name, df in frames.items():
+        df.toArrow()
+        assert "skew=true" in df._jdf.queryExecution().executedPlan().toString(), name
