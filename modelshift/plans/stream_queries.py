@@ -90,20 +90,20 @@ def stream_quarantine(spark: SparkSession, d: str) -> DataFrame:
 """)
 def stream_wind(spark: SparkSession, d: str) -> DataFrame:
     """Values per type and six hours; a window is written once the watermark has passed it."""
-    timed = events(spark, d).withColumn("ts", F.col("ts").cast("timestamp"))
+    timed = events(spark, d).withColumn("ts", sm.as_instant(F.col("ts")))
     lists = sm.run_to_table(sm.wind_windows(
         timed, "ts", ["event_type"], "value", window="6 hours", late="1 hour", salt=["event_id"]))
     return lists.groupBy("window_start", "event_type").agg(
         F.sum(F.size("value")).cast("bigint").alias("n_values"),
         F.min(F.array_min("value")).alias("lowest"),
         F.max(F.array_max("value")).alias("highest"),
-    ).withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+    ).withColumn("window_start", sm.as_naive(F.col("window_start")))
 
 
 @query("stream_unique", "SELECT count(*) AS n_rows, count(DISTINCT event_id) AS n_ids FROM events")
 def stream_unique(spark: SparkSession, d: str) -> DataFrame:
     """Every event arrives twice and is kept once."""
-    timed = events(spark, d).withColumn("ts", F.col("ts").cast("timestamp"))
+    timed = events(spark, d).withColumn("ts", sm.as_instant(F.col("ts")))
     twice = timed.select("event_id", "ts", F.explode(F.array(F.lit(1), F.lit(2))).alias("copy"))
     kept = sm.run_to_table(sm.unique_within(twice, "ts", ["event_id"], "1 hour"))
     return kept.agg(

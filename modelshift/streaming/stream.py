@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -14,6 +14,21 @@ from modelshift.operators.rules import RowRule, broken_rules
 from modelshift.session import new_folder
 
 
+def as_instant(naive: Column) -> Column:
+    """A time without a zone as the instant it names in UTC, whatever the session's zone.
+
+    Watermarks need instants; a plain cast would read the time in the session's zone.
+    """
+    return F.concat(naive.cast("string"), F.lit("Z")).cast("timestamp")
+
+
+def as_naive(instant: Column) -> Column:
+    """The reverse: the UTC time of an instant, without a zone."""
+    seconds = F.unix_micros(instant).cast("decimal(24,0)") / F.lit(1_000_000)
+    since = F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), seconds.cast("decimal(18,6)"))
+    return F.expr("timestamp_ntz'1970-01-01 00:00:00'") + since
+
+
 def read_stream(
     spark: SparkSession, path: str, schema: T.StructType, *, files_per_trigger: int | None = None
 ) -> DataFrame:

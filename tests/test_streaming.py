@@ -75,3 +75,16 @@ def test_nest_static(spark, folder):
     names = spark.createDataFrame([("a", "Anna")], "k string, name string")
     out = sm.run_to_table(sm.nest_static(stream(spark, folder), names, {"k": "k"}, "who", ["name"]))
     assert out.where("who is null").count() == 3
+
+
+def test_times_do_not_depend_on_the_session_zone(spark):
+    old = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+        df = spark.sql("SELECT timestamp_ntz'2024-03-10 02:30:00.000123' AS t")
+        got = df.select(
+            F.unix_micros(sm.as_instant(F.col("t"))).alias("us"),
+            sm.as_naive(sm.as_instant(F.col("t"))).cast("string").alias("back")).first()
+        assert got.us == 1710037800000123 and got.back == "2024-03-10 02:30:00.000123"
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
