@@ -25,6 +25,7 @@ def local_session(cpus: str = "*", app: str = "modelshift") -> SparkSession:
         .config("spark.driver.memory", "8g")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
+        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="modelshift-"))
         .getOrCreate()
     )
 
@@ -32,7 +33,7 @@ def local_session(cpus: str = "*", app: str = "modelshift") -> SparkSession:
 def shared_folder(spark: SparkSession) -> str:
     """The folder every executor can reach, as named by ``spark.checkpoint.dir``.
 
-    Only a local session may fall back to a folder of its own.
+    Where it is unset, a session whose executors are threads of the driver gets one.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
@@ -42,7 +43,7 @@ def shared_folder(spark: SparkSession) -> str:
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if spark.sparkContext.master.split("[")[0] != "local":
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
     spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="modelshift-"))
     return spark.sparkContext.getCheckpointDir().rstrip("/")

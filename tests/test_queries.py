@@ -5,7 +5,8 @@ import pytest
 import __spark_entry__ as entry
 from tests.oracle import compare, connect
 
-QUERIES, SQL = entry.queries(), entry.oracle_sql()
+from modelshift.plans.registry import ORACLE as SQL
+from modelshift.plans.registry import QUERIES
 
 
 @pytest.fixture(scope="module")
