@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
+from .decontamination import find_contamination, hit_words
+from .packing import pack, tokenizer_text
 from .toxicity import score_toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,3 +34,27 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("id").alias("doc_id"), "held_out", "score",
         (F.col("score") >= 0.7).cast("int").alias("predicted"),
     )
+
+
+@query("op4_decontamination")
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    n_hit = hit_words()
+    return found.select(
+        F.col("id").alias("doc_id"), "n_words", n_hit.alias("n_hit"),
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.concat_ws(",", "items").cast("binary"), 256).alias("items_sha256"),
+        (n_hit > 0).alias("contaminated"),
+    )
+
+
+def word_tokenizer() -> str:
+    import public_tokenizers
+
+    return tokenizer_text(public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query("op6_packing")
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = pack(table(spark, sf_dir, "documents"), word_tokenizer())
+    return packed.withColumnRenamed("id", "doc_id")
