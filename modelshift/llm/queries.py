@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from .common import table
 from .decontamination import find_contamination, hit_words
+from .lines import dedup_lines
 from .packing import pack, tokenizer_text
+from .simhash import near_duplicates
 from .toxicity import score_toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -36,6 +38,25 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op1_line_dedup")
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = dedup_lines(table(spark, sf_dir, "documents"))
+    return kept.select(
+        F.col("id").alias("doc_id"), "n_lines", F.size("dropped").alias("n_dropped"),
+        F.concat_ws(",", F.col("dropped").cast("array<string>")).alias("dropped"),
+        F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"),
+    )
+
+
+@query("op2_simhash")
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups = near_duplicates(table(spark, sf_dir, "documents"))
+    return groups.select(
+        F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
+        F.col("component").alias("component_id"),
+    )
+
+
 @query("op4_decontamination")
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
