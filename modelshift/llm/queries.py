@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .common import table
 from .decontamination import find_contamination, hit_words
+from .html import extract_text
 from .lines import dedup_lines
 from .packing import pack, tokenizer_text
 from .simhash import near_duplicates
@@ -79,3 +80,12 @@ def word_tokenizer() -> str:
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = pack(table(spark, sf_dir, "documents"), word_tokenizer())
     return packed.withColumnRenamed("id", "doc_id")
+
+
+@query("op10_html")
+def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = extract_text(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return texts.select(
+        F.col("id").alias("page_id"), F.col("row.url").alias("url"), "text",
+        F.length("text").cast("long").alias("n_chars"),
+    )
