@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .common import table
 from .decontamination import find_contamination, hit_words
+from .digest import fingerprint_documents
 from .html import extract_text
 from .lines import dedup_lines
 from .packing import pack, tokenizer_text
@@ -89,3 +90,9 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("id").alias("page_id"), F.col("row.url").alias("url"), "text",
         F.length("text").cast("long").alias("n_chars"),
     )
+
+
+@query("op5_digest")
+def op5_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prints = fingerprint_documents(table(spark, sf_dir, "documents"))
+    return prints.withColumnRenamed("id", "doc_id")
