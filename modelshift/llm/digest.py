@@ -91,7 +91,7 @@ def in_order_buckets(docs: DataFrame, parts: int) -> DataFrame:
     schema = ArrayType(StructType([StructField("bucket", LongType()), StructField("tail", LongType())]))
 
     @F.pandas_udf(schema)
-    def places(ids):
+    def places(ids, nulls):
         import pandas as pd
 
         cuts = shared.value
@@ -99,8 +99,7 @@ def in_order_buckets(docs: DataFrame, parts: int) -> DataFrame:
         values = np.array(cuts[offset:])
         firsts = set(cuts[offset:])
         out = []
-        for x in ids:
-            null = x is None or x != x
+        for x, null in zip(ids, nulls):
             at = 0 if null else offset + int(np.searchsorted(values, x, side="right")) - 1
             row = [{"bucket": at, "tail": 0}]
             if null or x in firsts:
@@ -108,7 +107,9 @@ def in_order_buckets(docs: DataFrame, parts: int) -> DataFrame:
             out.append(row)
         return pd.Series(out)
 
-    place = F.explode(places("id")).alias("place")
+    # Null ids travel as 0, so that pandas does not turn the others into floats.
+    known = F.coalesce("id", F.lit(0).cast(docs.schema["id"].dataType))
+    place = F.explode(places(known, F.col("id").isNull())).alias("place")
     return docs.select("id", "text", place).select("id", "text", "place.*")
 
 

@@ -13,6 +13,7 @@ from .digest import fingerprint_documents
 from .html import extract_text
 from .lines import dedup_lines
 from .packing import pack, tokenizer_text
+from .pii import KINDS, find_personal_data
 from .simhash import near_duplicates
 from .toxicity import score_toxicity
 
@@ -96,3 +97,25 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     prints = fingerprint_documents(table(spark, sf_dir, "documents"))
     return prints.withColumnRenamed("id", "doc_id")
+
+
+@query("op3_pii")
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_personal_data(table(spark, sf_dir, "documents"))
+    order = F.create_map(*[x for i, k in enumerate(KINDS) for x in (F.lit(k), F.lit(i))])
+
+    def joined(spans):
+        """kind:start:end by kind as listed, then start."""
+        sortable = F.transform(spans, lambda s: F.struct(
+            order[s["kind"]].alias("o"), s["start"].alias("s"), s["end"].alias("e"), s["kind"].alias("k")))
+        return F.array_join(F.transform(F.array_sort(sortable), lambda s: F.concat_ws(
+            ":", s["k"], s["s"].cast("string"), s["e"].cast("string"))), ",")
+
+    def count(kind):
+        return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return found.select(
+        F.col("id").alias("doc_id"), *map(count, KINDS),
+        F.sha2(joined(F.col("base")).cast("binary"), 256).alias("base_sha256"),
+        joined(F.concat("base", "added")).alias("spans"),
+    )
