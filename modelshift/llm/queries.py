@@ -14,6 +14,7 @@ from .html import extract_text
 from .lines import dedup_lines
 from .packing import pack, tokenizer_text
 from .pii import KINDS, find_personal_data
+from .resampling import resample
 from .simhash import near_duplicates
 from .toxicity import score_toxicity
 
@@ -119,3 +120,9 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(joined(F.col("base")).cast("binary"), 256).alias("base_sha256"),
         joined(F.concat("base", "added")).alias("spans"),
     )
+
+
+@query("op9_resampling")
+def op9_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sampled = resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return sampled.withColumnRenamed("id", "doc_id")
