@@ -16,6 +16,7 @@ from .packing import pack, tokenizer_text
 from .pii import KINDS, find_personal_data
 from .resampling import resample
 from .simhash import near_duplicates
+from .suffixes import repeated_passages
 from .toxicity import score_toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -126,3 +127,25 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     sampled = resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return sampled.withColumnRenamed("id", "doc_id")
+
+
+@query("op7_passages")
+def op7_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = repeated_passages(table(spark, sf_dir, "documents"))
+
+    def joined(spans):
+        """start:end of word ranges, in order."""
+        starts = F.filter(spans, lambda x, i: i % 2 == 0)
+        ends = F.filter(spans, lambda x, i: i % 2 == 1)
+        return F.array_join(F.zip_with(starts, ends, lambda a, b: F.concat_ws(
+            ":", a.cast("string"), b.cast("string"))), ",")
+
+    def words(spans):
+        signed = F.transform(spans, lambda x, i: F.when(i % 2 == 0, -x).otherwise(x))
+        return F.aggregate(signed, F.lit(0).cast("long"), lambda a, x: a + x)
+
+    return found.select(
+        F.col("id").alias("doc_id"), "n_words", words("repeated").alias("n_repeated"),
+        words("extra").alias("n_extra"), joined("repeated").alias("repeated_spans"),
+        joined("extra").alias("extra_spans"), F.col("first").alias("first_doc_id"),
+    )
