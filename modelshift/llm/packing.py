@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import json
 import zlib
+from array import array
 from collections.abc import Callable, Mapping
 from dataclasses import dataclass, field
+from functools import lru_cache
+from unicodedata import is_normalized
 
 import numpy as np
 from pyspark.sql import DataFrame, Window
@@ -14,40 +17,62 @@ from pyspark.sql import functions as F
 from .common import Columns, map_columns, stored
 
 END = b"\0\0\0\0"  # id 0 ends every document
-CACHED_WORDS = 400_000
+CACHED_WORDS = 250_000  # twice as many are kept at most
 CACHED_LENGTH = 48
 ROWS_PER_BUCKET = 100_000
 
 
+def _byte_letters() -> dict[int, str]:
+    """The letters that byte-level tokenizers write for bytes; printable bytes stand for themselves."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(others)}
+
+
+@lru_cache(maxsize=1)  # a worker's later tasks find the words of the earlier ones
 def word_encoder(tokenizer_json: str) -> Callable[[str], bytes]:
     """Text to ids as little-endian unsigned 32-bit integers.
 
-    The tokenizer drops white space and no token spans it, so each run between spaces and line
-    ends is encoded once and remembered.
+    The tokenizer lower-cases, drops white space, and no token spans it, so each run between
+    spaces and line ends is encoded once and remembered. A run of lower-case letters in normal
+    form is one word, and goes to the model without the steps before it.
     """
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_str(tokenizer_json)
     tokenizer.encode_special_tokens = True
-    known: dict[str, bytes] = {"": b""}
-
-    def pack(ids: list[int]) -> bytes:
-        return np.asarray(ids, dtype="<u4").tobytes()
+    model, letters = tokenizer.model, _byte_letters()
+    recent: dict[str, bytes] = {"": b""}
+    older: dict[str, bytes] = {}
+
+    def look_up(run: str) -> bytes:
+        nonlocal recent, older
+        found = older.get(run)
+        if found is None:
+            if run.isalpha() and run == run.lower() and is_normalized("NFC", run):
+                word = run if run.isascii() else run.encode().decode("latin-1").translate(letters)
+                ids = [t.id for t in model.tokenize(word)]
+            elif run[-1] in ".,;:!?" and run[-2:-1].lower().isalpha():
+                return get(run[:-1]) + get(run[-1])
+            else:
+                ids = tokenizer.encode(run, add_special_tokens=False).ids
+            found = array("I", ids).tobytes()
+        if len(run) <= CACHED_LENGTH:
+            if len(recent) >= CACHED_WORDS:
+                older, recent = recent, {"": b""}
+            recent[run] = found
+        return found
+
+    def get(run: str) -> bytes:
+        found = recent.get(run)
+        return look_up(run) if found is None else found
 
     def encode(text: str) -> bytes:
-        runs = text.replace("\n", " ").split(" ")
-        new = [w for w in set(runs) if w not in known]
-        extra = {}
-        if new:
-            if len(known) > CACHED_WORDS:
-                known.clear()
-                known[""] = b""
-                new = [w for w in set(runs) if w]
-            for w, e in zip(new, tokenizer.encode_batch(new, add_special_tokens=False)):
-                (known if len(w) <= CACHED_LENGTH else extra)[w] = pack(e.ids)
-        if extra:
-            return b"".join([known[w] if w in known else extra[w] for w in runs])
-        return b"".join(map(known.__getitem__, runs))
+        runs = text.encode("utf-8", "replace").lower().decode().replace("\n", " ").split(" ")
+        parts = list(map(recent.get, runs))
+        if None in parts:
+            parts = [get(r) if p is None else p for r, p in zip(runs, parts)]
+        return b"".join(parts)
 
     return encode
 
