@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from array import array
 from collections.abc import Callable, Mapping
@@ -35,13 +36,15 @@ def word_encoder(tokenizer_json: str) -> Callable[[str], bytes]:
 
     The tokenizer lower-cases, drops white space, and no token spans it, so each run between
     spaces and line ends is encoded once and remembered. A run of lower-case letters in normal
-    form is one word, and goes to the model without the steps before it.
+    form is one word, and goes to the model without the steps before it; so does one that signs
+    follow, which are a word of their own.
     """
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_str(tokenizer_json)
     tokenizer.encode_special_tokens = True
     model, letters = tokenizer.model, _byte_letters()
+    signs_after = re.compile(r"([^\W\d_]+)([!-&(-/:-@\[-`{-~]+)").fullmatch  # but for '
     recent: dict[str, bytes] = {"": b""}
     older: dict[str, bytes] = {}
 
@@ -49,14 +52,19 @@ def word_encoder(tokenizer_json: str) -> Callable[[str], bytes]:
         nonlocal recent, older
         found = older.get(run)
         if found is None:
-            if run.isalpha() and run == run.lower() and is_normalized("NFC", run):
-                word = run if run.isascii() else run.encode().decode("latin-1").translate(letters)
-                ids = [t.id for t in model.tokenize(word)]
-            elif run[-1] in ".,;:!?" and run[-2:-1].lower().isalpha():
-                return get(run[:-1]) + get(run[-1])
-            else:
-                ids = tokenizer.encode(run, add_special_tokens=False).ids
-            found = array("I", ids).tobytes()
+            if run.isascii() and run.isalpha():
+                found = array("I", [t.id for t in model.tokenize(run)]).tobytes()
+            elif run.isalpha() and is_normalized("NFC", run):
+                low = "".join(map(str.lower, run))
+                if low == run:
+                    word = run.encode().decode("latin-1").translate(letters)
+                    found = array("I", [t.id for t in model.tokenize(word)]).tobytes()
+                elif low.isalpha() and is_normalized("NFC", low):
+                    found = get(low)
+            elif (m := signs_after(run)) and m[1][-1].lower().isalpha():
+                found = get(m[1]) + get(m[2])
+            if found is None:
+                found = array("I", tokenizer.encode(run, add_special_tokens=False).ids).tobytes()
         if len(run) <= CACHED_LENGTH:
             if len(recent) >= CACHED_WORDS:
                 older, recent = recent, {"": b""}
