@@ -81,11 +81,20 @@ def in_order_buckets(docs: DataFrame, parts: int) -> DataFrame:
     """
     spark = docs.sparkSession
     shares = [k / parts for k in range(1, parts)] or [0.5]
-    found = docs.agg(F.min("id").alias("least"), F.percentile_approx(
-        "id", F.array(*map(F.lit, shares)), F.lit(20 * parts)).alias("cuts"),
-        F.count(F.when(F.col("id").isNull(), 1)).alias("nulls")).first()
-    cuts = sorted({c for c in [found["least"], *(found["cuts"] or [])] if c is not None})
-    if found["nulls"]:
+    ids = docs.select("id").where("id is not null")
+    about = sorted(set(ids.agg(F.percentile_approx(
+        "id", F.array(*map(F.lit, shares)), F.lit(20 * parts))).first()[0] or []))
+
+    @F.pandas_udf(LongType())
+    def ranges(values):
+        import pandas as pd
+
+        return pd.Series(np.searchsorted(np.array(about), values, side="right"))
+
+    # The quantiles go through doubles; the ranges start at the smallest ids beyond them.
+    starts = ids.groupBy(ranges("id").alias("range")).agg(F.min("id").alias("least")).collect()
+    cuts = sorted(r["least"] for r in starts)
+    if not docs.where("id is null").isEmpty():
         cuts = [None, *cuts]
     shared = spark.sparkContext.broadcast(cuts)  # at most as many ids as partitions
     schema = ArrayType(StructType([StructField("bucket", LongType()), StructField("tail", LongType())]))

@@ -45,7 +45,7 @@ _PLAIN = bytes(b + 32 if 65 <= b <= 90 else b if chr(b).isalnum() or b >= 128 el
                for b in range(256))
 _MIXED = re.compile(r"(?<!\S)(?=\S*[A-Za-z])(?=\S*[A-Za-z][0-9@$!*._-]+[A-Za-z]|[0-9@$][A-Za-z])"
                     r"[A-Za-z0-9@$!*._-]{3,40}(?!\S)")
-_SPACED = re.compile(r"(?<!\S)[A-Za-z](?:[ .*_-][A-Za-z]){3,20}(?!\S)")
+_SPACED = re.compile(r"(?<!\S)[A-Za-z](?:[ .*_-][A-Za-z]){3,20}(?![A-Za-z0-9])")
 _RUN = re.compile(rb"[!?*#$%&.]{2,}")
 
 
@@ -150,17 +150,12 @@ def score_toxicity(
     to fit the isotonic curve. The sample is bounded, so it is broadcast to the documents.
 
     A null text is empty; an empty text has zero features and is scored like any other. Repeated
-    rows get equal scores. A null id is never trained on and not held out. If the sample lacks one
-    of the two classes, every score is the share of toxic labels in it (0 without labels).
+    rows get equal scores. A null id is never trained on and not held out. If the rows for the trees
+    lack one of the two classes, every score is the share of toxic labels (0 without labels).
     """
     texts = docs.select(F.col(id_col).alias("id"),
                         F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     sample = stored(labelled_sample(labels, id_col, label_col, max_train_rows), "labels")
-    found = {r["label"] for r in sample.select("label").distinct().collect()}
-    if found != {0.0, 1.0}:
-        share = sample.agg(F.avg("label")).first()[0] or 0.0
-        return texts.select(
-            "id", held_out("id").alias("held_out"), F.lit(float(share)).alias("score"))
     learned = learn_lexicon(texts.join(F.broadcast(sample), "id").select("label", "text"))
 
     def prepare():
@@ -180,12 +175,20 @@ def score_toxicity(
 
     train = rows.join(F.broadcast(sample), "id").select("id", "label", "features")
     curve = F.pmod(F.xxhash64(F.lit("curve"), "id"), F.lit(4)) == 0
+    counts = {(r["curve"], r["label"]): r["count"] for r in
+              train.select(curve.alias("curve"), "label").groupBy("curve", "label").count().collect()}
+    if not (counts.get((False, 0.0)) and counts.get((False, 1.0))):
+        toxic = sum(n for (_, label), n in counts.items() if label)
+        share = toxic / max(1, sum(counts.values()))
+        return rows.select("id", held_out("id").alias("held_out"), F.lit(share).alias("score"))
+    # With too few rows apart, the curve is fitted on all of them.
+    for_curve = train.where(curve) if all(counts.get((True, x)) for x in (0.0, 1.0)) else train
     gbt = GBTClassifier(maxIter=trees, maxDepth=depth, stepSize=0.15, subsamplingRate=0.8, seed=17,
                         minInstancesPerNode=5, checkpointInterval=-1)
     model = gbt.fit(train.where(~curve))
     raw = vector_to_array("rawPrediction")[1]
     isotonic = IsotonicRegression(featuresCol="raw", labelCol="label", predictionCol="score")
-    fitted = isotonic.fit(model.transform(train.where(curve)).select(raw.alias("raw"), "label"))
+    fitted = isotonic.fit(model.transform(for_curve).select(raw.alias("raw"), "label"))
     scored = model.transform(rows).select("id", raw.alias("raw"))
     # Between equal steps of the curve the trees still order the texts, by a thousandth at most.
     tie = F.lit(0.001) * (F.lit(1.0) / (F.lit(1.0) + F.exp(-F.col("raw"))))
