@@ -72,6 +72,10 @@ class Dataset:
     #: Per entity an earlier frame with the same rows and some unchanged plain columns.
     #: Keys are counted there, without the joins that have been added since.
     bases: Mapping[str, DataFrame] = field(default_factory=dict)
+    #: Rows that an operation could not take along, by the entity it made.
+    rejected: Mapping[str, DataFrame] = field(default_factory=dict)
+    #: References that were deleted; edges made later take their cardinality from them.
+    deleted: tuple[Reference, ...] = ()
 
     def __post_init__(self) -> None:
         kinds = {n: self.kinds.get(n, "table") for n in self.frames}
@@ -218,6 +222,7 @@ class Dataset:
         *,
         many: bool | None = None,
         part_column: str | None = None,
+        elements_per_part: int | None = None,
         drop_source: bool = False,
     ) -> Dataset:
         """NEST: embed ``source`` into ``entity.alias``; ``on`` maps target to source columns.
@@ -248,7 +253,7 @@ class Dataset:
         elif many:
             out = st.nest_many(
                 dst, src, on, alias, fields, part_column=part_column,
-                sizes_from=self.key_rows(source, on.values()),
+                elements_per_part=elements_per_part,
             )
             need = any(r.source_cardinality == "1..n" for r in to_target)
             contract = contract.add(Embedded(target, alias, "1..n" if need else "0..n"))
@@ -298,7 +303,8 @@ class Dataset:
             )
         except KeyError as e:
             raise Skip(str(e)) from None
-        contract = self.contract
+        contract = self.contract.add(
+            *self.contract.moved_out(entity, full, as_, new.columns))
         if keep:
             rest = self[entity]
         else:
@@ -348,8 +354,15 @@ class Dataset:
             out = st.flatten(self[entity], full)
         except KeyError as e:
             raise Skip(str(e)) from None
-        return self.put(
-            {entity: out}, self.contract.without_column(entity, full), same_rows=True)
+        contract = self.contract
+        parent, name = P.parent_of(full)
+        level = P.element_of(P.type_at(self[entity].schema, parent)) if parent else self[entity].schema
+        for f in P.element_of(P.type_at(self[entity].schema, full)).names:
+            flat = f"{name}_{f}"
+            if flat not in level.names:  # a column of that name is kept, with its own rules
+                contract = contract.renamed_column(
+                    entity, f"{full}.{f}", f"{parent}.{flat}" if parent else flat)
+        return self.put({entity: out}, contract.without_column(entity, full), same_rows=True)
 
     def unflatten(
         self, entity: str, fields: list[str] | dict[str, str], name: str, *, null_if_empty: bool = False
@@ -382,9 +395,12 @@ class Dataset:
         entity, full = self.locate(path)
         return self.put({entity: st.wind(self[entity], full)})
 
-    def wind_group(self, path: str, *, part_column: str | None = None) -> Dataset:
+    def wind_group(
+        self, path: str, *, part_column: str | None = None, elements_per_part: int | None = None
+    ) -> Dataset:
         entity, full = self.locate(path)
-        return self.put({entity: st.wind_group(self[entity], full, part_column=part_column)})
+        return self.put({entity: st.wind_group(
+            self[entity], full, part_column=part_column, elements_per_part=elements_per_part)})
 
     def merge(self, first: str, second: str, into: str, on: list[str] | None = None) -> Dataset:
         """MERGE: by key columns, or without any a union; the first entity's key wins."""
@@ -455,14 +471,19 @@ class Dataset:
         cardinality: str = "0..n",
     ) -> Dataset:
         """TRANSFORM INTO RELATIONSHIP: ``src`` and ``dst`` name an entity and the columns
-        that refer to it. They are read before they are dropped."""
+        that refer to it. They are read before they are dropped.
+
+        ``cardinality`` says how many edges leave a source; ``check`` measures it. Rows that
+        lack one of the ends make no edge and are handed back in ``rejected``."""
         self._not_edge(entity, src[0], dst[0])
         edges = G.to_edges(self[entity], src[1], dst[1], drop)
+        lost = G.without_ends(self[entity], src[1], dst[1])
         contract = self.contract.without_entity(entity).add(
-            *self._end_rules(entity, Ends(src[0], dst[0]))
+            *self._end_rules(entity, Ends(src[0], dst[0]), cardinality)
         )
         ds = self.put({entity: edges}, contract, **{entity: "edge"})
-        return replace(ds, ends={**ds.ends, entity: Ends(src[0], dst[0])})
+        return replace(ds, ends={**ds.ends, entity: Ends(src[0], dst[0])},
+                       rejected={**ds.rejected, entity: lost})
 
     def transform_to_entity(self, entity: str, key: str = "id") -> Dataset:
         """TRANSFORM INTO ENTITY: the edge type becomes rows that keep both ends as columns."""
@@ -588,10 +609,13 @@ class Dataset:
         holder: str,
         reference: list[str],
         drop_reference: bool = False,
+        cardinality: str | None = None,
     ) -> Dataset:
         """ADD_ENTITY .. FROM .. TO: edges out of the reference columns of ``holder``.
 
-        ``holder`` is whichever end holds the reference; the direction follows.
+        ``holder`` is whichever end holds the reference; the direction follows. ``cardinality``
+        says how many edges leave a source. Without it both ends come from the rule on the
+        reference columns, also if that was deleted before, else they are 0..n.
         """
         for end in (source, target, holder):
             if end not in self:
@@ -600,12 +624,20 @@ class Dataset:
         if not key:
             raise Skip(f"{holder!r} has no key")
         from_parent = holder == target and source != target
+        held = [r for r in (*self.contract.of(holder, Reference), *reversed(self.deleted))
+                if r.entity == holder and r.columns == tuple(reference)]
+        bounds = ("0..n", "0..n")
+        if cardinality:
+            bounds = (cardinality, "0..n")
+        elif held:
+            bounds = (held[0].cardinality, held[0].source_cardinality)
+            bounds = bounds[::-1] if from_parent else bounds
         edges = G.edges_from_reference(self[holder], key, reference, from_parent=from_parent)
         ds = self
         if drop_reference:
             for c in reference:
                 ds = ds.delete_property(f"{holder}.{c}")
-        contract = ds.contract.add(*self._end_rules(name, Ends(source, target)))
+        contract = ds.contract.add(*self._end_rules(name, Ends(source, target), *bounds))
         known = self.is_proved(holder, key)
         ds = ds.put({name: edges}, contract, **{name: "edge"})
         if known:
@@ -629,14 +661,19 @@ class Dataset:
         contract = self.contract.without_entity(edge).add(*rules)
         return ds.put({holder: out}, contract, same_rows=True)
 
-    def _end_rules(self, name: str, ends: Ends) -> list[Rule]:
+    def _end_rules(
+        self, name: str, ends: Ends, leaving: str = "0..n", arriving: str = "0..n"
+    ) -> list[Rule]:
+        """What holds for an edge type: both ends exist, and so many edges leave and arrive."""
         rules: list[Rule] = []
-        for col, entity in (("src", ends.source), ("dst", ends.target)):
+        for col, entity, many in (
+            ("src", ends.source, leaving), ("dst", ends.target, arriving)
+        ):
             key = self.contract.key_columns(entity)
             if self.kinds.get(entity) == "vertex":
                 key = ("id",)
             if len(key) == 1:
-                rules.append(Reference(name, (col,), entity, key))
+                rules.append(Reference(name, (col,), entity, key, source_cardinality=many))
         return rules
 
     def delete_entity(self, name: str) -> Dataset:
@@ -802,7 +839,8 @@ class Dataset:
         same = [r for r in self.contract.of(entity, Reference) if r.columns == tuple(columns)]
         if not same:
             raise Skip(f"{entity!r} has no reference over {columns}")
-        return replace(self, contract=self.contract.remove(*same))
+        return replace(
+            self, contract=self.contract.remove(*same), deleted=(*self.deleted, *same))
 
     def add_check(self, path: str, text: str, test: Predicate) -> Dataset:
         entity, full = self.locate(path)
@@ -835,7 +873,14 @@ class Dataset:
         )
 
     def recard(self, entity: str, columns: list[str], cardinality: str) -> Dataset:
-        """RECARD: another target-end cardinality; the source end stays."""
+        """RECARD: another target-end cardinality; the source end stays.
+
+        For an edge type it is the number of edges that leave a source.
+        """
+        if self.kinds.get(entity) == "edge":
+            old = [r for r in self.contract.of(entity, Reference) if r.columns == ("src",)]
+            new = [replace(r, source_cardinality=cardinality) for r in old]
+            return replace(self, contract=self.contract.remove(*old).add(*new))
         old = [r for r in self.contract.of(entity, Reference) if r.columns == tuple(columns)]
         if not old:
             raise Skip(f"{entity!r} has no reference over {columns}")

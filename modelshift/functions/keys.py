@@ -51,13 +51,49 @@ def holds_map(dtype: T.DataType) -> bool:
     return False
 
 
+def wide(dtype: T.DataType) -> T.DataType:
+    """The type a value is compared in: whole numbers as bigint, other numbers as double.
+
+    Decimals of more than 15 digits stay as they are, since a double cannot hold them.
+    """
+    if isinstance(dtype, T.IntegralType):
+        return T.LongType()
+    if isinstance(dtype, T.FractionalType):
+        exact = isinstance(dtype, T.DecimalType) and dtype.precision > 15
+        return dtype if exact else T.DoubleType()
+    if isinstance(dtype, (T.CharType, T.VarcharType)):
+        return T.StringType()
+    if isinstance(dtype, T.ArrayType):
+        return T.ArrayType(wide(dtype.elementType))
+    if isinstance(dtype, T.MapType):
+        return T.MapType(wide(dtype.keyType), wide(dtype.valueType))
+    if isinstance(dtype, T.StructType):
+        return T.StructType([T.StructField(f.name, wide(f.dataType)) for f in dtype.fields])
+    return dtype
+
+
+def comparable(col: Column, dtype: T.DataType, other: T.DataType | None = None) -> Column:
+    """The value in its wide type, or in one it shares with a column of type ``other``.
+
+    Two kinds of number meet as doubles, everything else of different types as text.
+    """
+    mine = wide(dtype)
+    if other is not None and wide(other) != mine:
+        numbers = isinstance(dtype, T.NumericType) and isinstance(other, T.NumericType)
+        return col.cast("double" if numbers else "string")
+    return stable(col if mine == dtype else col.cast(mine), mine)
+
+
 #: Null flags per bigint mask.
 MASK_BITS = 62
 
 
-def row_hash(df: DataFrame) -> Column:
+def row_hash(df: DataFrame, other: T.StructType | None = None) -> Column:
     """xxhash64 over all columns in name order, so column order does not matter.
 
+    Numbers are hashed in their wide type, so that an int and a bigint of one value agree.
+    ``other`` is the schema of the rows that these will be compared with.
+
     A null mask goes in as well: xxhash64 alone passes over nulls, which would let a value
     move to a neighbouring null column unseen.
     """
@@ -69,4 +105,6 @@ def row_hash(df: DataFrame) -> Column:
             bit = F.when(column(f.name).isNull(), F.lit(1 << i)).otherwise(F.lit(0))
             mask = mask.bitwiseOR(bit.cast("bigint"))
         masks.append(mask)
-    return F.xxhash64(*masks, *[stable(column(f.name), f.dataType) for f in fields])
+    theirs = {f.name: f.dataType for f in other.fields} if other else {}
+    return F.xxhash64(
+        *masks, *[comparable(column(f.name), f.dataType, theirs.get(f.name)) for f in fields])

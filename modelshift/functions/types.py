@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import ParseException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -37,15 +38,19 @@ MODELS = ("relational", "document", "graph", "wide_column")
 
 
 def spark_type(dtype: str | T.DataType) -> T.DataType:
-    """A Spark type from a type, a script name (``Integer``) or Spark DDL (``array<int>``)."""
+    """A Spark type from a type, a script name (``Integer``) or Spark DDL (``array<int>``).
+
+    A name that is neither stands for string.
+    """
     if isinstance(dtype, T.DataType):
         return dtype
     named = NAMED_TYPES.get(dtype.upper())
     if named is not None:
         return named
-    if any(ch in dtype for ch in "<(") or dtype.lower() in ("bigint", "timestamp_ntz"):
+    try:
         return T._parse_datatype_string(dtype)
-    return T.StringType()
+    except ParseException:
+        return T.StringType()
 
 
 def conformed(col: Column, dtype: T.DataType, model: str) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from modelshift.functions import paths as P
-from modelshift.functions.keys import row_hash, stable
+from modelshift.functions.keys import comparable, row_hash, stable
 from modelshift.operators.grouping import require_unique
 from modelshift.operators.rules import (
     Contract,
@@ -26,8 +26,10 @@ def _side(df: DataFrame, key: list[str], prefix: str) -> DataFrame:
     )
 
 
-def _equal(a: Column, ta: T.DataType, b: Column, tb: T.DataType) -> Column:
+def _equal(a: Column, ta: T.DataType, b: Column, tb: T.DataType, labels: bool = False) -> Column:
     a, b = stable(a, ta), stable(b, tb)
+    if labels:  # a vertex's labels are a set
+        return F.array_sort(F.array_distinct(a)).eqNullSafe(F.array_sort(F.array_distinct(b)))
     if ta != tb:
         # Differing numeric widths still compare by value; other type changes by text.
         numeric = isinstance(ta, T.NumericType) and isinstance(tb, T.NumericType)
@@ -69,7 +71,7 @@ def dataset_diff(
         elif yours is None:
             heads.append((n, zero, F.col("common") + F.col("extra"), zero, "column extra"))
         else:
-            same = _equal(P.column(f"a_{n}"), mine, P.column(f"e_{n}"), yours)
+            same = _equal(P.column(f"a_{n}"), mine, P.column(f"e_{n}"), yours, n == "_labels")
             aggs.append(F.count_if(here & there & ~same).alias(f"c{i}"))
             note = "" if _type_text(mine) == _type_text(yours) else "type differs"
             heads.append((n, zero, zero, F.col(f"c{i}"), note))
@@ -119,10 +121,11 @@ def fingerprint(df: DataFrame) -> DataFrame:
 def same_rows(left: DataFrame, right: DataFrame) -> DataFrame:
     """One row: row counts, whether the fingerprints agree. One scan of each side."""
 
-    def hashed(df: DataFrame, is_left: bool) -> DataFrame:
-        return df.select(row_hash(df).cast("decimal(38,0)").alias("h"), F.lit(is_left).alias("l"))
+    def hashed(df: DataFrame, other: DataFrame, is_left: bool) -> DataFrame:
+        h = row_hash(df, other.schema).cast("decimal(38,0)")
+        return df.select(h.alias("h"), F.lit(is_left).alias("l"))
 
-    both = hashed(left, True).unionByName(hashed(right, False))
+    both = hashed(left, right, True).unionByName(hashed(right, left, False))
     sums = both.agg(
         F.count_if("l").alias("left_rows"),
         F.count_if(~F.col("l")).alias("right_rows"),
@@ -141,16 +144,18 @@ def contract_diff(
 ) -> DataFrame:
     """Both contracts, measured on their own data, side by side.
 
+    Rules are the same if they say the same: two checks with one label and different
+    conditions are two rules.
     ``side`` tells where a rule is stated; the violations tell whether it holds there.
     Missing or extra keys and checks are errors, references and embeddeds warnings.
     """
-    a = check_contract(actual, actual_rules).select(
-        "entity", "rule", F.col("violations").alias("actual_violations"), F.lit(1).alias("_a")
+    a = check_contract(actual, actual_rules, identities=True).select(
+        "entity", "rule", "identity", F.col("violations").alias("actual_violations"), F.lit(1).alias("_a")
     )
-    e = check_contract(expected, expected_rules).select(
-        "entity", "rule", F.col("violations").alias("expected_violations"), F.lit(1).alias("_e")
+    e = check_contract(expected, expected_rules, identities=True).select(
+        "entity", "rule", "identity", F.col("violations").alias("expected_violations"), F.lit(1).alias("_e")
     )
-    joined = a.join(e, ["entity", "rule"], "full_outer")
+    joined = a.join(e, ["entity", "rule", "identity"], "full_outer")
     side = (
         F.when(F.col("_e").isNull(), "actual").when(F.col("_a").isNull(), "expected").otherwise("both")
     )
@@ -184,27 +189,39 @@ def reconcile(
     """One row: rows on both sides, keys lost and invented, rows changed, and the verdict.
 
     Only the columns both sides have are compared, and rows travel as a key and one hash.
-    Copies of a key are counted, not multiplied: each side is reduced to one row per key
-    holding the number of rows and the sum of their hashes.
+    Both sides go through one grouping by key, with the number of rows and the sum of their
+    hashes for each side; nothing is joined. Values of different types are compared as in
+    :func:`row_hash`, so a wider number type is no change.
     """
     target_key = target_key or key
     common = sorted(
         (set(source.columns) - set(key)) & (set(target.columns) - set(target_key))
     )
-
-    def reduced(df: DataFrame, cols: list[str], prefix: str) -> DataFrame:
-        body = df.select(*[P.column(c) for c in common])
-        h = row_hash(body).cast("decimal(38,0)") if common else F.lit(0).cast("decimal(38,0)")
-        return (
-            df.select(*[P.column(c).alias(f"_k{i}") for i, c in enumerate(cols)], h.alias("_h"))
-            .groupBy(*[f"_k{i}" for i in range(len(cols))])
-            .agg(F.count("*").alias(f"{prefix}n"), F.sum("_h").alias(f"{prefix}h"))
-        )
-
-    left, right = reduced(source, key, "s_"), reduced(target, target_key, "t_")
+    names = [f"_k{i}" for i in range(len(key))]
+
+    def marked(df: DataFrame, cols: list[str], other: DataFrame, theirs: list[str], left: bool) -> DataFrame:
+        body, rest = (x.select(*[P.column(c) for c in common]) for x in (df, other))
+        h = row_hash(body, rest.schema) if common else F.lit(0)
+        kinds = [P.type_at(other.schema, c) for c in theirs]
+        keys = [
+            comparable(P.column(c), P.type_at(df.schema, c), t).alias(n)
+            for c, t, n in zip(cols, kinds, names)
+        ]
+        return df.select(*keys, h.cast("decimal(38,0)").alias("_h"), F.lit(left).alias("_left"))
+
+    both = marked(source, key, target, target_key, True).unionByName(
+        marked(target, target_key, source, key, False)
+    ).groupBy(*names).agg(
+        F.count_if("_left").alias("s_n"), F.count_if(~F.col("_left")).alias("t_n"),
+        F.sum(F.when(F.col("_left"), F.col("_h"))).alias("s_h"),
+        F.sum(F.when(~F.col("_left"), F.col("_h"))).alias("t_h"),
+    )
     # Keys with a null part never match, so they are counted as lost and invented.
-    both = left.join(right, [f"_k{i}" for i in range(len(key))], "full_outer")
-    lost, new = F.col("t_n").isNull(), F.col("s_n").isNull()
+    null = F.lit(False)
+    for n in names:
+        null = null | F.col(n).isNull()
+    lost = (F.col("s_n") > 0) & ((F.col("t_n") == 0) | null)
+    new = (F.col("t_n") > 0) & ((F.col("s_n") == 0) | null)
     changed = ~lost & ~new & ((F.col("s_n") != F.col("t_n")) | (F.col("s_h") != F.col("t_h")))
     counts = both.agg(
         F.coalesce(F.sum("s_n"), F.lit(0)).alias("source_rows"),

@@ -73,6 +73,11 @@ def to_edges(
     )
 
 
+def without_ends(df: DataFrame, src: list[str], dst: list[str]) -> DataFrame:
+    """The rows that make no edge, because a column of one of their ends is null."""
+    return df.where(" or ".join(f"{P.quoted(c)} is null" for c in [*src, *dst]))
+
+
 def to_entity(edges: DataFrame, key: str = "id", natural: list[str] | None = None) -> DataFrame:
     """TRANSFORM INTO ENTITY: edges become rows with a surrogate key and both ends kept."""
     cols = natural or edges.columns

@@ -1,25 +1,14 @@
-"""Collect rows into arrays without ever holding an oversized group in one task."""
+"""Collect rows into arrays, whole or in parts of a stated size."""
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from modelshift.functions.keys import holds_map, stable
 from modelshift.functions.paths import column, quoted
-from modelshift.session import shared_folder
-
-#: Elements one array may hold before its group is spread over several parts.
-MAX_ELEMENTS = 100_000
-#: Oversized groups are broadcast only up to this many keys.
-BROADCAST_KEYS = 50_000
-
-
-class OversizedGroup(ValueError):
-    """A group is larger than one array may be and no part column was asked for."""
-
 
 class DuplicateKey(ValueError):
     """A key that must be unique is not."""
@@ -45,9 +34,9 @@ def require_unique(df: DataFrame, cols: list[str], what: str) -> None:
 
 @dataclass(frozen=True)
 class Gathered:
-    """Arrays per key, and which keys needed several of them.
+    """Arrays per key, and per part of it where the caller asked for parts.
 
-    ``parts`` lists the spread-out keys with their number of parts; None when no key did.
+    ``parts`` lists every key with its number of parts; None without parts.
     """
 
     rows: DataFrame
@@ -61,45 +50,28 @@ def gather(
     alias: str,
     *,
     part_column: str | None = None,
-    max_elements: int | None = MAX_ELEMENTS,
-    sizes_from: DataFrame | None = None,
+    elements_per_part: int | None = None,
 ) -> Gathered:
-    """One sorted array of ``element`` per key, in ``alias``.
-
-    The group sizes are counted first, from the key columns alone. A key with more than
-    ``max_elements`` rows yields several rows numbered in ``part_column``, each with a
-    share of the elements, so that a key owning a third of all rows spreads over many
-    tasks. Without a part column such a key is refused. ``sizes_from`` is a frame with the
-    same keys that is cheaper to count, such as the table ``rows`` were joined from.
-    ``max_elements=None`` skips the count, for sources known to be small per key.
+    """Sorted arrays of ``element`` per key, in ``alias``.
+
+    Without a part column one array holds a whole key; that suits keys whose number of rows
+    is known to be small. With one, every key comes out as (key, part), whatever its size:
+    each part but the last holds exactly ``elements_per_part`` elements, so that a key that
+    owns a third of all rows spreads over many tasks. Which one is the caller's choice alone;
+    the data decides neither the columns nor the path.
     """
+    if (part_column is None) != (elements_per_part is None):
+        raise ValueError("part_column and elements_per_part go together")
     carried = rows.select(*[column(k) for k in keys], element.alias(alias))
     kind = carried.schema[alias].dataType
     # Maps have no order, so elements that hold one are sorted and compared by a stable form.
     carried = carried.withColumn("_order", stable(column(alias), kind)) if holds_map(kind) else carried
-    sizes = oversized = None
-    if max_elements is not None:
-        sizes = (
-            (rows if sizes_from is None else sizes_from)
-            .select(*[column(k) for k in keys])
-            .groupBy(*[column(k) for k in keys])
-            .agg(F.count("*").alias("_n"))
-            .where(F.col("_n") > max_elements)
-        )
-        oversized = sizes.count()
-    if not oversized:
+    if part_column is None:
         whole = carried.groupBy(*[column(k) for k in keys]).agg(
             _sorted_list(carried, alias).alias(alias)
         )
-        if part_column:
-            whole = whole.withColumn(part_column, F.lit(0))
         return Gathered(whole, None)
-    if part_column is None:
-        raise OversizedGroup(
-            f"{oversized} groups by ({', '.join(keys)}) hold more than {max_elements} rows; "
-            "name a part_column to spread them over several rows"
-        )
-    return _gather_in_parts(carried, keys, alias, sizes, oversized, part_column, max_elements)
+    return _gather_in_parts(carried, keys, alias, part_column, elements_per_part)
 
 
 def _packed(rows: DataFrame, alias: str) -> Column:
@@ -125,59 +97,47 @@ def _sorted_list(rows: DataFrame, alias: str) -> Column:
 
 
 def _gather_in_parts(
-    carried: DataFrame,
-    keys: list[str],
-    alias: str,
-    sizes: DataFrame,
-    oversized: int,
-    part_column: str,
-    max_elements: int,
+    carried: DataFrame, keys: list[str], alias: str, part_column: str, per_part: int
 ) -> Gathered:
-    # Twice as many parts as needed, and slices of equal rows no larger than a sixteenth of
-    # a part, keep the hashed shares below the limit.
-    slice_len = max(1, max_elements // 16)
-    shared_folder(carried.sparkSession)
-    parts = sizes.select(
-        *[column(k) for k in keys],
-        F.ceil(2 * F.col("_n") / max_elements).cast("int").alias("_parts"),
-    ).checkpoint()
-    if oversized <= BROADCAST_KEYS:
-        parts = F.broadcast(parts)
-    small = carried.alias("c")
-    big_keys = parts.select(*[column(k).alias(f"_k{i}") for i, k in enumerate(keys)], "_parts")
-    on = F.lit(True)
-    for i, k in enumerate(keys):
-        on = on & column(k).eqNullSafe(F.col(f"_k{i}"))
-    names = [column(k) for k in keys]
+    """Number the elements of each key and cut the numbers into parts.
 
-    cold = (
-        small.join(big_keys, on, "left_anti")
-        .groupBy(*names)
-        .agg(_sorted_list(carried, alias).alias(alias))
-        .withColumn(part_column, F.lit(0))
-    )
+    Equal elements travel as one row with their count. An element's number is the count in
+    the key's earlier hash buckets plus its place in its own bucket; a key has about as many
+    buckets as parts, so no window holds more than a part's share of a key.
+    """
+    names = [column(k) for k in keys]
     content = "_order" if "_order" in carried.columns else alias
     first = [F.any_value(column(alias)).alias(alias)] if content == "_order" else []
-    # Equal rows collapse to one with a count before anything is shuffled by content.
-    counted = (
-        small.join(big_keys, on, "inner")
-        .groupBy(*names, "_parts", column(content))
-        .agg(F.count("*").alias("_copies"), *first)
-    )
-    slices = counted.withColumn(
-        "_slice", F.explode(F.sequence(F.lit(0).cast("bigint"), F.expr(f"(_copies - 1) div {slice_len}")))
-    )
-    take = F.least(F.lit(slice_len).cast("bigint"), F.col("_copies") - F.col("_slice") * slice_len)
-    copies = F.array_repeat(_packed(carried, alias), take.cast("int"))
-    hot = (
-        slices.withColumn(
-            part_column,
-            F.pmod(F.xxhash64(column(content), F.col("_slice")), F.col("_parts")).cast("int"),
-        )
-        .groupBy(*names, column(part_column))
-        .agg(_sort_packed(carried, F.flatten(F.collect_list(copies))).alias(alias))
+    counted = carried.groupBy(*names, column(content)).agg(F.count("*").alias("_copies"), *first)
+    sizes = carried.groupBy(*names).agg(F.count("*").alias("_n")).select(
+        *[column(k).alias(f"_k{i}") for i, k in enumerate(keys)],
+        F.ceil(F.col("_n") / per_part).cast("int").alias("_parts"))
+    same = F.lit(True)
+    for i, k in enumerate(keys):
+        same = same & column(k).eqNullSafe(F.col(f"_k{i}"))
+    dealt = counted.join(sizes, same).drop(*[f"_k{i}" for i in range(len(keys))]).withColumn(
+        "_bucket", F.pmod(F.xxhash64(column(content)), F.col("_parts")))
+    before = Window.partitionBy(*names).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    base = dealt.groupBy(*names, "_bucket").agg(F.sum("_copies").alias("_n")).select(
+        *[column(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_bucket").alias("_b"),
+        F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
+    inside = Window.partitionBy(*names, "_bucket").orderBy(column(content)).rowsBetween(
+        Window.unboundedPreceding, -1)
+    placed = (
+        dealt.withColumn("_before", F.coalesce(F.sum("_copies").over(inside), F.lit(0)))
+        .join(base, same & (F.col("_bucket") == F.col("_b")))
+        .withColumn("_from", F.col("_base") + F.col("_before"))
+        .withColumn("_to", F.col("_from") + F.col("_copies"))
+        .withColumn(part_column, F.explode(F.sequence(
+            F.expr(f"_from div {per_part}"), F.expr(f"(_to - 1) div {per_part}"))))
     )
-    return Gathered(cold.unionByName(hot), parts)
+    part = F.col(part_column)
+    take = F.least("_to", (part + 1) * per_part) - F.greatest("_from", part * per_part)
+    arrays = placed.groupBy(*names, part.cast("int").alias(part_column)).agg(
+        _sort_packed(carried, F.flatten(F.collect_list(
+            F.array_repeat(_packed(carried, alias), take.cast("int"))))).alias(alias))
+    parts = sizes.select(*[F.col(f"_k{i}").alias(k) for i, k in enumerate(keys)], "_parts")
+    return Gathered(arrays, parts)
 
 
 def attach(
@@ -189,29 +149,27 @@ def attach(
 ) -> DataFrame:
     """Left-join gathered arrays onto ``target``; ``on`` maps target columns to key columns.
 
-    A spread-out key gives one target row per part and the join runs on key and part, so
-    its arrays do not meet in one task. Every target row has exactly one row with part 0.
+    With parts, a target row comes out once for each part of its key and the join runs on key
+    and part, so a large key's arrays do not meet in one task. Every target row has exactly
+    one row with part 0. The key need not be unique in ``target``: rows that share it each get
+    all its arrays.
     """
     keys = {k: f"_key{i}" for i, k in enumerate(on.values())}
     arrays = gathered.rows
     base = target
     cond_cols = dict(on)
     if part_column:
-        if gathered.parts is None:
-            base = base.withColumn(part_column, F.lit(0))
-        else:
-            parts = gathered.parts.select(
-                *[column(k).alias(f"_p{i}") for i, k in enumerate(keys)], "_parts"
-            )
-            match = F.lit(True)
-            for i, t in enumerate(on):
-                match = match & (column(t) == F.col(f"_p{i}"))
-            base = base.join(parts, match, "left").withColumn(
-                part_column, F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1))
-            )
-            base = base.drop("_parts", *[f"_p{i}" for i in range(len(keys))])
-            keys[part_column] = "_key_part"
-            cond_cols[part_column] = part_column
+        parts = gathered.parts.select(
+            *[column(k).alias(f"_p{i}") for i, k in enumerate(on.values())], "_parts")
+        match = F.lit(True)
+        for i, t in enumerate(on):
+            match = match & (column(t) == F.col(f"_p{i}"))
+        base = base.join(parts, match, "left").withColumn(
+            part_column, F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1))
+        )
+        base = base.drop("_parts", *[f"_p{i}" for i in range(len(keys))])
+        keys[part_column] = "_key_part"
+        cond_cols[part_column] = part_column
     element_type = arrays.schema[alias].dataType
     arrays = arrays.select(
         *[column(k).alias(v) for k, v in keys.items()], column(alias).alias("_array")

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping
-from dataclasses import dataclass, field, replace
+from collections.abc import Callable, Iterable, Mapping
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from modelshift.functions import paths as P
-from modelshift.functions.checks import Predicate, violated
+from modelshift.functions.checks import Predicate, Raw, violated
 
 KEY_KINDS = ("primary", "unique", "partition", "clustering", "node", "document_id")
 #: Key kinds that identify a row and therefore refuse nulls and copies.
@@ -82,13 +83,18 @@ class Check:
     entity: str
     path: str
     text: str
-    test: Predicate = field(compare=False)
+    test: Predicate
     severity: str = "error"
 
     @property
     def name(self) -> str:
         return f"check({self.path} {self.text})"
 
+    @property
+    def identity(self) -> str:
+        """What the check says, whatever it is called."""
+        return f"check({self.path} {self.test})"
+
 
 @dataclass(frozen=True)
 class Existence:
@@ -183,6 +189,26 @@ class Contract:
 
         return Contract(tuple(r for r in self.rules if not uses(r)))
 
+    def moved_out(self, entity: str, path: str, new: str, columns: Iterable[str]) -> list[Rule]:
+        """The rules on members of the object or list at ``path``, as rules of the entity
+        ``new`` that has those members as ``columns``."""
+        have, start = set(columns), path + "."
+
+        def inner(col: str) -> str | None:
+            rest = col[len(start):] if col.startswith(start) else ""
+            return rest if rest.split(".")[0] in have else None
+
+        out: list[Rule] = []
+        for r in self.of(entity):
+            if isinstance(r, Reference):
+                cols = [inner(c) for c in r.columns]
+                if all(cols):
+                    out.append(replace(r, entity=new, columns=tuple(cols)))
+            elif isinstance(r, RowRule) and inner(r.path):
+                if not (isinstance(r, Check) and isinstance(r.test, Raw)):
+                    out.append(replace(r, entity=new, path=inner(r.path)))
+        return out
+
     def renamed_entity(self, old: str, new: str) -> Contract:
         def move(r: Rule) -> Rule:
             if r.entity == old:
@@ -277,21 +303,21 @@ def _total(col: Column) -> Column:
 
 
 def _linked(
-    child: DataFrame, columns: list[str], parent: DataFrame, parent_columns: list[str], how: str
+    child: DataFrame, columns: list[str], parent: DataFrame, parent_columns: list[str]
 ) -> DataFrame:
-    """Child and parent key values with their row counts ``_c`` and ``_p``, joined."""
+    """Key values with the rows of both sides that hold them: ``_c`` and ``_p``, null for none.
+
+    One grouping over both sides, whose copies collapse before the shuffle. A key with a null
+    part meets nothing: its rows stay apart by side.
+    """
     aliases = [f"_k{i}" for i in range(len(columns))]
-    kids = (
-        key_values(child, columns, aliases)
-        .groupBy(*aliases)
-        .agg(F.count("*").alias("_c"))
-    )
-    folks = (
-        key_values(parent, parent_columns, aliases)
-        .groupBy(*aliases)
-        .agg(F.count("*").alias("_p"))
-    )
-    return kids.join(folks, aliases, how)
+    kids = key_values(child, columns, aliases).withColumn("_kid", F.lit(True))
+    folks = key_values(parent, parent_columns, aliases).withColumn("_kid", F.lit(False))
+    apart = F.when(_any_null(aliases), F.col("_kid")).alias("_apart")
+    counted = kids.unionByName(folks).groupBy(*aliases, apart).agg(
+        F.count_if("_kid").alias("_c"), F.count_if(~F.col("_kid")).alias("_p"))
+    return counted.select(
+        *aliases, F.nullif("_c", F.lit(0)).alias("_c"), F.nullif("_p", F.lit(0)).alias("_p"))
 
 
 def check_reference(
@@ -302,9 +328,9 @@ def check_reference(
     Both sides are reduced to counted keys before they meet, so a key with many rows
     travels as one.
     """
-    linked = _linked(child, columns, parent, parent_columns, "left")
+    linked = _linked(child, columns, parent, parent_columns)
     null = _any_null([f"_k{i}" for i in range(len(columns))])
-    orphan = ~null & F.col("_p").isNull()
+    orphan = ~null & F.col("_p").isNull() & F.col("_c").isNotNull()
     return linked.agg(
         _total(F.col("_c")).alias("n_rows"),
         _total(F.when(null, F.col("_c"))).alias("null_rows"),
@@ -313,6 +339,28 @@ def check_reference(
     )
 
 
+def _bounded_reference(
+    child: DataFrame, columns: list[str], parent: DataFrame, parent_columns: list[str],
+    rule: Reference,
+) -> DataFrame:
+    """One row: rows, null rows, orphan rows, and rows ``outside`` the rule's other bounds:
+    child rows with more parents than allowed, parent rows with too few or too many children.
+    """
+    linked = _linked(child, columns, parent, parent_columns)
+    null = _any_null([f"_k{i}" for i in range(len(columns))])
+    most = _bounds(rule.cardinality)[1]
+    low, high = _bounds(rule.source_cardinality)
+    up, down = F.coalesce("_p", F.lit(0)), F.coalesce("_c", F.lit(0))
+    many = F.lit(False) if most is None else up > most
+    few = (down < low) if high is None else (down < low) | (down > high)
+    return linked.agg(
+        _total(F.col("_c")).alias("n_rows"),
+        _total(F.when(null, F.col("_c"))).alias("null_rows"),
+        _total(F.when(~null & F.col("_p").isNull(), F.col("_c"))).alias("orphan_rows"),
+        (_total(F.when(many, F.col("_c"))) + _total(F.when(few, F.col("_p")))).alias("outside"),
+    )
+
+
 def orphans(
     child: DataFrame, columns: list[str], parent: DataFrame, parent_columns: list[str]
 ) -> DataFrame:
@@ -334,7 +382,7 @@ def observe_cardinality(
     child: DataFrame, columns: list[str], parent: DataFrame, parent_columns: list[str]
 ) -> DataFrame:
     """One row: fewest and most parents per child row, and children per parent row."""
-    linked = _linked(child, columns, parent, parent_columns, "full_outer")
+    linked = _linked(child, columns, parent, parent_columns)
     up, down = F.coalesce("_p", F.lit(0)), F.coalesce("_c", F.lit(0))
     measured = linked.agg(
         F.min(F.when(F.col("_c").isNotNull(), up)).alias("target_min"),
@@ -360,7 +408,7 @@ def recard(
     """One row: how many child rows and parent rows break the wanted cardinality."""
     low, high = _bounds(target)
     s_low, s_high = _bounds(source)
-    linked = _linked(child, columns, parent, parent_columns, "full_outer")
+    linked = _linked(child, columns, parent, parent_columns)
     up, down = F.coalesce("_p", F.lit(0)), F.coalesce("_c", F.lit(0))
 
     def outside(n: Column, lo: int, hi: int | None) -> Column:
@@ -375,32 +423,64 @@ def recard(
     )
 
 
+def _broken_inside(
+    value: Column, dtype: T.DataType, steps: list[str], broken: Callable[[Column], Column]
+) -> Column:
+    """Whether ``broken`` holds for the last step's value in some object that should hold it.
+
+    Goes down one name at a time; at an array every element is an object of its own. A
+    missing object holds nothing and breaks nothing.
+    """
+    while isinstance(dtype, T.ArrayType) and steps:
+        inner = dtype.elementType
+        return F.coalesce(
+            F.exists(value, lambda x: _broken_inside(x, inner, steps, broken)), F.lit(False))
+    field = value.getField(steps[0])
+    kind = dtype[steps[0]].dataType
+    test = broken(field) if len(steps) == 1 else _broken_inside(field, kind, steps[1:], broken)
+    return F.coalesce(value.isNotNull() & test, F.lit(False))
+
+
 def row_violation(df: DataFrame, rule: RowRule) -> Column:
-    """True where a row breaks a rule that can be judged on the row alone."""
+    """True where a row breaks a rule that can be judged on the row alone.
+
+    A path through arrays is judged for each object that holds its last member: an element
+    without the member breaks an EXISTENCE, an empty list in one element breaks a 1..n.
+    """
     schema = df.schema
     path = P.resolve(schema, rule.path)
-    col = P.value(schema, path)
-    inside = bool(P.arrays_above(schema, path))
     if isinstance(rule, Check):
-        if inside:
+        col = P.value(schema, path)
+        if P.arrays_above(schema, path):
             return F.coalesce(F.exists(col, lambda x: violated(rule.test, x)), F.lit(False))
         return violated(rule.test, col)
     if isinstance(rule, Existence):
-        if inside:
-            return F.coalesce(F.exists(col, lambda x: x.isNull()), F.lit(False))
-        return col.isNull()
-    low, high = _bounds(rule.cardinality)
-    if high is None:
-        return (F.coalesce(F.size(col), F.lit(0)) < 1) if low else F.lit(False)
-    if inside:
-        return F.exists(col, lambda x: x.isNull()) if low else F.lit(False)
-    return col.isNull() if low else F.lit(False)
+        broken = Column.isNull
+    else:
+        low, high = _bounds(rule.cardinality)
+        if not low:
+            return F.lit(False)
+
+        def broken(c: Column) -> Column:
+            return c.isNull() if high else F.coalesce(F.size(c), F.lit(0)) < 1
+
+    first, *rest = path.split(".")
+    col, dtype = P.column(first), schema[first].dataType
+    if not rest:
+        return broken(col)
+    if not P.arrays_above(schema, path):
+        # Along objects alone a missing object lacks its members too.
+        return broken(P.value(schema, path))
+    return _broken_inside(col, dtype, rest, broken)
 
 
 RESULT = "entity string, rule string, severity string, n_rows bigint, violations bigint"
+IDENTITY = ", identity string"
 
 
-def check_rows(df: DataFrame, entity: str, rules: list[RowRule]) -> DataFrame:
+def check_rows(
+    df: DataFrame, entity: str, rules: list[RowRule], identities: bool = False
+) -> DataFrame:
     """All row rules of an entity in one scan."""
     aggs = [F.count_if(row_violation(df, r)).alias(f"v{i}") for i, r in enumerate(rules)]
     out = F.array(
@@ -411,6 +491,7 @@ def check_rows(df: DataFrame, entity: str, rules: list[RowRule]) -> DataFrame:
                 F.lit(r.severity).alias("severity"),
                 F.col("n_rows"),
                 F.col(f"v{i}").alias("violations"),
+                *([F.lit(_identity(r)).alias("identity")] if identities else []),
             )
             for i, r in enumerate(rules)
         ]
@@ -418,19 +499,29 @@ def check_rows(df: DataFrame, entity: str, rules: list[RowRule]) -> DataFrame:
     return df.agg(F.count("*").alias("n_rows"), *aggs).select(F.inline(out))
 
 
-def _result(df: DataFrame, rule: Rule, violations: Column) -> DataFrame:
+def _identity(rule: Rule) -> str:
+    return rule.identity if isinstance(rule, Check) else rule.name
+
+
+def _result(df: DataFrame, rule: Rule, violations: Column, identities: bool) -> DataFrame:
     return df.select(
         F.lit(rule.entity).alias("entity"),
         F.lit(rule.name).alias("rule"),
         F.lit(rule.severity).alias("severity"),
         F.col("n_rows"),
         violations.cast("bigint").alias("violations"),
+        *([F.lit(_identity(rule)).alias("identity")] if identities else []),
     )
 
 
-def check_contract(frames: Mapping[str, DataFrame], contract: Contract) -> DataFrame:
+def check_contract(
+    frames: Mapping[str, DataFrame], contract: Contract, identities: bool = False
+) -> DataFrame:
     """Every rule with the rows it looked at and the number of violations.
 
+    ``identities`` adds what each rule says, apart from what it is called. A reference with
+    bounds beyond its defaults also counts the child and parent rows that break them.
+
     Row rules of one entity share a scan; keys and references read only their columns. A
     key's violations are rows beyond the first of their key, plus null rows where the kind
     refuses them. Partition and clustering keys identify a row only together.
@@ -440,7 +531,7 @@ def check_contract(frames: Mapping[str, DataFrame], contract: Contract) -> DataF
         df = frames[entity]
         simple = [r for r in contract.of(entity) if isinstance(r, RowRule)]
         if simple:
-            out.append(check_rows(df, entity, simple))
+            out.append(check_rows(df, entity, simple, identities))
         for rule in contract.of(entity, Key):
             if rule.kind in ("partition", "clustering"):
                 names = list(contract.key_columns(entity))
@@ -449,16 +540,16 @@ def check_contract(frames: Mapping[str, DataFrame], contract: Contract) -> DataF
             got = check_key(df, names)
             extra = F.col("n_rows") - F.col("null_rows") - F.col("n_keys")
             nulls = F.lit(0) if rule.kind == "unique" else F.col("null_rows")
-            out.append(_result(got, rule, extra + nulls))
+            out.append(_result(got, rule, extra + nulls, identities))
         for rule in contract.of(entity, Reference):
-            got = check_reference(
-                df, list(rule.columns), frames[rule.parent], list(rule.parent_columns)
-            )
+            ends = (df, list(rule.columns), frames[rule.parent], list(rule.parent_columns))
+            got = _bounded_reference(*ends, rule)
             nulls = F.col("null_rows") if rule.required and rule.enforced else F.lit(0)
-            out.append(_result(got, rule, F.col("orphan_rows") + nulls))
+            broken = F.col("orphan_rows") + F.col("outside") + nulls
+            out.append(_result(got, rule, broken, identities))
     if not out:
         spark = next(iter(frames.values())).sparkSession
-        return spark.createDataFrame([], RESULT)
+        return spark.createDataFrame([], RESULT + (IDENTITY if identities else ""))
     union = out[0]
     for part in out[1:]:
         union = union.unionByName(part)

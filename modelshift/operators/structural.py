@@ -9,7 +9,6 @@ from pyspark.sql import types as T
 from modelshift.functions import paths as P
 from modelshift.functions.keys import natural_key, stable
 from modelshift.operators.grouping import (
-    MAX_ELEMENTS,
     DuplicateKey,
     attach,
     gather,
@@ -78,21 +77,18 @@ def nest_many(
     fields: list[str] | None = None,
     *,
     part_column: str | None = None,
-    max_elements: int | None = MAX_ELEMENTS,
-    sizes_from: DataFrame | None = None,
+    elements_per_part: int | None = None,
 ) -> DataFrame:
     """Embed all matching source rows as a sorted array; no match gives an empty array.
 
-    ``on`` maps target columns to source columns. See :func:`gather` for groups too large
-    for one array, and for ``sizes_from``.
+    ``on`` maps target columns to source columns. See :func:`gather` for arrays in parts.
     """
     keys = list(on.values())
     has_key = " and ".join(f"{P.quoted(k)} is not null" for k in keys)
     element = _embedded(source, fields, set(keys))
     got = gather(
         source.where(has_key), keys, element, "_nested", part_column=part_column,
-        max_elements=max_elements,
-        sizes_from=None if sizes_from is None else sizes_from.where(has_key),
+        elements_per_part=elements_per_part,
     )
     out = attach(target, got, on, "_nested", part_column)
     keep = [n for n in target.columns if n != alias]
@@ -430,12 +426,13 @@ def wind_group(
     col: str,
     *,
     part_column: str | None = None,
-    max_elements: int | None = MAX_ELEMENTS,
+    elements_per_part: int | None = None,
 ) -> DataFrame:
     """Collect a column into a sorted list per value of all other columns."""
     rest = [n for n in df.columns if n != col]
     got = gather(
-        df, rest, P.column(col), col, part_column=part_column, max_elements=max_elements
+        df, rest, P.column(col), col, part_column=part_column,
+        elements_per_part=elements_per_part,
     )
     extra = [part_column] if part_column else []
     return got.rows.select(*[P.column(n) for n in rest + extra + [col]])

@@ -11,6 +11,7 @@ from modelshift.plans.registry import query, read
 from modelshift.plans.trade import listing, listings
 
 PART = "part"
+PER_PART = 100_000  # elements of one array
 
 
 def orders_with_customer(spark: SparkSession, d: str) -> DataFrame:
@@ -36,14 +37,14 @@ def deep_orders(spark: SparkSession, d: str) -> DataFrame:
     """Orders with their details; each detail holds its product, which holds its category."""
     return st.nest_many(
         read(spark, d, "orders"), details_with_product(spark, d), {"o_orderkey": "l_orderkey"},
-        "details", ["l_linenumber", "l_quantity", "l_suppkey", "product"], part_column=PART,
+        "details", ["l_linenumber", "l_quantity", "l_suppkey", "product"], part_column=PART, elements_per_part=PER_PART,
     )
 
 
 def flat_details(spark: SparkSession, d: str) -> DataFrame:
     return st.nest_many(
         read(spark, d, "orders"), read(spark, d, "lineitem"), {"o_orderkey": "l_orderkey"},
-        "details", ["l_linenumber", "l_partkey", "l_quantity"], part_column=PART,
+        "details", ["l_linenumber", "l_partkey", "l_quantity"], part_column=PART, elements_per_part=PER_PART,
     )
 
 
@@ -107,7 +108,7 @@ def nest_in_array(spark: SparkSession, d: str) -> DataFrame:
     nested = st.nest_many(
         read(spark, d, "orders").select("o_orderkey"), read(spark, d, "lineitem"),
         {"o_orderkey": "l_orderkey"}, "details",
-        ["l_linenumber", "l_partkey", "l_quantity", "l_suppkey"], part_column=PART,
+        ["l_linenumber", "l_partkey", "l_quantity", "l_suppkey"], part_column=PART, elements_per_part=PER_PART,
     )
     linked = st.nest_in_array(
         nested, read(spark, d, "supplier"), "details", {"l_suppkey": "s_suppkey"}, "supplier",
@@ -244,7 +245,7 @@ def wind_wrap(spark: SparkSession, d: str) -> DataFrame:
 def wind_group(spark: SparkSession, d: str) -> DataFrame:
     lists = st.wind_group(
         read(spark, d, "events").select("user_id", "event_type", "value"), "value",
-        part_column=PART,
+        part_column=PART, elements_per_part=PER_PART,
     )
     return lists.groupBy("user_id", "event_type").agg(
         F.sum(F.size("value")).cast("bigint").alias("n_values"),
@@ -260,17 +261,17 @@ def wind_unwind(spark: SparkSession, d: str) -> DataFrame:
     """UNWIND undoes a grouped WIND: every row comes back, copies included."""
     lists = st.wind_group(
         read(spark, d, "events").select("user_id", "event_type", "value"), "value",
-        part_column=PART,
+        part_column=PART, elements_per_part=PER_PART,
     )
     return st.unwind(lists, "value").drop(PART)
 
 
 @query("merge_join", """
-    SELECT coalesce(d.doc_id, l.doc_id) AS doc_id, lang, source, n_chars, quality, toxic
+    SELECT coalesce(d.doc_id, l.doc_id) AS doc_id, text, lang, source, n_chars, quality, toxic
     FROM documents d FULL JOIN labels l ON d.doc_id = l.doc_id
 """)
 def merge_join(spark: SparkSession, d: str) -> DataFrame:
-    docs = read(spark, d, "documents").drop("text")
+    docs = read(spark, d, "documents")
     return st.merge_join(docs, read(spark, d, "labels"), ["doc_id"])
 
 

@@ -20,6 +20,7 @@ from modelshift.sources import models
 
 #: Column that numbers the parts of an order document with very many details.
 PART = "part"
+PER_PART = 100_000  # elements of one array
 
 # Given column names and the names they have in the domain.
 COLUMNS = {
@@ -130,7 +131,7 @@ def tables_to_documents() -> list[Step]:
         step("nest", "suppliers", "order_details.supplier", {"supplier_id": "supplier_id"},
              ["supplier_name", "account", "nation"], drop_source=True),
         step("nest", "order_details", "orders.details", {"order_id": "order_id"},
-             [*DETAIL_FIELDS, "product", "supplier"], part_column=PART, drop_source=True),
+             [*DETAIL_FIELDS, "product", "supplier"], part_column=PART, elements_per_part=PER_PART, drop_source=True),
         step("rename_property", "customers.customer_id", "_id"),
         step("cast_constraint", "customers", ["_id"], "document_id"),
         step("rename_property", "orders.order_id", "_id"),

@@ -14,7 +14,10 @@ from pyspark.sql import DataFrameWriter, SparkSession
 
 
 def local_session(cpus: str = "*", app: str = "modelshift") -> SparkSession:
-    """A session for tests and the bench; on a cluster use the one you are given."""
+    """A session for tests and the bench, with a folder of its own for stored tables.
+
+    On a cluster use the session you are given, whose ``spark.checkpoint.dir`` is shared.
+    """
     cores = os.cpu_count() if cpus == "*" else int(cpus)
     return (
         SparkSession.builder.master(f"local[{cpus}]")

@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from modelshift.dataset import Dataset
 from modelshift.functions import checks as C
 from modelshift.functions.keys import natural_key
 from modelshift.functions.types import conform, conform_losses, spark_type
@@ -12,6 +13,8 @@ from modelshift.operators import profile as pf
 from modelshift.operators import properties as pr
 from modelshift.operators import rules as R
 from modelshift.operators.grouping import DuplicateKey
+from modelshift.operators.rules import (
+    Check, Contract, Embedded, Existence, Key, Reference, check_contract, row_violation)
 from modelshift.session import new_folder
 from modelshift.sources import models
 
@@ -214,3 +217,113 @@ def test_reference_from_inside_objects_and_arrays(spark):
     contract = R.Contract((R.Reference("o", ("who.boss",), "p", ("p.id",)),))
     assert contract.renamed_column("o", "who", "whom").rules[0].columns == ("whom.boss",)
     assert not contract.without_column("o", "who").rules
+
+
+def test_bounds_are_measured(spark):
+    parents = spark.createDataFrame([(1,), (2,), (3,)], "id int")
+    kids = spark.createDataFrame([(10, 1), (11, 1), (12, 2), (13, None)], "kid int, pid int")
+    ds = Dataset({"parents": parents, "kids": kids}, Contract((Key("parents", ("id",)),)))
+
+    def broken(source):
+        rule = Reference("kids", ("pid",), "parents", ("id",), "0..1", source)
+        return check_contract(ds.frames, Contract((rule,))).first()["violations"]
+
+    assert [broken(x) for x in ("0..n", "1..n", "0..1", "1..1")] == [0, 1, 1, 2]
+
+
+def test_edge_cardinality_is_a_rule(spark):
+    people = spark.createDataFrame([(1,), (2,)], "id int")
+    things = spark.createDataFrame([(5,), (6,)], "tid int")
+    owns = spark.createDataFrame([(1, 5), (1, 6), (2, None)], "p int, t int")
+    ds = Dataset({"people": people, "things": things, "owns": owns}, Contract(
+        (Key("people", ("id",)), Key("things", ("tid",)))))
+    out = ds.transform_to_relationship(
+        "owns", ("people", ["p"]), ("things", ["t"]), cardinality="1..1")
+    assert out["owns"].count() == 2
+    assert [tuple(r) for r in out.rejected["owns"].collect()] == [(2, None)]
+
+    def violations(d):
+        return {r["rule"]: r["violations"] for r in d.check().where("entity = 'owns'").collect()}
+
+    assert violations(out)["reference(src)->people(id)"] == 2  # one with two edges, one with none
+    assert violations(out.recard("owns", ["src"], "0..n"))["reference(src)->people(id)"] == 0
+
+
+def test_edges_take_the_cardinality_of_a_deleted_reference(spark):
+    people = spark.createDataFrame([(1,), (2,)], "id int")
+    orders = spark.createDataFrame([(5, 1), (6, 1)], "oid int, p int")
+    rule = Reference("orders", ("p",), "people", ("id",), "1..1", "1..n")
+    ds = Dataset({"people": people, "orders": orders}, Contract(
+        (Key("people", ("id",)), Key("orders", ("oid",)), rule)))
+    ds = ds.delete_reference("orders", ["p"]).add_edge(
+        "BOUGHT", "people", "orders", holder="orders", reference=["p"])
+    ends = {r.columns: r.source_cardinality for r in ds.contract.of("BOUGHT", Reference)}
+    assert ends == {("src",): "1..n", ("dst",): "1..1"}
+
+
+def test_checks_are_what_they_say(spark):
+    df = spark.createDataFrame([(1,), (7,)], "v int")
+    ds = Dataset({"t": df}).add_check("t.v", "small", C.compare("<", 5)).add_check(
+        "t.v", "small", C.compare("<", 99))
+    assert sorted(r["violations"] for r in ds.check().collect()) == [0, 1]
+    assert len(ds.add_check("t.v", "small", C.compare("<", 5)).contract.rules) == 2
+    one = Contract((Check("t", "v", "small", C.compare("<", 5)),))
+    two = Contract((Check("t", "v", "small", C.compare("<", 99)),))
+    sides = {r["side"] for r in cmp.contract_diff({"t": df}, one, {"t": df}, two).collect()}
+    assert sides == {"actual", "expected"}
+    assert str(C.all_of(C.between(1, 3), C.negate(C.is_null()))) == "(between 1 and 3 and not is null)"
+
+
+def test_rules_follow_their_field(spark):
+    df = spark.createDataFrame([(1, (7, "x"), [(1, "a")])],
+                               "id int, o struct<n: int, s: string>, l array<struct<m: int, t: string>>")
+    ds = Dataset({"e": df}, Contract((Key("e", ("id",)),)))
+    ds = ds.add_check("e.o.n", "small", C.compare("<", 5)).add_existence("e.o.s")
+    flat = ds.flatten("e.o")
+    assert {getattr(r, "path", None) for r in flat.contract.of("e")} == {None, "o_n", "o_s"}
+    assert flat.check().where("rule like 'check%'").first()["violations"] == 1
+    out = ds.add_check("e.l.m", "small", C.compare("<", 1)).unnest("e.l", "items", carry={"id": "id"})
+    assert [r.path for r in out.contract.of("items", Check)] == ["m"]
+    assert out.check().where("entity = 'items' and rule like 'check%'").first()["violations"] == 1
+
+
+def test_arrays_in_arrays_are_judged_per_element(spark):
+    kind = "id int, d array<struct<t: array<struct<v: int>>>>"
+    df = spark.createDataFrame([
+        (1, [([(1,)],), ([(2,)],)]), (2, [([(1,)],), ([],)]), (3, []), (4, [([(None,)],)]), (5, None),
+        (6, [(None,)]),
+    ], kind)
+
+    def broken(rule):
+        return [r["id"] for r in df.where(row_violation(df, rule)).orderBy("id").collect()]
+
+    assert broken(Embedded("e", "d.t", "1..n")) == [2, 6]
+    assert broken(Existence("e", "d.t")) == [6]
+    assert broken(Existence("e", "d.t.v")) == [4]
+    assert broken(Embedded("e", "d", "1..n")) == [3, 5]
+
+
+def test_wider_types_are_no_change(spark):
+    a = spark.createDataFrame([(1, 7, 1.5), (2, 8, None)], "k int, n int, x float")
+    b = a.selectExpr("cast(k as bigint) k", "cast(n as bigint) n", "cast(x as double) x")
+    assert cmp.reconcile("t", a, b, ["k"]).first()["verdict"] == "ok"
+    assert cmp.same_rows(a, b).first()["equal"]
+    assert cmp.fingerprint(a).collect() == cmp.fingerprint(b).collect()
+    c = b.withColumn("n", F.when(F.col("k") == 1, 99).otherwise(F.col("n")))
+    assert cmp.reconcile("t", a, c, ["k"]).first()["rows_changed"] == 1
+    d = a.withColumn("x", F.col("x").cast("decimal(9,2)"))
+    assert cmp.reconcile("t", a, d, ["k"]).first()["verdict"] == "ok"
+
+
+def test_type_names():
+    from modelshift.functions.types import spark_type
+
+    names = {"smallint": "smallint", "tinyint": "tinyint", "short": "smallint", "timestamp_ltz": "timestamp",
+             "array<int>": "array<int>", "Integer": "int", "no such type": "string", "nosuch": "string"}
+    assert {n: spark_type(n).simpleString() for n in names} == names
+
+
+def test_labels_are_a_set(spark):
+    a = spark.createDataFrame([(1, ["x", "y"])], "id int, _labels array<string>")
+    b = spark.createDataFrame([(1, ["y", "x"])], "id int, _labels array<string>")
+    assert cmp.dataset_diff(a, b, ["id"]).where("changed > 0").count() == 0

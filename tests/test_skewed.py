@@ -5,7 +5,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from modelshift.operators import structural as st
+from modelshift.plans import structure_queries, trade
 from tests.oracle import TABLES, compare, connect
 
 SKEW = {
@@ -43,8 +43,8 @@ def skewed(sf_dir, tmp_path_factory):
 
 @pytest.fixture(autouse=True)
 def small_arrays(monkeypatch):
-    for fn in (st.nest_many, st.wind_group):
-        monkeypatch.setitem(fn.__kwdefaults__, "max_elements", 100)
+    for module in (trade, structure_queries):
+        monkeypatch.setattr(module, "PER_PART", 100)
 
 
 @pytest.mark.parametrize("name", NAMES)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from modelshift.functions import paths as P
 from modelshift.operators import compare as cmp
 from modelshift.operators import structural as st
-from modelshift.operators.grouping import DuplicateKey, OversizedGroup, gather
+from modelshift.operators.grouping import DuplicateKey, gather
 
 
 @pytest.fixture(scope="module")
@@ -161,20 +161,32 @@ def hot_children(spark, n=3000):
     )
 
 
-def test_oversized_group_is_refused_without_part_column(spark, parents):
-    with pytest.raises(OversizedGroup):
-        st.nest_many(parents, hot_children(spark), {"id": "pid"}, "kids", max_elements=100)
+def test_parts_need_a_column_and_a_size(spark, parents):
+    for only in ({"part_column": "part"}, {"elements_per_part": 100}):
+        with pytest.raises(ValueError):
+            st.nest_many(parents, hot_children(spark), {"id": "pid"}, "kids", **only)
+
+
+def test_a_call_gives_one_schema_on_any_data(spark, parents):
+    few = hot_children(spark, 6)
+    got = [
+        st.nest_many(parents, kids, {"id": "pid"}, "kids", part_column="part", elements_per_part=100)
+        for kids in (few.limit(0), few, hot_children(spark))
+    ]
+    assert got[0].schema == got[1].schema == got[2].schema
+    assert [df.where("part = 0").count() for df in got] == [parents.count()] * 3
 
 
 def test_oversized_group_spreads_and_stays_whole(spark, parents):
     kids = hot_children(spark)
     out = st.nest_many(
-        parents, kids, {"id": "pid"}, "kids", ["v"], part_column="part", max_elements=100).cache()
+        parents, kids, {"id": "pid"}, "kids", ["v"], part_column="part", elements_per_part=100).cache()
     firsts = out.where("part = 0")
     assert rows(firsts.select("id", "name")) == rows(parents)
     hot = out.where("id = 1")
     assert hot.count() > 10
-    assert hot.select(F.max(F.size("kids"))).first()[0] <= 200
+    sizes = sorted(r[0] for r in hot.select(F.size("kids")).collect())
+    assert sizes[-1] == sizes[1] == 100  # every part but the last is full
     new, _ = st.unnest(out, "kids", carry={"id": "pid"})
     assert cmp.bag_diff(new, kids.where("pid = 1").select("pid", "v")).count() == 0
 
@@ -182,7 +194,7 @@ def test_oversized_group_spreads_and_stays_whole(spark, parents):
 def test_oversized_wind_group_with_null_key(spark):
     df = spark.range(1000).select(
         F.when(F.col("id") % 4 == 0, F.col("id") % 8).cast("int").alias("k"), F.lit(1).alias("v"))
-    out = st.wind_group(df, "v", part_column="part", max_elements=50)
+    out = st.wind_group(df, "v", part_column="part", elements_per_part=50)
     assert cmp.bag_diff(st.unwind(out, "v").drop("part"), df).count() == 0
     assert out.where("k is null").count() > 1
 
@@ -192,10 +204,10 @@ def test_oversized_wind_group_with_null_key(spark):
        hs.integers(1, 12))
 def test_gather_against_brute_force(spark, pairs, limit):
     df = spark.createDataFrame(pairs, "k int, v int")
-    got = gather(df, ["k"], F.col("v"), "vs", part_column="part", max_elements=limit).rows
+    got = gather(df, ["k"], F.col("v"), "vs", part_column="part", elements_per_part=limit).rows
     seen = defaultdict(list)
     for r in got.collect():
-        assert r.vs == sorted(r.vs)
+        assert r.vs == sorted(r.vs) and len(r.vs) <= limit
         seen[r.k] += r.vs
     want = defaultdict(list)
     for k, v in pairs:
@@ -208,7 +220,7 @@ def test_elements_with_maps_spread_too(spark):
         (F.col("id") % 2).cast("int").alias("k"),
         F.create_map(F.lit("a"), F.col("id") % 5, F.lit("b"), F.col("id") % 3).alias("m"))
     for limit in (1000, 10):
-        out = st.wind_group(df, "m", part_column="part", max_elements=limit)
+        out = st.wind_group(df, "m", part_column="part", elements_per_part=limit)
         back = st.unwind(out, "m").select("k", "m.a", "m.b")
         assert cmp.bag_diff(back, df.select("k", "m.a", "m.b")).count() == 0
 
