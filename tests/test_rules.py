@@ -128,7 +128,7 @@ def test_cast_keeps_going_and_counts_losses(spark):
         "path": "a", "new_type": "int", "n_values": 2, "lost": 1}
 
 
-def test_type_names():
+def test_type_names(spark):
     assert spark_type("DateTime").simpleString() == "timestamp_ntz"
     assert spark_type("whatever").simpleString() == "string"
     assert spark_type("Decimal").simpleString() == "decimal(13,2)"
@@ -315,7 +315,7 @@ def test_wider_types_are_no_change(spark):
     assert cmp.reconcile("t", a, d, ["k"]).first()["verdict"] == "ok"
 
 
-def test_type_names():
+def test_type_names(spark):
     from modelshift.functions.types import spark_type
 
     names = {"smallint": "smallint", "tinyint": "tinyint", "short": "smallint", "timestamp_ltz": "timestamp",
