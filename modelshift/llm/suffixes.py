@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import Columns, map_columns, stored
+from .common import Columns, discard, map_columns, stored
 from .decontamination import merged, words_of
 
 MIN_WORDS = 50  # words of a passage
@@ -192,6 +192,7 @@ def repeated_passages(
     keys = stored(map_columns(texts, "key long, tie long", retained), "suffixes")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     table = spark.sparkContext.broadcast(_slots(_sorted_matches(keys, parts)))  # 2 ** SLOT_BITS bits
+    discard(keys)
 
     schema = f"id {kind}, text_hash long, unit long, lo long, windows array<long>, n_words long"
     arrow = to_arrow_schema(spark.createDataFrame([], schema).schema)
@@ -208,21 +209,25 @@ def repeated_passages(
         windows.select("unit", "nth", "window").join(again.drop("n"), "window")
         .groupBy("unit").agg(F.collect_list(F.struct("nth", "window", "first")).alias("marks")))
     marks = stored(marks, "marks")
+    discard(windows)
     placed = runs.select("id", "text_hash", "unit", "lo").join(marks, "unit").select(
         "id", "text_hash", "lo", "marks", F.lit(None).cast("long").alias("n_words"))
     heads = units.where("unit is null").select(
         "id", "text_hash", F.lit(None).cast("long").alias("lo"),
         F.lit(None).cast(marks.schema["marks"].dataType).alias("marks"), "n_words")
+    # An array for each field, as lists of numbers are far cheaper in Python than structs.
+    place = F.struct("lo", *[F.col(f"marks.{c}").alias(c) for c in ("nth", "window", "first")])
     by_text = placed.unionByName(heads).groupBy("id", "text_hash").agg(
         F.max("n_words").alias("n_words"),
-        F.collect_list(F.when(F.col("lo").isNotNull(), F.struct("lo", "marks"))).alias("places"))
+        F.collect_list(F.when(F.col("lo").isNotNull(), place)).alias("places"))
 
     def ranges():
         def run(c: Columns) -> Columns:
             out: Columns = {k: c[k] for k in ("id", "text_hash", "n_words")}
             out |= {"repeated": [], "extra": [], "first": []}
             for doc, places in zip(c["id"], c["places"]):
-                found = {p["lo"] + m["nth"]: (m["window"], m["first"]) for p in places for m in p["marks"]}
+                found = {p["lo"] + nth: (window, first) for p in places
+                         for nth, window, first in zip(p["nth"], p["window"], p["first"])}
                 seen: set[int] = set()
                 extra = []
                 for s in sorted(found):
