@@ -1,8 +1,10 @@
-"""Repeated passages from a sparse suffix array: suffixes at minimisers, neighbours, extension.
+"""Repeated passages from a sparse suffix array: suffixes at minimisers, neighbours, windows.
 
 Suffixes are retained where a passage's content says so, so both copies of a passage retain the
 same ones. They are sorted by a hash of their first words over the whole cluster, and compared
-with their neighbours; around those that match, the match is extended left and right.
+with their neighbours. Matches are not extended left and right: they fill a table of fixed size
+that preselects suffixes, and the 64-bit hashes of all windows around these are grouped instead.
+Equal hashes count as equal windows; as the table fills up, more windows are stored, none is lost.
 """
 
 from __future__ import annotations
