@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .centroids import cluster_vectors
 from .common import table
 from .decontamination import find_contamination, hit_words
 from .digest import fingerprint_documents
@@ -16,6 +17,7 @@ from .packing import pack, tokenizer_text
 from .pii import KINDS, find_personal_data
 from .resampling import resample
 from .simhash import near_duplicates
+from .sql import centroid_sql
 from .suffixes import repeated_passages
 from .toxicity import score_toxicity
 
@@ -149,3 +151,8 @@ def op7_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
         words("extra").alias("n_extra"), joined("repeated").alias("repeated_spans"),
         joined("extra").alias("extra_spans"), F.col("first").alias("first_doc_id"),
     )
+
+
+@query("op13_centroids", centroid_sql())
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cluster_vectors(table(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
