@@ -37,12 +37,14 @@ def word_encoder(tokenizer_json: str) -> Callable[[str], bytes]:
     The tokenizer lower-cases, drops white space, and no token spans it, so each run between
     spaces and line ends is encoded once and remembered. A run of lower-case letters in normal
     form is one word, and goes to the model without the steps before it; so does one that signs
-    follow, which are a word of their own.
+    follow, which are a word of their own. A special token written out in a text gets its own id,
+    in exactly its spelling; such runs go to the tokenizer as they are.
     """
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_str(tokenizer_json)
-    tokenizer.encode_special_tokens = True
+    special = [t.content for t in tokenizer.get_added_tokens_decoder().values() if t.special]
+    tokenizer.encode_special_tokens = True  # runs come lower-cased here
     model, letters = tokenizer.model, _byte_letters()
     signs_after = re.compile(r"([^\W\d_]+)([!-&(-/:-@\[-`{-~]+)").fullmatch  # but for '
     recent: dict[str, bytes] = {"": b""}
@@ -75,7 +77,17 @@ def word_encoder(tokenizer_json: str) -> Callable[[str], bytes]:
         found = recent.get(run)
         return look_up(run) if found is None else found
 
+    def as_it_is(run: str) -> bytes:
+        tokenizer.encode_special_tokens = False
+        ids = tokenizer.encode(run, add_special_tokens=False).ids
+        tokenizer.encode_special_tokens = True
+        return array("I", ids).tobytes()
+
     def encode(text: str) -> bytes:
+        if any(s in text for s in special):
+            return b"".join(
+                as_it_is(run) if any(s in run for s in special) else encode(run)
+                for run in text.replace("\n", " ").split(" "))
         runs = text.encode("utf-8", "replace").lower().decode().replace("\n", " ").split(" ")
         parts = list(map(recent.get, runs))
         if None in parts:
