@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .centroids import cluster_vectors
-from .common import table
+from .common import new_folder, table
 from .decontamination import find_contamination, hit_words
 from .digest import fingerprint_documents
 from .html import extract_text
@@ -19,6 +19,7 @@ from .resampling import resample
 from .simhash import near_duplicates
 from .sql import centroid_sql
 from .suffixes import repeated_passages
+from .tokens import read_tokens, token_digests, write_tokens
 from .toxicity import score_toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -156,3 +157,10 @@ def op7_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op13_centroids", centroid_sql())
 def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cluster_vectors(table(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
+
+
+@query("op12_token_files")
+def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_folder(spark, "token-files")
+    write_tokens(table(spark, sf_dir, "documents"), word_tokenizer(), path)
+    return token_digests(read_tokens(spark, path)).withColumnRenamed("id", "doc_id")
