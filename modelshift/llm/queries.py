@@ -17,6 +17,7 @@ from .packing import pack, tokenizer_text
 from .pii import KINDS, find_personal_data
 from .resampling import resample
 from .simhash import near_duplicates
+from .spelling import spelling_variants
 from .sql import centroid_sql
 from .suffixes import repeated_passages
 from .tokens import read_tokens, token_digests, write_tokens
@@ -164,3 +165,8 @@ def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_folder(spark, "token-files")
     write_tokens(table(spark, sf_dir, "documents"), word_tokenizer(), path)
     return token_digests(read_tokens(spark, path)).withColumnRenamed("id", "doc_id")
+
+
+@query("op11_spelling")
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(table(spark, sf_dir, "documents"))
