@@ -31,10 +31,13 @@ def _byte_letters() -> dict[int, str]:
 
 
 @lru_cache(maxsize=1)  # a worker's later tasks find the words of the earlier ones
-def word_encoder(tokenizer_json: str) -> Callable[[str], bytes]:
-    """Text to ids as little-endian unsigned 32-bit integers.
+def run_encoders(
+    tokenizer_json: str,
+) -> tuple[Callable[[str], bytes], Callable[[str], bytes], list[str]]:
+    """Runs without spaces to ids as little-endian unsigned 32-bit integers.
 
-    The tokenizer lower-cases, drops white space, and no token spans it, so each run between
+    One function for runs whose A-Z are lower-cased, one for runs that hold a special token as it
+    is spelt, and those tokens. The tokenizer lower-cases, drops white space, and no token spans it, so each run between
     spaces and line ends is encoded once and remembered. A run of lower-case letters in normal
     form is one word, and goes to the model without the steps before it; so does one that signs
     follow, which are a word of their own. A special token written out in a text gets its own id,
@@ -83,16 +86,20 @@ def word_encoder(tokenizer_json: str) -> Callable[[str], bytes]:
         tokenizer.encode_special_tokens = True
         return array("I", ids).tobytes()
 
+    return get, as_it_is, special
+
+
+def word_encoder(tokenizer_json: str) -> Callable[[str], bytes]:
+    """Text to ids as little-endian unsigned 32-bit integers."""
+    get, as_it_is, special = run_encoders(tokenizer_json)
+
     def encode(text: str) -> bytes:
         if any(s in text for s in special):
             return b"".join(
                 as_it_is(run) if any(s in run for s in special) else encode(run)
                 for run in text.replace("\n", " ").split(" "))
         runs = text.encode("utf-8", "replace").lower().decode().replace("\n", " ").split(" ")
-        parts = list(map(recent.get, runs))
-        if None in parts:
-            parts = [get(r) if p is None else p for r, p in zip(runs, parts)]
-        return b"".join(parts)
+        return b"".join(map(get, runs))
 
     return encode
 

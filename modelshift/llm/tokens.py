@@ -8,6 +8,7 @@ is dealt out by stripes.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Callable, Iterable, Iterator
 
@@ -18,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .packing import word_encoder
+from .packing import run_encoders
 
 SLICE = 1 << 22  # bytes of text, at least one document, that a task encodes at a time
 STRIDE = 1000  # documents of a row group
@@ -34,24 +35,30 @@ def text_encoder(tokenizer_json: str, end: int) -> Encoder:
     No token spans a space or line end. The texts are split there, and only the distinct runs of a
     slice are encoded.
     """
-    encode = word_encoder(tokenizer_json)
+    get, as_it_is, special = run_encoders(tokenizer_json)
+    start = re.compile("|".join(map(re.escape, special))) if special else re.compile(r"(?!)")
+
+    def mixed(run: str) -> bytes:
+        return as_it_is(run) if start.search(run) else get(run.encode().lower().decode())
 
     def run(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        runs = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+        plain = not pc.any(pc.match_substring_regex(texts, start.pattern)).as_py() if special else True
+        one = pc.ascii_lower(texts) if plain else texts
+        runs = pc.split_pattern(pc.replace_substring(one, "\n", " "), " ")
         border = runs.offsets.to_numpy().astype(np.int64)
         words = runs.values.slice(border[0], border[-1] - border[0]).dictionary_encode()
+        known = list(map(get if plain else mixed, words.dictionary.to_pylist()))
+        known.append(np.array([end], dtype="<u4").tobytes())  # one more run after each text
+        flat = np.frombuffer(b"".join(known), dtype="<u4").astype(np.int32)
+        size = np.array([len(b) // 4 for b in known], dtype=np.int32)
+        first = (np.cumsum(size) - size).astype(np.int32)
         border -= border[0]
-        known = [encode(w) for w in words.dictionary.to_pylist()]
-        flat = np.frombuffer(b"".join(known), dtype="<u4")
-        size = np.array([len(b) // 4 for b in known], dtype=np.int64)
-        start = np.cumsum(size) - size
-        at = words.indices.to_numpy()
+        at = np.insert(words.indices.to_numpy(), border[1:], len(known) - 1)
         lengths = size[at]
         ends = np.cumsum(lengths)
-        ids = flat[np.arange(ends[-1] if len(ends) else 0)
-                   - np.repeat(ends - lengths - start[at], lengths)]
-        upto = np.concatenate(([0], ends))[border]
-        return np.insert(ids, upto[1:], end), np.diff(upto) + 1
+        ids = flat[np.arange(ends[-1], dtype=np.int32)
+                   + np.repeat((first[at] - ends + lengths).astype(np.int32), lengths)]
+        return ids, np.diff(ends[border[1:] + np.arange(len(texts))], prepend=0)
 
     return run
 
@@ -97,7 +104,7 @@ def write_tokens(
                 ids, counts = encode(some["text"])
                 ends = np.cumsum(counts)
                 lists = pa.ListArray.from_arrays(
-                    pa.array(np.concatenate(([0], ends)), pa.int32()), pa.array(ids.astype(np.int32)))
+                    pa.array(np.concatenate(([0], ends)), pa.int32()), pa.array(ids))
                 yield pa.RecordBatch.from_arrays(
                     [some["id"], pa.array(np.full(len(some), part), pa.int32()),
                      pa.array(before + ends - counts), pa.array(counts), lists],
