@@ -1,16 +1,15 @@
-"""Measure what a dataset looks like: nulls, keys, references, nesting, sizes."""
+"""Measure what a dataset looks like: nulls, nesting, sizes. Keys and references: ``discovery``."""
 
 from __future__ import annotations
 
 from collections.abc import Mapping
-from itertools import combinations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from modelshift.functions import paths as P
-from modelshift.operators.rules import Contract, Key, Reference, check_key
+from modelshift.operators.rules import Contract, Reference
 
 
 def nullability(df: DataFrame, entity: str) -> DataFrame:
@@ -42,152 +41,6 @@ def nullability(df: DataFrame, entity: str) -> DataFrame:
     return df.agg(*aggs).select(F.inline(rows)).withColumn("optional", F.col("nulls") > 0)
 
 
-def _keyable(dtype: T.DataType) -> bool:
-    return not isinstance(
-        dtype,
-        (T.ArrayType, T.MapType, T.StructType, T.DoubleType, T.FloatType, T.BooleanType, T.BinaryType),
-    )
-
-
-def discover_keys(
-    df: DataFrame, entity: str, columns: list[str] | None = None, max_size: int = 2
-) -> DataFrame:
-    """The smallest column sets that identify a row: no nulls, no copies.
-
-    The distinct counts of all sets are first approximated in one scan. Only sets near the
-    row count that contain no smaller key are then confirmed, exactly, one shuffle of the
-    set's columns each, all sets of a size in one job.
-    """
-    cols = columns or [f.name for f in df.schema.fields if _keyable(f.dataType)]
-    sets = [s for size in range(1, max_size + 1) for s in combinations(cols, size)]
-    n_rows, near = _near_unique(df, sets)
-    found: list[tuple[str, ...]] = []
-    for size in range(1, max_size + 1):
-        todo = [s for s in near if len(s) == size and not any(set(k) < set(s) for k in found)]
-        checks = [
-            check_key(df, list(s)).select(F.lit(i).alias("i"), "n_keys", "n_rows")
-            for i, s in enumerate(todo)
-        ]
-        if not checks:
-            continue
-        union = checks[0]
-        for c in checks[1:]:
-            union = union.unionByName(c)
-        exact = union.where("n_keys = n_rows").select("i").collect()
-        found += [todo[i] for i in sorted(r.i for r in exact)]
-    return df.sparkSession.createDataFrame(
-        [(entity, ",".join(k), len(k), n_rows) for k in found],
-        "entity string, key string, size int, n_rows bigint",
-    )
-
-
-#: Size of a distinct-count sketch, its relative error, and how many sets share a scan.
-SKETCH_BITS = 12
-APPROX_ERROR = 0.02
-SETS_PER_SCAN = 64
-
-
-def _near_unique(
-    df: DataFrame, sets: list[tuple[str, ...]]
-) -> tuple[int, list[tuple[str, ...]]]:
-    """The row count, and the sets whose approximate distinct count is within five errors of it."""
-    near: list[tuple[str, ...]] = []
-    n_rows = 0
-    for start in range(0, len(sets), SETS_PER_SCAN):
-        some = sets[start : start + SETS_PER_SCAN]
-        got = df.agg(
-            F.count("*").alias("n"),
-            *[
-                F.hll_sketch_estimate(
-                    F.hll_sketch_agg(F.xxhash64(*[P.column(c) for c in s]), F.lit(SKETCH_BITS))
-                ).alias(f"d{i}")
-                for i, s in enumerate(some)
-            ],
-        ).first()
-        n_rows = got.n
-        near += [s for i, s in enumerate(some) if got[f"d{i}"] >= n_rows * (1 - 5 * APPROX_ERROR)]
-    return n_rows, near
-
-
-#: Columns compared in one pass of the reference search: the bits of a bigint.
-MASK_BITS = 63
-
-
-def discover_references(frames: Mapping[str, DataFrame], columns: dict[str, list[str]]) -> DataFrame:
-    """Pairs of columns where every value of the one also occurs in the other.
-
-    Each distinct value carries one bit per column that holds it; the bits common to all
-    values of a column name the columns that include it. One shuffle on the values, whose
-    copies collapse beforehand, instead of a join per pair. Columns are compared within
-    their type family (whole numbers, text, dates).
-    """
-    families: dict[str, list[tuple[str, str]]] = {}
-    for entity, cols in columns.items():
-        for c in cols:
-            dtype = P.type_at(frames[entity].schema, c)
-            families.setdefault(_family(dtype), []).append((entity, c))
-    out: DataFrame | None = None
-    for family, members in families.items():
-        if len(members) < 2:
-            continue
-        if len(members) > MASK_BITS:
-            raise ValueError(f"{len(members)} {family} columns; compare at most {MASK_BITS}")
-        part = _included(frames, members, family)
-        out = part if out is None else out.unionByName(part)
-    if out is None:
-        spark = next(iter(frames.values())).sparkSession
-        return spark.createDataFrame([], "child string, parent string, n_values bigint")
-    return out
-
-
-def _family(dtype: T.DataType) -> str:
-    if isinstance(dtype, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
-        return "bigint"
-    if isinstance(dtype, T.StringType):
-        return "string"
-    return dtype.simpleString()
-
-
-def _included(
-    frames: Mapping[str, DataFrame], members: list[tuple[str, str]], family: str
-) -> DataFrame:
-    bits: dict[str, list[Column]] = {}
-    for i, (entity, c) in enumerate(members):
-        col = P.value(frames[entity].schema, c)
-        bits.setdefault(entity, []).append(
-            F.struct(col.cast(family).alias("v"), F.lit(1 << i).cast("bigint").alias("bit"))
-        )
-    pairs: DataFrame | None = None
-    for entity, structs in bits.items():
-        one = frames[entity].select(F.inline(F.array(*structs))).where("v is not null")
-        pairs = one if pairs is None else pairs.unionByName(one)
-    masks = pairs.groupBy("v").agg(F.bit_or("bit").alias("mask"))
-    aggs = []
-    for i in range(len(members)):
-        mine = F.col("mask").bitwiseAND(F.lit(1 << i).cast("bigint")) != 0
-        aggs += [
-            F.bit_and(F.when(mine, F.col("mask"))).alias(f"m{i}"),
-            F.count_if(mine).alias(f"n{i}"),
-        ]
-    names = [f"{e}.{c}" for e, c in members]
-    kids = [
-        F.struct(F.lit(n).alias("child"), F.col(f"m{i}").alias("m"), F.col(f"n{i}").alias("n_values"))
-        for i, n in enumerate(names)
-    ]
-    # One row per column, each met by the list of column names: as many rows as name pairs.
-    folks = F.array(
-        *[F.struct(F.lit(n).alias("parent"), F.lit(1 << j).cast("bigint").alias("bit"))
-          for j, n in enumerate(names)]
-    )
-    return (
-        masks.agg(*aggs)
-        .select(F.inline(F.array(*kids)))
-        .select("child", "m", "n_values", F.inline(folks))
-        .where((F.col("m").bitwiseAND(F.col("bit")) != 0) & (F.col("child") != F.col("parent")))
-        .select("child", "parent", "n_values")
-    )
-
-
 def nested_paths(df: DataFrame, entity: str, key: list[str] | None = None) -> DataFrame:
     """Per array path: how many arrays, their fewest, most and total elements; per object
     path: how often it is present. One scan.
@@ -258,30 +111,4 @@ def entity_summary(frames: Mapping[str, DataFrame], contract: Contract) -> DataF
     return out
 
 
-def proposed_contract(frames: Mapping[str, DataFrame], max_size: int = 1) -> Contract:
-    """A contract proposed by the data: single keys and the references into them."""
-    contract = Contract()
-    columns: dict[str, list[str]] = {}
-    for name, df in frames.items():
-        keys = [r.key for r in discover_keys(df, name, max_size=max_size).collect()]
-        for i, k in enumerate(keys):
-            kind = "primary" if i == 0 else "unique"
-            contract = contract.add(Key(name, tuple(k.split(",")), kind))
-        columns[name] = [f.name for f in df.schema.fields if _keyable(f.dataType)]
-    keyed = {(r.entity, r.columns[0]) for r in contract.rules if len(r.columns) == 1}
-    for row in discover_references(frames, columns).collect():
-        child, col = row.child.split(".", 1)
-        parent, pcol = row.parent.split(".", 1)
-        if (parent, pcol) in keyed and child != parent:
-            contract = contract.add(Reference(child, (col,), parent, (pcol,)))
-    return contract
-
-
-__all__ = [
-    "discover_keys",
-    "discover_references",
-    "entity_summary",
-    "nested_paths",
-    "nullability",
-    "proposed_contract",
-]
+__all__ = ["entity_summary", "nested_paths", "nullability"]

@@ -329,7 +329,7 @@ def _proposed_sql() -> str:
 @query("proposed_contract", _proposed_sql())
 def proposed_contract(spark: SparkSession, d: str) -> DataFrame:
     """Keys and references proposed by the data alone; chance inclusions show up too."""
-    from modelshift.operators.profile import proposed_contract as propose
+    from modelshift.operators.discovery import proposed_contract as propose
 
     rules = propose({t: read(spark, d, t).select(*cols) for t, cols in PROPOSED.items()})
     return spark.createDataFrame(

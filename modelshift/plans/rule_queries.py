@@ -11,11 +11,11 @@ from modelshift.dataset import Dataset
 from modelshift.functions import checks as C
 from modelshift.functions.keys import natural_key
 from modelshift.functions.types import conform_losses
-from modelshift.operators import layout
+from modelshift.operators import discovery, layout
 from modelshift.operators import profile as pf
 from modelshift.operators import rules as R
 from modelshift.operators import structural as st
-from modelshift.plans.registry import query, read
+from modelshift.plans.registry import SCHEMAS, query, read
 from modelshift.plans.structure_queries import deep_orders
 from modelshift.session import new_folder
 
@@ -549,7 +549,7 @@ def _is_key(table: str, cols: tuple[str, ...]) -> str:
 @query("discover_keys", _keys_sql(4))
 def discover_keys(spark: SparkSession, d: str) -> DataFrame:
     return _union([
-        pf.discover_keys(read(spark, d, t), t, cols, max_size=4) for t, cols in KEY_SEARCH.items()
+        discovery.discover_keys(read(spark, d, t), t, cols, max_size=4) for t, cols in KEY_SEARCH.items()
     ])
 
 
@@ -580,7 +580,147 @@ def _references_sql() -> str:
 @query("discover_references", _references_sql())
 def discover_references(spark: SparkSession, d: str) -> DataFrame:
     frames = {t: read(spark, d, t) for t in REFERENCE_SEARCH}
-    return pf.discover_references(frames, REFERENCE_SEARCH)
+    return discovery.discover_references(frames, REFERENCE_SEARCH)
+
+
+FIRST_ROWS = 2000
+
+
+def _all_keys_sql(tables: dict[str, list[str]]) -> str:
+    """Every set of columns of every table, as a mask; then the sets without a smaller key inside.
+
+    Sets with copies among the first rows are left out before all rows are compared.
+    """
+    parts, unique = [], []
+    for table, cols in tables.items():
+        value = ", ".join(f"CASE WHEN mask & {1 << i} > 0 THEN {c} END" for i, c in enumerate(cols))
+        filled = " AND ".join(f"(mask & {1 << i} = 0 OR {c} IS NOT NULL)" for i, c in enumerate(cols))
+        names = ", ".join(f"CASE WHEN mask & {1 << i} > 0 THEN '{c}' END" for i, c in enumerate(cols))
+
+        def good(rows: str, masks: str) -> str:
+            return (f"(SELECT mask FROM {rows}, {masks} GROUP BY mask "
+                    f"HAVING count(DISTINCT hash({value})) = count(*) AND bool_and({filled}))")
+
+        parts += [
+            f"{table}_some AS MATERIALIZED (SELECT * FROM {table} LIMIT {FIRST_ROWS})",
+            f"{table}_open AS MATERIALIZED "
+            + good(f"{table}_some", f"(SELECT unnest(range(1, {1 << len(cols)})) AS mask)"),
+            f"{table}_good AS MATERIALIZED " + good(table, f"{table}_open"),
+        ]
+        unique.append(
+            f"SELECT '{table}' AS entity, concat_ws(',', {names}) AS key, CAST(bit_count(mask) AS INTEGER) AS size, "
+            f"(SELECT count(*) FROM {table}) AS n_rows FROM {table}_good u WHERE NOT EXISTS ("
+            f"SELECT 1 FROM {table}_good v WHERE v.mask <> u.mask AND v.mask & u.mask = v.mask)")
+    return "WITH " + ", ".join(parts) + " " + " UNION ALL ".join(unique)
+
+
+ALL_COLUMNS = {t: [c.split()[0] for c in names.split(", ")] for t, names in SCHEMAS.items()}
+
+
+@query("discover_all_keys", _all_keys_sql(ALL_COLUMNS))
+def discover_all_keys(spark: SparkSession, d: str) -> DataFrame:
+    """Every minimal key of every table, over all its columns and of any size."""
+    return _union([discovery.discover_keys(read(spark, d, t), t) for t in ALL_COLUMNS])
+
+
+def reference_frames(spark: SparkSession, d: str) -> dict[str, DataFrame]:
+    """Who supplies what (keyed by both), what was ordered of it, a list whose pairs do not match
+    although each of their columns does, and staff that report to each other."""
+    lines = read(spark, d, "lineitem")
+    supplied = lines.select("l_partkey", "l_suppkey").distinct().withColumnsRenamed(
+        {"l_partkey": "part", "l_suppkey": "supplier"})
+    other = read(spark, d, "supplier").agg(F.max("s_suppkey").alias("n")).first()["n"]
+    return {
+        "supplied": supplied,
+        "ordered": lines.select("l_suppkey", "l_partkey", "l_linenumber").withColumnsRenamed(
+            {"l_suppkey": "by_supplier", "l_partkey": "of_part", "l_linenumber": "line"}),
+        "mixed": lines.select(F.col("l_partkey").alias("a_part"),
+                              (F.col("l_suppkey") % other + 1).alias("a_supplier")),
+        "staff": read(spark, d, "customer").select(
+            F.col("c_custkey").alias("employee"),
+            F.nullif((F.col("c_custkey") / 7).cast("bigint"), F.lit(0)).alias("reports_to")),
+    }
+
+
+_FRAMES_SQL = """WITH supplied AS MATERIALIZED (
+    SELECT DISTINCT l_partkey AS part, l_suppkey AS supplier FROM lineitem),
+ordered AS MATERIALIZED (
+    SELECT l_suppkey AS by_supplier, l_partkey AS of_part, l_linenumber AS line FROM lineitem),
+mixed AS MATERIALIZED (SELECT l_partkey AS a_part,
+    l_suppkey % (SELECT max(s_suppkey) FROM supplier) + 1 AS a_supplier FROM lineitem),
+staff AS MATERIALIZED (
+    SELECT c_custkey AS employee, nullif(c_custkey // 7, 0) AS reports_to FROM customer)
+"""
+FRAME_COLUMNS = {"supplied": ["part", "supplier"], "ordered": ["by_supplier", "of_part", "line"],
+                 "mixed": ["a_part", "a_supplier"], "staff": ["employee", "reports_to"]}
+
+
+def _tuple_references(least: int) -> list[tuple[str, tuple[str, ...], str, tuple[str, ...]]]:
+    """Every way that columns of one frame, in order, may correspond to columns of another."""
+    return [
+        (a, xs, b, ys)
+        for a, cols in FRAME_COLUMNS.items() for k in range(least, len(cols) + 1)
+        for xs in combinations(cols, k)
+        for b, others in FRAME_COLUMNS.items() for ys in permutations(others, k)
+        if a != b or all(x != y for x, y in zip(xs, ys))]
+
+
+def _holds_sql(a: str, xs: tuple[str, ...], b: str, ys: tuple[str, ...]) -> str:
+    """All tuples of the one occur in the other; where nulls leave tuples out, each column does."""
+    if len(xs) > 1 and a == "staff":
+        parts = [_holds_sql(a, (x,), b, (y,)) for x, y in zip(xs, ys)]
+        return " AND ".join([*parts, _tuples_sql(a, xs, b, ys)])
+    return _tuples_sql(a, xs, b, ys)
+
+
+def _tuples_sql(a: str, xs: tuple[str, ...], b: str, ys: tuple[str, ...]) -> str:
+    filled = " AND ".join(f"{x} IS NOT NULL" for x in xs)
+    return (f"EXISTS (SELECT 1 FROM {a} WHERE {filled}) AND NOT EXISTS ("
+            f"SELECT {', '.join(xs)} FROM {a} WHERE {filled} EXCEPT SELECT {', '.join(ys)} FROM {b})")
+
+
+def _tuple_references_sql() -> str:
+    return _FRAMES_SQL + " UNION ALL ".join(
+        f"SELECT '{a}.{','.join(xs)}' AS child, '{b}.{','.join(ys)}' AS parent, "
+        f"(SELECT count(*) FROM (SELECT DISTINCT {', '.join(xs)} FROM {a} "
+        f"WHERE {' AND '.join(f'{x} IS NOT NULL' for x in xs)})) AS n_values "
+        f"WHERE {_holds_sql(a, xs, b, ys)}"
+        for a, xs, b, ys in _tuple_references(2))
+
+
+@query("discover_composite_references", _tuple_references_sql())
+def discover_composite_references(spark: SparkSession, d: str) -> DataFrame:
+    return discovery.discover_composite_references(reference_frames(spark, d))
+
+
+def _composite_contract_sql() -> str:
+    sets, refs = [], []
+    for t, cols in FRAME_COLUMNS.items():
+        for k in range(1, len(cols) + 1):
+            for s in combinations(cols, k):
+                smaller = [c for j in range(1, k) for c in combinations(s, j)]
+                good = " AND ".join([_is_key(t, s), *[f"NOT {_is_key(t, c)}" for c in smaller]])
+                place = [k, *[cols.index(c) for c in s]]
+                sets.append(f"SELECT '{t}' AS entity, '{','.join(s)}' AS key, {place} AS place WHERE {good}")
+    for a, xs, b, ys in _tuple_references(1):
+        # A key is named in its frame's order; a reference in the child's.
+        key = ",".join(c for c in FRAME_COLUMNS[b] if c in ys)
+        refs.append(
+            f"SELECT '{a}', 'reference({','.join(xs)})->{b}({','.join(ys)})' WHERE EXISTS ("
+            f"SELECT 1 FROM keys WHERE entity = '{b}' AND key = '{key}') AND {_holds_sql(a, xs, b, ys)}")
+    return (
+        f"{_FRAMES_SQL}, keys AS MATERIALIZED ({' UNION ALL '.join(sets)}) "
+        "SELECT entity, CASE WHEN row_number() OVER (PARTITION BY entity ORDER BY place) = 1 "
+        "THEN 'primary(' ELSE 'unique(' END || key || ')' AS rule FROM keys UNION ALL "
+        + " UNION ALL ".join(refs))
+
+
+@query("proposed_composite_contract", _composite_contract_sql())
+def proposed_composite_contract(spark: SparkSession, d: str) -> DataFrame:
+    """Keys of any size, references to composite keys and of an entity to itself, from the data."""
+    rules = discovery.proposed_contract(reference_frames(spark, d), max_size=None, self_references=True)
+    return spark.createDataFrame(
+        [(r.entity, r.name) for r in rules.rules], "entity string, rule string")
 
 
 @query("nested_paths", """

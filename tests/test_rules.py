@@ -8,8 +8,7 @@ from modelshift.functions import checks as C
 from modelshift.functions.keys import natural_key
 from modelshift.functions.types import conform, conform_losses, spark_type
 from modelshift.operators import compare as cmp
-from modelshift.operators import layout
-from modelshift.operators import profile as pf
+from modelshift.operators import discovery, layout
 from modelshift.operators import properties as pr
 from modelshift.operators import rules as R
 from modelshift.operators.grouping import DuplicateKey
@@ -176,9 +175,9 @@ def test_reconcile_counts_copies(spark):
 def test_discovery(spark):
     df = spark.createDataFrame(
         [(1, 1, "a"), (1, 2, "b"), (2, 1, "c"), (2, 2, None)], "x int, y int, t string")
-    got = {r.key for r in pf.discover_keys(df, "e").collect()}
+    got = {r.key for r in discovery.discover_keys(df, "e").collect()}
     assert got == {"x,y"}
-    refs = pf.discover_references({"e": df, "f": df.where("x = 1")}, {"e": ["x"], "f": ["x", "y"]})
+    refs = discovery.discover_references({"e": df, "f": df.where("x = 1")}, {"e": ["x"], "f": ["x", "y"]})
     assert {(r.child, r.parent) for r in refs.collect()} == {
         ("f.x", "e.x"), ("f.x", "f.y"), ("f.y", "e.x"), ("e.x", "f.y")}
 
