@@ -36,7 +36,7 @@ def require_unique(df: DataFrame, cols: list[str], what: str) -> None:
 class Gathered:
     """Arrays per key, and per part of it where the caller asked for parts.
 
-    ``parts`` lists every key with its number of parts; None without parts.
+    ``parts`` lists the keys that have several, with their number; None without parts.
     """
 
     rows: DataFrame
@@ -99,22 +99,29 @@ def _sorted_list(rows: DataFrame, alias: str) -> Column:
 def _gather_in_parts(
     carried: DataFrame, keys: list[str], alias: str, part_column: str, per_part: int
 ) -> Gathered:
-    """Number the elements of each key and cut the numbers into parts.
+    """Arrays of keys that fill no more than a part, and of the others by number.
 
-    Equal elements travel as one row with their count. An element's number is the count in
-    the key's earlier hash buckets plus its place in its own bucket; a key has about as many
+    Keys are counted first, on their own columns. The rows of a key within one part are grouped
+    once. Those of the others (no more keys than rows / ``per_part``) are numbered and the numbers
+    cut into parts. Both ways are in every plan, and give the same rows for a key of either size.
+
+    Numbering: equal elements travel as one row with their count. An element's number is the count
+    in the key's earlier hash buckets plus its place in its own bucket; a key has about as many
     buckets as parts, so no window holds more than a part's share of a key.
     """
     names = [column(k) for k in keys]
     content = "_order" if "_order" in carried.columns else alias
     first = [F.any_value(column(alias)).alias(alias)] if content == "_order" else []
-    counted = carried.groupBy(*names, column(content)).agg(F.count("*").alias("_copies"), *first)
-    sizes = carried.groupBy(*names).agg(F.count("*").alias("_n")).select(
+    sizes = carried.groupBy(*names).agg(F.count("*").alias("_n")).where(F.col("_n") > per_part).select(
         *[column(k).alias(f"_k{i}") for i, k in enumerate(keys)],
         F.ceil(F.col("_n") / per_part).cast("int").alias("_parts"))
     same = F.lit(True)
     for i, k in enumerate(keys):
         same = same & column(k).eqNullSafe(F.col(f"_k{i}"))
+    whole = carried.join(sizes, same, "left_anti").groupBy(*names).agg(
+        _sorted_list(carried, alias).alias(alias)).withColumn(part_column, F.lit(0))
+    counted = carried.join(sizes, same, "left_semi").groupBy(*names, column(content)).agg(
+        F.count("*").alias("_copies"), *first)
     dealt = counted.join(sizes, same).drop(*[f"_k{i}" for i in range(len(keys))]).withColumn(
         "_bucket", F.pmod(F.xxhash64(column(content)), F.col("_parts")))
     before = Window.partitionBy(*names).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -137,7 +144,7 @@ def _gather_in_parts(
         _sort_packed(carried, F.flatten(F.collect_list(
             F.array_repeat(_packed(carried, alias), take.cast("int"))))).alias(alias))
     parts = sizes.select(*[F.col(f"_k{i}").alias(k) for i, k in enumerate(keys)], "_parts")
-    return Gathered(arrays, parts)
+    return Gathered(whole.unionByName(arrays), parts)
 
 
 def attach(
