@@ -9,7 +9,7 @@ import pytest
 import xxhash
 
 from modelshift.llm.common import connected_groups
-from modelshift.llm.lines import dedup_lines, line_hashes
+from modelshift.llm.lines import ALL_WORDS, STRETCH, _lines, dedup_lines, line_features
 from modelshift.llm.simhash import fingerprint_links, near_duplicates
 from modelshift.llm.suffixes import Suffixes, _rolled, repeated_passages
 
@@ -120,22 +120,62 @@ def edit_distance(s: str, t: str) -> int:
     return row[-1]
 
 
+def edit_within(s: str, t: str, k: int) -> bool:
+    """The edit distance is at most ``k``: a column of the table at a time, in the bits of a number."""
+    if abs(len(s) - len(t)) > k:
+        return False
+    where: dict[str, int] = defaultdict(int)
+    for i, c in enumerate(s):
+        where[c] |= 1 << i
+    mask, last = (1 << len(s)) - 1, 1 << len(s) >> 1
+    up, down, distance = mask, 0, len(s)
+    for c in t:
+        same = where.get(c, 0)
+        level = same | down
+        across = (((same & up) + up) ^ up) | same
+        more, less = down | ~(across | up) & mask, up & across
+        distance += bool(more & last) - bool(less & last)
+        more, less = (more << 1 | 1) & mask, less << 1 & mask
+        up, down = (less | ~(level | more)) & mask, more & level
+    return distance <= k
+
+
+def test_edit_within_agrees_with_the_table():
+    rng = np.random.default_rng(4)
+    for _ in range(300):
+        s, t = ("".join(rng.choice(list("abc"), rng.integers(1, 12))) for _ in range(2))
+        d = edit_distance(s, t)
+        assert edit_within(s, t, d) and not edit_within(s, t, d - 1)
+
+
+def similar_lines(lines: list[str]) -> list[tuple[str, str]]:
+    """All pairs of lines with an edit similarity of at least 0.8."""
+    letters = {c: k for k, c in enumerate(sorted(set("".join(lines))))}
+    counts = np.zeros((len(lines), len(letters)), dtype=np.int32)
+    for k, line in enumerate(lines):
+        for c in line:
+            counts[k, letters[c]] += 1
+    length = counts.sum(axis=1)
+    out = []
+    for k, line in enumerate(lines):
+        room = (np.maximum(length[k], length[k + 1:]) * 0.2 + 1e-9).astype(int)
+        apart = counts[k + 1:] - counts[k]
+        least = np.maximum(np.maximum(apart, 0).sum(axis=1), np.maximum(-apart, 0).sum(axis=1))
+        for j in (np.flatnonzero(least <= room) + k + 1).tolist():
+            if edit_within(line, lines[j], int(room[j - k - 1])):
+                out.append((line, lines[j]))
+    return out
+
+
 def brute_lines(texts: dict) -> dict:
+    """Groups of equal and of similar lines; nothing but the edit similarity links lines."""
     places = defaultdict(list)
     for i in sorted(texts):
-        for n, line in enumerate(texts[i].split("\n")):
-            words = normal(line)
-            if len(words) >= 5:
-                places[" ".join(words)].append((i, n))
+        for n, line in enumerate((texts[i] or "").split("\n")):
+            if normal(line):
+                places[" ".join(normal(line))].append((i, n))
     lines = sorted(places)
-    prints = [majority([hash64(w) for w in line.split()]) for line in lines]
-    linked = []
-    for k, x in enumerate(lines):
-        for j in range(k + 1, len(lines)):
-            y = lines[j]
-            if (prints[k] ^ prints[j]).bit_count() <= 3:
-                if edit_distance(x, y) <= int(max(len(x), len(y)) * 0.2 + 1e-9):
-                    linked.append((x, y))
+    linked = similar_lines([x for x in lines if len(x.split()) >= 5])
     dropped = defaultdict(list)
     grouped = defaultdict(list)
     for line, root in groups_of(lines, linked).items():
@@ -146,8 +186,20 @@ def brute_lines(texts: dict) -> dict:
     out = {}
     for i, t in texts.items():
         gone = sorted(dropped[i])
-        kept = [x for n, x in enumerate(t.split("\n")) if n not in set(gone)]
-        out[i] = (len(t.split("\n")), gone, "\n".join(kept))
+        kept = [x for n, x in enumerate((t or "").split("\n")) if n not in set(gone)]
+        out[i] = (len((t or "").split("\n")), gone, "\n".join(kept))
+    return out
+
+
+def equal_lines(texts: dict) -> set:
+    """The places of lines that equal an earlier one."""
+    seen, out = set(), set()
+    for i in sorted(texts):
+        for n, line in enumerate((texts[i] or "").split("\n")):
+            words = " ".join(normal(line))
+            if words and words in seen:
+                out.add((i, n))
+            seen.add(words)
     return out
 
 
@@ -169,24 +221,56 @@ def test_lines_equal_brute_force(spark):
     assert line_rows(dedup_lines(frame(spark, texts))) == brute_lines(texts)
 
 
-def test_lines_of_the_documents_equal_brute_force(spark, sf_dir):
-    texts = {i: t for i, t in read_texts(spark, sf_dir).items()}
-    got = line_rows(dedup_lines(frame(spark, texts)))
-    assert got == brute_lines(texts)
-
-
-def test_long_lines_are_counted_in_chunks(spark):
-    texts = {1: prose(1, 200), 2: prose(2, 16_383), 3: prose(3, 16_384), 4: prose(4, 70_000),
-             5: "same " * 66_000, 6: prose(6, 5), 7: prose(7, 4)}
-    lines = spark.createDataFrame([(i, i, 0, t) for i, t in texts.items()],
-                                  "id long, text_hash long, line_no int, line string")
-    got = {r["id"]: unsigned(r["simhash"]) for r in line_hashes(lines, 5).collect()}
-    assert got == {i: majority([hash64(w) for w in t.split()]) for i, t in texts.items() if i != 7}
+def test_lines_of_the_documents_against_brute_force(spark, sf_dir):
+    """Nothing goes that brute force keeps, every equal line goes, and nearly all similar ones."""
+    texts = read_texts(spark, sf_dir)
+    got, want = line_rows(dedup_lines(frame(spark, texts))), brute_lines(texts)
+    gone = {(i, n) for i, (_, lines, _) in got.items() for n in lines}
+    wanted = {(i, n) for i, (_, lines, _) in want.items() for n in lines}
+    assert gone <= wanted and equal_lines(texts) <= gone
+    assert len(gone) >= 0.97 * len(wanted)
+    for i, text in texts.items():
+        lines = text.split("\n")
+        assert got[i][::2] == (len(lines), "\n".join(x for n, x in enumerate(lines) if (i, n) not in gone))
+
+
+def spark_hash(value: int, position: int) -> int:
+    first = xxhash.xxh64_intdigest(value.to_bytes(8, "little"), 42)
+    return xxhash.xxh64_intdigest(position.to_bytes(4, "little"), first)
+
+
+def brute_simhash(words: list[str]) -> int:
+    hashes, shift = [hash64(w) for w in words], STRETCH
+    if len(words) >= ALL_WORDS:
+        hashes, shift = [h for h in hashes if not h & 3], STRETCH - 2
+    return majority([spark_hash(h, i >> shift) for i, h in enumerate(hashes)])
+
+
+def test_simhash_of_lines_of_any_length(spark):
+    texts = {1: prose(1, 200), 2: prose(2, 31), 3: prose(3, 32), 4: prose(4, 70_000), 5: "same " * 66_000,
+             6: prose(6, 5), 7: prose(7, 4), 8: prose(8, 400), 9: "again " * 5}
+    lines = _lines(spark.createDataFrame([(i, i, t) for i, t in texts.items()], "id long, text_hash long, text string"))
+    got = {r["id"]: r for r in line_features(lines, 5).collect()}
+    assert {i: unsigned(r["simhash"]) for i, r in got.items() if r["keys"] is not None} == {
+        i: brute_simhash(t.split()) for i, t in texts.items() if i != 7}
+    assert {i for i, r in got.items() if r["keys"] is None} == {7}
     longer = texts[4]
     pair = line_rows(dedup_lines(frame(spark, {1: longer, 2: longer.replace(" ", ",  ") + "."})))
     assert [pair[i][1] for i in (1, 2)] == [[], [0]]
 
 
+def test_repeated_rows_and_a_pair_of_words_in_all_lines(spark):
+    rows = [(None, prose(1, 100))] * 1000 + [(k, f"in the {prose(5000 + k, 9)}") for k in range(300)]
+    rows += [(1000 + k, f"in the {prose(5000 + k, 8)} other") for k in range(0, 300, 7)]
+    rows += [(2000, prose(1, 100))]
+    got = dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == len(rows)
+    gone = {r["id"] for r in got if r["dropped"]}
+    want = brute_lines({i: t for i, t in rows if i is not None})
+    assert gone == {i for i, (_, lines, _) in want.items() if lines} | {2000}
+    assert all(r["dropped"] == [] for r in got if r["id"] is None)
+
+
 def test_lines_awkward_rows(spark):
     rows = dedup_lines(awkward(spark), carry=("id", "row", "lang")).collect()
     assert len(rows) == len(awkward_rows())
