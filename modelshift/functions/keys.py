@@ -72,15 +72,30 @@ def wide(dtype: T.DataType) -> T.DataType:
     return dtype
 
 
+def _as_decimal(dtype: T.DataType) -> T.DecimalType:
+    return dtype if isinstance(dtype, T.DecimalType) else T.DecimalType(19, 0)
+
+
 def comparable(col: Column, dtype: T.DataType, other: T.DataType | None = None) -> Column:
     """The value in its wide type, or in one it shares with a column of type ``other``.
 
-    Two kinds of number meet as doubles, everything else of different types as text.
+    Whole numbers and decimals meet in a decimal that holds both, or as plain text where none
+    does; a float or double meets other numbers as a double, everything else of different types
+    meets as text.
     """
     mine = wide(dtype)
     if other is not None and wide(other) != mine:
-        numbers = isinstance(dtype, T.NumericType) and isinstance(other, T.NumericType)
-        return col.cast("double" if numbers else "string")
+        if not (isinstance(dtype, T.NumericType) and isinstance(other, T.NumericType)):
+            return col.cast("string")
+        if any(isinstance(t, (T.FloatType, T.DoubleType)) for t in (dtype, other)):
+            return col.cast("double")
+        one, two = _as_decimal(dtype), _as_decimal(other)
+        scale = max(one.scale, two.scale)
+        precision = max(one.precision - one.scale, two.precision - two.scale) + scale
+        if precision <= 38:
+            return col.cast(T.DecimalType(precision, scale))
+        text = col.cast(one).cast("string")
+        return F.when(F.instr(text, ".") > 0, F.regexp_replace(text, r"\.?0+$", "")).otherwise(text)
     return stable(col if mine == dtype else col.cast(mine), mine)
 
 

@@ -287,6 +287,51 @@ def clustering_check(spark: SparkSession, d: str) -> DataFrame:
     return files.agg(F.sum("n_rows").alias("n_rows"), F.sum("wrong").alias("wrong"))
 
 
+@query("clustering_order_appended", """
+    SELECT o_custkey, o_orderkey,
+           row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey) AS position
+    FROM orders
+""")
+def clustering_order_appended(spark: SparkSession, d: str) -> DataFrame:
+    """The same places after three appends: one of later orders, one that mixes with the others."""
+    orders = read(spark, d, "orders").select("o_custkey", "o_orderdate", "o_orderkey")
+    folder, cluster = new_folder(spark, "appended"), [("o_orderdate", "desc"), "o_orderkey"]
+    mixed = (F.col("o_custkey") % 5 == 0) & (F.col("o_orderkey") % 2 == 0)
+    later = F.col("o_orderdate") >= F.lit("1996-01-01").cast("timestamp_ntz")
+    for part in (~mixed & ~later, ~mixed & later, mixed):
+        layout.append_layout(orders.where(part), folder, ["o_custkey"], cluster)
+    out = layout.read_positions(spark, folder, orders.schema, ["o_custkey"], "position", cluster)
+    return out.select("o_custkey", "o_orderkey", "position")
+
+
+@query("clustering_check_appended", """
+    WITH e AS (SELECT user_id, event_id, [-epoch_us(ts), event_id] AS place,
+                      ts >= (SELECT min(ts) + (max(ts) - min(ts)) / 2 FROM events) AS late FROM events),
+         r AS (SELECT 'later' AS kind, user_id, late AS part, min(place) AS lo, max(place) AS hi
+               FROM e GROUP BY ALL
+               UNION ALL SELECT 'mixed', user_id, event_id % 2 = 0, min(place), max(place)
+               FROM e GROUP BY ALL)
+    SELECT a.kind, (SELECT count(*) FROM events) AS n_rows, count(b.lo) > 0 AS contradicted
+    FROM r a LEFT JOIN r b ON a.kind = b.kind AND a.user_id = b.user_id AND a.part <> b.part
+         AND a.lo <= b.hi AND b.lo <= a.hi
+    GROUP BY a.kind
+""")
+def clustering_check_appended(spark: SparkSession, d: str) -> DataFrame:
+    """Two appends that follow each other in every user, and two that contradict each other."""
+    events = read(spark, d, "events").select("user_id", "ts", "event_id")
+    cluster = [("ts", "desc"), "event_id"]
+    middle = events.agg((F.min("ts") + (F.max("ts") - F.min("ts")) / 2).alias("m")).first()["m"]
+    parts = []
+    for kind, second in (("later", F.col("ts") >= F.lit(middle)), ("mixed", F.col("event_id") % 2 == 0)):
+        folder = new_folder(spark, "appended")
+        for some in (events.where(~second), events.where(second)):
+            layout.append_layout(some, folder, ["user_id"], cluster)
+        files = layout.out_of_order(spark, folder, events.schema, ["user_id"], cluster)
+        parts.append(files.agg(F.sum("n_rows").alias("n_rows"), (F.sum("wrong") > 0).alias("contradicted"))
+                     .select(F.lit(kind).alias("kind"), "n_rows", "contradicted"))
+    return _union(parts)
+
+
 # --- constraints ---------------------------------------------------------------------
 
 def _checks(df: DataFrame, entity: str, rules: list[tuple[str, str, C.Predicate]]) -> DataFrame:

@@ -120,6 +120,27 @@ def test_out_of_order_finds_disorder(spark):
     assert layout.out_of_order(spark, folder, df.schema, ["p"], ["c"]).first().wrong == 1
 
 
+def test_appends_keep_places_and_show_contradictions(spark):
+    cluster = [("c", "desc")]
+    folder, mixed = new_folder(spark, "t"), new_folder(spark, "t")
+    schema = "p int, c int"
+
+    def appended(to, *parts):
+        for rows in parts:
+            layout.append_layout(spark.createDataFrame(rows, schema), to, ["p"], cluster)
+        read = layout.read_positions(spark, to, spark.createDataFrame([], schema).schema, ["p"], "at", cluster)
+        wrong = layout.out_of_order(spark, to, read.drop("at").schema, ["p"], cluster)
+        return sorted((r.p, -r.c if r.c is not None else 99, r["at"]) for r in read.collect()), sum(
+            r.wrong for r in wrong.collect())
+
+    # Task numbers repeat over appends, and the second append comes first in the order.
+    rows, wrong = appended(folder, [(1, 3), (1, 2), (2, 9)], [(1, 5), (1, 4), (3, 1)], [(1, 1), (1, None)])
+    assert [at for p, _, at in rows if p == 1] == [1, 2, 3, 4, 5, 6] and wrong == 0
+    rows, wrong = appended(mixed, [(1, 5), (1, 1), (2, 4)], [(1, 3), (1, 2), (2, 3)])
+    assert [at for p, _, at in rows if p == 1] == [1, 2, 3, 4] and wrong == 1
+    assert [at for p, _, at in rows if p == 2] == [1, 2]
+
+
 def test_cast_keeps_going_and_counts_losses(spark):
     df = spark.createDataFrame([("1",), ("x",), (None,)], "a string")
     assert [r.a for r in pr.cast_property(df, "a", "Integer").collect()] == [1, None, None]
@@ -172,6 +193,24 @@ def test_reconcile_counts_copies(spark):
     assert one(cmp.reconcile("e", a, a, ["k"]))["verdict"] == "ok"
 
 
+def test_reconcile_compares_numbers_exactly(spark):
+    big = spark.createDataFrame([(1, 9007199254740993)], "k int, n bigint")
+    def against(value, kind):
+        other = big.select("k", F.lit(value).cast(kind).alias("n"))
+        return {one(cmp.reconcile("e", *x, ["k"]))["verdict"] for x in ((big, other), (other, big))}
+    assert against("9007199254740992", "decimal(20,0)") == {"rows changed"}
+    assert against("9007199254740993", "decimal(20,0)") == against("9007199254740993", "decimal(25,3)") == {"ok"}
+    assert against("9007199254740993", "decimal(38,19)") == {"ok"}
+    assert against("9007199254740993.5", "decimal(38,19)") == {"rows changed"}
+    small = big.select("k", F.lit(5).alias("n"))
+    for kind in ("decimal(10,2)", "double", "smallint", "decimal(38,37)"):
+        other = small.select("k", F.col("n").cast(kind).alias("n"))
+        assert one(cmp.reconcile("e", small, other, ["k"]))["verdict"] == "ok"
+    keys = spark.createDataFrame([(9007199254740993, 1)], "k bigint, v int")
+    other = keys.select((F.col("k") - 1).cast("decimal(20,0)").alias("k"), "v")
+    assert one(cmp.reconcile("e", keys, other, ["k"]))["verdict"] == "rows lost"
+
+
 def test_discovery(spark):
     df = spark.createDataFrame(
         [(1, 1, "a"), (1, 2, "b"), (2, 1, "c"), (2, 2, None)], "x int, y int, t string")
