@@ -23,7 +23,10 @@ def words_of(text: str) -> list[bytes]:
 
 
 def item_windows(benchmark: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
-    """Distinct ``(item, words, window)``: every ``n`` words in a row, or a shorter item's words."""
+    """Distinct ``(item, words, window)``: every ``n`` words in a row, or a shorter item's words.
+
+    Windows of an item without an id have no item, but they hit.
+    """
     def prepare():
         def run(c: Columns) -> Columns:
             out: Columns = {"item": [], "words": [], "window": []}
@@ -38,7 +41,7 @@ def item_windows(benchmark: DataFrame, id_col: str, text_col: str, n: int) -> Da
             return out
         return run
 
-    items = benchmark.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(
+    items = benchmark.where(F.col(text_col).isNotNull()).select(
         F.col(id_col).cast("string").alias("item"), F.col(text_col).cast("string").alias("text"))
     return map_columns(items, "item string, words int, window binary", prepare).distinct()
 
@@ -48,8 +51,8 @@ class WindowSet:
 
     BASE = np.uint64(0x9E3779B97F4A7C15)
 
-    def __init__(self, rows: list[tuple[str, int, bytes]]):
-        self.items: dict[bytes, list[str]] = {}
+    def __init__(self, rows: list[tuple[str | None, int, bytes]]):
+        self.items: dict[bytes, list[str | None]] = {}
         self.vocabulary: dict[bytes, int] = {}
         sizes: dict[int, set[bytes]] = {}
         for item, size, window in rows:
@@ -123,8 +126,8 @@ def find_contamination(
     hash to several sets of that size, each compared with all documents, and the findings of a
     document are merged: the result is the same.
 
-    A null or empty text has no words and no hits. Items with a null id or text, or without
-    words, have no windows. Repeated rows get a row each. An empty table on either side gives no
+    A null or empty text has no words and no hits. Items with a null text, or without
+    words, have no windows; those of an item with a null id hit, but name no item. Repeated rows get a row each. An empty table on either side gives no
     rows or no hits.
     """
     spark = docs.sparkSession
@@ -151,7 +154,7 @@ def find_contamination(
                     ranges, items = known.find(words) if words else ([], set())
                     out["n_words"].append(len(words))
                     out["spans"].append([x for r in ranges for x in r])
-                    out["items"].append(sorted(items))
+                    out["items"].append(sorted(i for i in items if i is not None))
                 return out
             return run
 
@@ -192,10 +195,21 @@ def hit_words() -> Column:
     return F.aggregate(signed, F.lit(0).cast("long"), lambda a, x: a + x)
 
 
-def without_hits(docs: DataFrame, found: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """``docs`` without the documents that hold a benchmark window; rows with a null id stay."""
-    dirty = found.where(F.size("spans") > 0).select(F.col("id").alias(id_col)).distinct()
-    return docs.join(dirty, id_col, "left_anti")
+def without_hits(
+    docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """``docs`` without the documents that hold a benchmark window, told apart by id and text."""
+    return without(docs, found.where(F.size("spans") > 0), id_col, text_col)
+
+
+def without(
+    docs: DataFrame, gone: DataFrame, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """``docs`` without the rows whose id and text are those of a row of ``gone`` (id, text_hash)."""
+    names = gone.select(F.col("id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
+    text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
+    same = docs[id_col].eqNullSafe(names["_id"]) & (F.xxhash64(text) == names["_hash"])
+    return docs.join(names, same, "left_anti")
 
 
 def without_spans(

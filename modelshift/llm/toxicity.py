@@ -143,7 +143,8 @@ def score_toxicity(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     label_col: str = "toxic", max_train_rows: int = 60_000, trees: int = 40, depth: int = 4,
 ) -> DataFrame:
-    """``(id, held_out, score)`` for every row of ``docs``; ``score`` is a calibrated probability.
+    """``(id, text_hash, held_out, score)`` for every row of ``docs``; ``score`` is a calibrated
+    probability, ``text_hash`` tells rows apart that share an id.
 
     The model reads only features of the whole text. It is fitted on at most ``max_train_rows``
     labels, never on a row whose crc32(id) mod 3 is 1; a quarter of them is kept from the trees
@@ -165,12 +166,13 @@ def score_toxicity(
 
         def run(c: Columns) -> Columns:
             rows = [features(t, lexicon, taught, second) for t in c["text"]]
-            return {"id": c["id"], **dict(zip(FEATURES, zip(*rows) if rows else [[]] * len(FEATURES)))}
+            return {"id": c["id"], "text_hash": c["text_hash"], **dict(zip(FEATURES, zip(*rows) if rows else [[]] * len(FEATURES)))}
         return run
 
     kind = texts.schema["id"].dataType.simpleString()
-    schema = f"id {kind}, " + ", ".join(f"{f} double" for f in FEATURES)
-    rows = stored(map_columns(texts, schema, prepare), "features")
+    schema = f"id {kind}, text_hash long, " + ", ".join(f"{f} double" for f in FEATURES)
+    hashed = texts.select("id", "text", F.xxhash64("text").alias("text_hash"))
+    rows = stored(map_columns(hashed, schema, prepare), "features")
     rows = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(rows)
 
     train = rows.join(F.broadcast(sample), "id").select("id", "label", "features")
@@ -180,7 +182,7 @@ def score_toxicity(
     if not (counts.get((False, 0.0)) and counts.get((False, 1.0))):
         toxic = sum(n for (_, label), n in counts.items() if label)
         share = toxic / max(1, sum(counts.values()))
-        return rows.select("id", held_out("id").alias("held_out"), F.lit(share).alias("score"))
+        return rows.select("id", "text_hash", held_out("id").alias("held_out"), F.lit(share).alias("score"))
     # With too few rows apart, the curve is fitted on all of them.
     for_curve = train.where(curve) if all(counts.get((True, x)) for x in (0.0, 1.0)) else train
     gbt = GBTClassifier(maxIter=trees, maxDepth=depth, stepSize=0.15, subsamplingRate=0.8, seed=17,
@@ -189,8 +191,9 @@ def score_toxicity(
     raw = vector_to_array("rawPrediction")[1]
     isotonic = IsotonicRegression(featuresCol="raw", labelCol="label", predictionCol="score")
     fitted = isotonic.fit(model.transform(for_curve).select(raw.alias("raw"), "label"))
-    scored = model.transform(rows).select("id", raw.alias("raw"))
+    scored = model.transform(rows).select("id", "text_hash", raw.alias("raw"))
     # Between equal steps of the curve the trees still order the texts, by a thousandth at most.
     tie = F.lit(0.001) * (F.lit(1.0) / (F.lit(1.0) + F.exp(-F.col("raw"))))
     score = F.col("score") * 0.999 + tie
-    return fitted.transform(scored).select("id", held_out("id").alias("held_out"), score.alias("score"))
+    return fitted.transform(scored).select(
+        "id", "text_hash", held_out("id").alias("held_out"), score.alias("score"))

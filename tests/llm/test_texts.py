@@ -73,6 +73,13 @@ def test_contamination_equals_brute_force(spark, max_windows):
     assert hit_rows(got) == brute_hits(texts, ITEMS)
 
 
+def test_windows_of_items_without_an_id(spark):
+    texts = {1: PLAIN, 2: prose(1, 30), 3: "three words here"}
+    items = items_frame(spark, {None: PLAIN, 3: "three words here"})
+    got = hit_rows(find_contamination(frame(spark, texts), items))
+    assert got[1] == (18, set(range(18)), []) and not got[2][1] and got[3][2] == ["3"]
+
+
 def test_contamination_of_the_documents(spark, sf_dir):
     items = {r[0]: r[1] for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()}
     texts = read_texts(spark, sf_dir)
