@@ -100,6 +100,28 @@ def stream_wind(spark: SparkSession, d: str) -> DataFrame:
     ).withColumn("window_start", sm.as_naive(F.col("window_start")))
 
 
+@query("stream_wind_all", """
+    SELECT CAST(time_bucket(INTERVAL 6 HOURS, ts) AS TIMESTAMP) AS window_start, event_type,
+           count(*) AS n_values, (count(*) + 99) // 100 AS n_parts, max(value) AS highest,
+           CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) AS cents
+    FROM events GROUP BY 1, 2
+""")
+def stream_wind_all(spark: SparkSession, d: str) -> DataFrame:
+    """Values per type and six hours in parts of 100, windows that are still open included."""
+    timed = events(spark, d).withColumn("ts", sm.as_instant(F.col("ts")))
+    folder = new_folder(spark, "stream")
+    lists = sm.wind_to_table(
+        timed, f"{folder}/lists", f"{folder}/state", "ts", ["event_type"], "value", window="6 hours",
+        late="1 hour", elements_per_part=100)
+    cents = F.aggregate("value", F.lit(0).cast("bigint"), lambda a, x: a + F.round(x * 100).cast("bigint"))
+    return lists.groupBy("window_start", "event_type").agg(
+        F.sum(F.size("value")).cast("bigint").alias("n_values"),
+        F.count("*").alias("n_parts"),
+        F.max(F.array_max("value")).alias("highest"),
+        F.sum(cents).alias("cents"),
+    ).withColumn("window_start", sm.as_naive(F.col("window_start")))
+
+
 @query("stream_unique", "SELECT count(*) AS n_rows, count(DISTINCT event_id) AS n_ids FROM events")
 def stream_unique(spark: SparkSession, d: str) -> DataFrame:
     """Every event arrives twice and is kept once."""

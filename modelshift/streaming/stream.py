@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from modelshift.functions import paths as P
 from modelshift.operators import structural as st
+from modelshift.operators.grouping import gather
 from modelshift.operators.rules import RowRule, broken_rules
 from modelshift.session import new_folder
 
@@ -102,6 +103,55 @@ def wind_windows(
     )
 
 
+def wind_to_table(
+    stream: DataFrame,
+    path: str,
+    state_path: str,
+    time: str,
+    keys: list[str],
+    value: str,
+    *,
+    window: str,
+    late: str,
+    elements_per_part: int,
+) -> DataFrame:
+    """WIND on a stream into a table, every window of it: ``window_start``, the keys, ``batch``,
+    ``part`` and a sorted array of at most ``elements_per_part`` values.
+
+    Each batch writes the values that it brought, so a window is there from its first value on,
+    open windows too, and nothing is kept between batches but the latest time seen: the number of
+    values of a key or window does not matter. Within a batch, arrays are cut as NEST cuts them.
+    A value whose window ended more than ``late`` before the latest time of earlier batches is
+    dropped. A batch that is repeated after a failure replaces its own rows.
+    """
+    spark = stream.sparkSession
+
+    def write(batch: DataFrame, number: int) -> None:
+        before = None
+        if number:
+            before = spark.read.parquet(f"{path}/seen/batch={number - 1}").first()["seen"]
+        rows = batch.withColumn("_window", F.window(P.column(time), window))
+        if before is not None:
+            rows = rows.where(F.col("_window.end") > F.lit(before) - F.expr(f"INTERVAL {late}"))
+        rows = rows.select(
+            F.col("_window.start").alias("window_start"), *[P.column(k) for k in keys], P.column(value))
+        arrays = gather(
+            rows, ["window_start", *keys], P.column(value), value, part_column="part",
+            elements_per_part=elements_per_part)
+        arrays.rows.write.mode("overwrite").parquet(f"{path}/data/batch={number}")
+        newest = F.greatest(F.max(P.column(time)), F.lit(before).cast("timestamp"))
+        batch.agg(newest.alias("seen")).write.mode("overwrite").parquet(f"{path}/seen/batch={number}")
+
+    run = (
+        stream.writeStream.foreachBatch(write)
+        .option("checkpointLocation", state_path)
+        .trigger(availableNow=True)
+        .start()
+    )
+    run.awaitTermination()
+    return spark.read.option("basePath", f"{path}/data").parquet(f"{path}/data")
+
+
 def unique_within(stream: DataFrame, time: str, keys: list[str], late: str) -> DataFrame:
     """The first row per key; repeats that arrive within ``late`` are dropped."""
     return stream.withWatermark(time, late).dropDuplicatesWithinWatermark(keys)

@@ -58,6 +58,24 @@ def test_wind_drops_late_rows(spark, folder):
     assert 7 not in rows["a"] and set(rows["a"]) == {3, 5}
 
 
+def test_wind_to_table_has_all_windows_in_parts(spark, folder):
+    base = new_folder(spark, "out")
+    out = sm.wind_to_table(
+        stream(spark, folder), f"{base}/lists", f"{base}/state", "ts", ["k"], "v",
+        window="10 minutes", late="15 minutes", elements_per_part=1).collect()
+    rows = {}
+    for r in out:
+        assert len(r.v) == 1
+        rows.setdefault((str(r.window_start), r.k), []).append(r.v[0])
+    sent = sm.run_to_table(sm.reshape(stream(spark, folder), lambda df: df)).collect()
+    want = {}
+    for r in sent:
+        start = r.ts.replace(minute=r.ts.minute // 10 * 10, second=0, microsecond=0)
+        if r.v != 7:  # came after its window had been closed
+            want.setdefault((str(start), r.k), []).append(r.v)
+    assert {k: sorted(v) for k, v in rows.items()} == {k: sorted(v) for k, v in want.items()}
+
+
 def test_unique(spark, folder):
     out = sm.run_to_table(sm.unique_within(stream(spark, folder), "ts", ["id"], "2 hours"))
     assert out.count() == 7 and out.select("id").distinct().count() == 7
