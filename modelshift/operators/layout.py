@@ -91,6 +91,27 @@ def skew_report(df: DataFrame, partition: list[str]) -> DataFrame:
     )
 
 
+def hot_keys(df: DataFrame, partition: list[str], share: float) -> DataFrame:
+    """The partition keys that hold at least ``share`` of all rows, with their exact counts.
+
+    Sketches of the most frequent hashes are merged over the tasks; they track so many that every
+    such key is among their candidates, of which there are at most 2 / ``share``. Then the rows of
+    the candidates alone are counted: no other key is shuffled.
+    """
+    if not 1e-5 <= share <= 1:
+        raise ValueError(f"share {share}: a fraction of the rows, at least 0.00001")
+    code = F.xxhash64(*[P.column(c) for c in partition])
+    tracked = min(1_000_000, int(40 / share) + 100)
+    found = df.select(code.alias("h")).agg(
+        F.count("*").alias("n"),
+        F.expr(f"approx_top_k(h, {min(100_000, int(2 / share) + 1)}, {tracked})").alias("top")).first()
+    assert found is not None
+    candidates = df.sparkSession.createDataFrame([(r["item"],) for r in found["top"] or []], "_h bigint")
+    counted = df.join(F.broadcast(candidates), code == F.col("_h"), "left_semi").groupBy(
+        *[P.column(c) for c in partition]).agg(F.count("*").alias("n_rows"))
+    return counted.where(F.col("n_rows") >= F.lit(share) * found["n"])
+
+
 def _file_place() -> Column:
     """A written file's place: its task number, then its number within the task, then its name,
     which tells the files of several appends apart."""

@@ -261,6 +261,23 @@ def partition_skew(spark: SparkSession, d: str) -> DataFrame:
     return layout.skew_report(read(spark, d, "lineitem"), ["l_partkey"])
 
 
+HOT = [("documents", ["source"], 0.1), ("lineitem", ["l_returnflag", "l_linestatus"], 0.2),
+       ("lineitem", ["l_suppkey"], 0.0101), ("events", ["user_id"], 0.001)]
+
+
+@query("partition_hot_keys", " UNION ALL ".join(
+    f"SELECT '{t}' AS entity, concat_ws(',', {', '.join(cols)}) AS key, count(*) AS n_rows FROM {t} "
+    f"GROUP BY {', '.join(cols)} HAVING count(*) >= {share} * (SELECT count(*) FROM {t})"
+    for t, cols, share in HOT))
+def partition_hot_keys(spark: SparkSession, d: str) -> DataFrame:
+    """The partition keys that would make a partition hot, each with its exact number of rows."""
+    return _union([
+        layout.hot_keys(read(spark, d, t), cols, share).select(
+            F.lit(t).alias("entity"), F.concat_ws(",", *[F.col(c).cast("string") for c in cols]).alias("key"),
+            "n_rows")
+        for t, cols, share in HOT])
+
+
 @query("clustering_order", """
     SELECT o_custkey, o_orderkey,
            row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey) AS position

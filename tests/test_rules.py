@@ -120,6 +120,15 @@ def test_out_of_order_finds_disorder(spark):
     assert layout.out_of_order(spark, folder, df.schema, ["p"], ["c"]).first().wrong == 1
 
 
+def test_hot_keys_are_exact_among_many(spark):
+    df = spark.range(30_000).selectExpr(
+        "CASE WHEN id % 3 = 0 THEN 'hot' WHEN id % 50 = 1 THEN NULL ELSE concat('k', id) END AS k", "id % 2 AS j")
+    got = {(r.k, r.j): r.n_rows for r in layout.hot_keys(df, ["k", "j"], 0.005).collect()}
+    want = {(r.k, r.j): r["count"] for r in df.groupBy("k", "j").count().where("count >= 150").collect()}
+    assert got == want and ("hot", 0) in got
+    assert layout.hot_keys(df.limit(0), ["k"], 0.5).count() == 0
+
+
 def test_appends_keep_places_and_show_contradictions(spark):
     cluster = [("c", "desc")]
     folder, mixed = new_folder(spark, "t"), new_folder(spark, "t")
