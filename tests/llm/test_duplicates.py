@@ -9,7 +9,7 @@ import pytest
 import xxhash
 
 from modelshift.llm.common import connected_groups
-from modelshift.llm.lines import ALL_WORDS, STRETCH, _lines, dedup_lines, line_features
+from modelshift.llm.lines import ALL_WORDS, STRETCH, _lines, _most_edits, dedup_lines, line_features
 from modelshift.llm.simhash import fingerprint_links, near_duplicates
 from modelshift.llm.suffixes import Suffixes, _rolled, repeated_passages
 
@@ -259,6 +259,22 @@ def test_simhash_of_lines_of_any_length(spark):
     assert [pair[i][1] for i in (1, 2)] == [[], [0]]
 
 
+def test_most_edits_is_never_too_few(spark):
+    rng, rows = np.random.default_rng(6), []
+    for _ in range(300):
+        x = rng.choice(["a", "bb", "ccc", "dddd"], rng.integers(1, 8)).tolist()
+        y = list(x)
+        for _ in range(rng.integers(0, 3)):
+            at = rng.integers(0, len(y) + 1)
+            y[at:at + rng.integers(0, 2)] = rng.choice(["bb", "e"], rng.integers(0, 2)).tolist()
+        rows.append((x, y or ["e"]))
+    got = spark.createDataFrame(rows, "x array<string>, y array<string>").select(
+        "x", "y", _most_edits("x", "y").alias("n")).collect()
+    least = [edit_distance(" ".join(r["x"]), " ".join(r["y"])) for r in got]
+    assert all(r["n"] >= d for r, d in zip(got, least))
+    assert sum(r["n"] <= d + 2 for r, d in zip(got, least)) > 150  # and often near
+
+
 def test_repeated_rows_and_a_pair_of_words_in_all_lines(spark):
     rows = [(None, prose(1, 100))] * 1000 + [(k, f"in the {prose(5000 + k, 9)}") for k in range(300)]
     rows += [(1000 + k, f"in the {prose(5000 + k, 8)} other") for k in range(0, 300, 7)]
