@@ -7,6 +7,8 @@ import numpy as np
 import pytest
 
 from modelshift.llm.centroids import Centroids, cluster_vectors, largest_component
+from modelshift.llm.queries import ORACLE, QUERIES
+from tests.oracle import compare, connect
 
 SCHEMA = "vec_id long, embedding array<double>, cluster int, id string, v int, distance int"
 
@@ -83,3 +85,9 @@ def test_search_is_exact_and_passes_centroids_over():
 def test_components_beyond_the_range_are_an_error(spark):
     with pytest.raises(Exception, match="over 536870912"):
         cluster_vectors(frame(spark, [(1, [1e9, 0.0]), (2, [0.0, 0.0])]), dimensions=2).collect()
+
+
+def test_query_equals_its_sql(spark, sf_dir):
+    got = QUERIES["op13_centroids"](spark, sf_dir).toArrow()
+    want = connect(sf_dir).sql(ORACLE["op13_centroids"]).to_arrow_table()
+    assert len(got) > 0 and compare(got, want) == []
