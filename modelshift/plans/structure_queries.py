@@ -38,6 +38,7 @@ def deep_orders(spark: SparkSession, d: str) -> DataFrame:
     return st.nest_many(
         read(spark, d, "orders"), details_with_product(spark, d), {"o_orderkey": "l_orderkey"},
         "details", ["l_linenumber", "l_quantity", "l_suppkey", "product"], part_column=PART, elements_per_part=PER_PART,
+        counted_on=read(spark, d, "lineitem"),
     )
 
 
