@@ -24,6 +24,9 @@ SETS_PER_SCAN = 16
 ROWS_FOR_REFUSAL = 1_000_000
 #: Sets of columns that rows of a sample agree in, at most; the largest.
 AGREEMENTS = 10_000
+#: Columns whose equal rows are compared pair by pair: pairs a row on average; rows of a value.
+PAIRS_PER_ROW = 32
+ROWS_OF_A_VALUE = 1_000
 #: Columns in one mask: the bits of a bigint but for its sign.
 MASK_BITS = 62
 
@@ -45,13 +48,13 @@ def _batches(items: Sequence, size: int) -> Iterable[Sequence]:
         yield items[start:start + size]
 
 
-def _measured(df: DataFrame, sets: Sequence[Columns], one_in: int = 1) -> dict[Columns, tuple[int, int]]:
-    """Per set, its distinct values and the rows of the most frequent one.
+def _measured(df: DataFrame, sets: Sequence[Columns], one_in: int = 1) -> dict[Columns, tuple[int, int, int]]:
+    """Per set, its distinct values, the rows of the most frequent one, and the pairs of equal rows.
 
     With ``one_in``, over the rows whose value of the set has a hash divisible by it: all copies of
     such a value are among them, so a repeat there is a repeat.
     """
-    found: dict[Columns, tuple[int, int]] = {}
+    found: dict[Columns, tuple[int, int, int]] = {}
     for some in _batches(sets, SETS_PER_SCAN):
         used = sorted({c for s in some for c in s})
         at = {c: k for k, c in enumerate(used)}
@@ -67,11 +70,48 @@ def _measured(df: DataFrame, sets: Sequence[Columns], one_in: int = 1) -> dict[C
         if one_in > 1:
             rows = rows.where(F.pmod("a", F.lit(one_in)) == 0)
         groups = rows.groupBy("i", "a", "b").agg(F.count("*").alias("n"))
-        for r in groups.groupBy("i").agg(F.count("*").alias("d"), F.max("n").alias("most")).collect():
-            found[some[r["i"]]] = (r["d"], r["most"])
+        pairs = F.sum((F.col("n") * (F.col("n") - 1) / 2).cast("decimal(38,0)"))
+        for r in groups.groupBy("i").agg(
+                F.count("*").alias("d"), F.max("n").alias("most"), pairs.alias("pairs")).collect():
+            found[some[r["i"]]] = (r["d"], r["most"], int(r["pairs"]))
     return found
 
 
+def _largest(sets: Iterable[frozenset[str]]) -> list[frozenset[str]]:
+    out: list[frozenset[str]] = []
+    for one in sorted(sets, key=len, reverse=True):
+        if not any(one <= x for x in out):
+            out.append(one)
+    return out
+
+
+def _pair_agreements(df: DataFrame, names: Sequence[str], column: str) -> list[frozenset[str]]:
+    """The largest sets of columns in which two rows of one value of ``column`` agree, of all pairs.
+
+    A set with ``column`` has copies if and only if it lies within one of them: one shuffle on the
+    column settles all sets that it is part of, whatever their size. Values agree if a 64-bit
+    hash does.
+    """
+    words = range(-(-len(names) // MASK_BITS))
+    at = [f"a{k}" for k in range(len(names))]
+    rows = df.select(F.monotonically_increasing_id().alias("row"), *[
+        F.xxhash64(_plain(df, c)).alias(a) for a, c in zip(at, names)])
+    key = at[list(names).index(column)]
+    one, two = (rows.select(*[F.col(c).alias(f"{side}{c}") for c in rows.columns]) for side in "xy")
+    pairs = one.join(two, (F.col(f"x{key}") == F.col(f"y{key}")) & (F.col("xrow") < F.col("yrow")))
+    masks = []
+    for w in words:
+        bits = [F.when(F.col(f"x{a}") == F.col(f"y{a}"), _bit(i)).otherwise(F.lit(0).cast("bigint"))
+                for i, a in enumerate(at) if i // MASK_BITS == w]
+        mask = bits[0]
+        for b in bits[1:]:
+            mask = mask.bitwiseOR(b)
+        masks.append(mask.alias(f"m{w}"))
+    found = pairs.select(*masks).distinct().collect()
+    return _largest({frozenset(c for i, c in enumerate(names) if r[i // MASK_BITS] >> i % MASK_BITS & 1)
+                     for r in found})
+
+
 def _agreements(df: DataFrame, names: Sequence[str], one_in: int) -> list[frozenset[str]]:
     """Large sets of columns in which some two rows agree, so that no part of them is a key.
 
@@ -95,12 +135,7 @@ def _agreements(df: DataFrame, names: Sequence[str], one_in: int) -> list[frozen
         pairs = one if pairs is None else pairs.unionByName(one)
     assert pairs is not None
     found = pairs.distinct().orderBy(F.size("agreed").desc(), "agreed").limit(AGREEMENTS).collect()
-    largest: list[frozenset[str]] = []
-    for r in found:
-        one = frozenset(names[i] for i in r["agreed"])
-        if not any(one <= x for x in largest):
-            largest.append(one)
-    return largest
+    return _largest({frozenset(names[i] for i in r["agreed"]) for r in found})
 
 
 def discover_keys(
@@ -118,7 +153,9 @@ def discover_keys(
     the values of one hash bucket, about
     ``ROWS_FOR_REFUSAL`` rows; those that show none there are counted over all rows. A level takes
     a pass or two over the columns it needs, not one for each set, and copies of a value
-    collapse before the shuffle.
+    collapse before the shuffle. Sets with a column that has few rows to a value (by its counts, up to
+    ``ROWS_OF_A_VALUE``, and ``PAIRS_PER_ROW`` on average) take no pass of their own: the pairs of rows
+    that agree in the column are compared once, and show for every such set whether it has copies.
     """
     names = columns or df.columns
     counts = df.agg(F.count("*").alias("n"), *[
@@ -132,27 +169,44 @@ def discover_keys(
     single: dict[str, int] = {}
     one_in = max(1, n_rows // ROWS_FOR_REFUSAL)
     level: list[Columns] = [(c,) for c in filled]
-    copies = _agreements(df, filled, one_in) if len(filled) > 1 and max_size != 1 else []
+    copies: list[frozenset[str]] = []
+    #: columns all of whose pairs of equal rows are known
+    paired: set[str] = set()
+
+    def has_copies(s: Columns) -> bool:
+        return any(x.issuperset(s) for x in copies)
+
     while level:
         size = len(level[0])
+        settled = [s for s in level if paired.intersection(s)]
+        keys = {s for s in settled if not has_copies(s)}
+        open_ = [s for s in level if not paired.intersection(s)]
         if size > 1:
             for s in level:
                 bound[s] = min(bound[tuple(x for x in s if x != c)] * single[c] for c in s)
-        open_ = [s for s in level if size == 1 or (
-            bound[s] >= n_rows and not any(x.issuperset(s) for x in copies))]
-        if one_in > 1 and size > 1:
-            shown = _measured(df, open_, one_in)
-            open_ = [s for s in open_ if shown.get(s, (0, 1))[1] == 1]
+            open_ = [s for s in open_ if bound[s] >= n_rows and not has_copies(s)]
+            if one_in > 1:
+                shown = _measured(df, open_, one_in)
+                open_ = [s for s in open_ if s not in shown or shown[s][1] == 1]
         whole = _measured(df, open_)
-        for s, (distinct, _) in whole.items():
+        for s, (distinct, _, _) in whole.items():
             bound[s] = distinct
             if size == 1:
                 single[s[0]] = distinct
-        keys = {s for s, (_, most) in whole.items() if most == 1}
+        keys |= {s for s, (_, most, _) in whole.items() if most == 1}
         found += sorted(keys, key=lambda s: [at[c] for c in s])
         if size == max_size:
             break
         level = _wider([s for s in level if s not in keys], at)
+        if size == 1 and level:
+            rest = [c for c in filled if (c,) not in keys]
+            for c in sorted(rest, key=lambda c: whole[c,][2]):
+                _, most, pairs = whole[c,]
+                if most <= ROWS_OF_A_VALUE and pairs <= PAIRS_PER_ROW * n_rows:
+                    copies = _largest([*copies, *_pair_agreements(df, rest, c)])
+                    paired.add(c)
+            if any(not paired.intersection(s) for s in level):
+                copies = _largest([*copies, *_agreements(df, [c for c in rest if c not in paired], one_in)])
     return df.sparkSession.createDataFrame(
         [(entity, ",".join(k), len(k), n_rows) for k in found],
         "entity string, key string, size int, n_rows bigint")

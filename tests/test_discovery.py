@@ -121,3 +121,29 @@ def test_contract_with_composite_and_self_references(spark):
             ("notes", "reference(l,o)->items(l,o)")} <= got
     alone = proposed_contract({"items": items, "staff": staff})
     assert {(r.entity, r.name) for r in alone.rules} == {("staff", "primary(id)")}
+
+
+def test_sets_with_a_column_of_few_rows_take_no_pass(spark, monkeypatch):
+    """Five columns, one with three rows to a value: its sets are settled by its pairs alone."""
+    from itertools import combinations
+
+    from modelshift.operators import discovery
+
+    rows = [(i // 3, i % 3, (i * 7) % 5, (i * i) % 11, i % 2) for i in range(300)] + [(1, 1, 1, 1, 1)]
+    df = spark.createDataFrame(rows, "a int, b int, c int, d int, e int")
+    looked_at, real = [], discovery._measured
+
+    def measured(frame, sets, one_in=1):
+        looked_at.extend(sets)
+        return real(frame, sets, one_in)
+
+    monkeypatch.setattr(discovery, "_measured", measured)
+    got = {r["key"] for r in discovery.discover_keys(df, "t").collect()}
+    want: list[tuple] = []
+    for size in range(1, 6):
+        for s in combinations(range(5), size):
+            if not any(set(k) <= set(s) for k in want):
+                if len({tuple(r[i] for i in s) for r in rows}) == len(rows):
+                    want.append(s)
+    assert got == {",".join("abcde"[i] for i in s) for s in want} != set()
+    assert not [s for s in looked_at if len(s) > 1 and "a" in s]
