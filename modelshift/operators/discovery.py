@@ -361,7 +361,8 @@ def discover_composite_references(
                     tried.append((child, parent, pairs))
         tried.sort()
         level = set()
-        for some in _batches(tried, SETS_PER_SCAN // 2):
+        # Neighbours share sides; a mask has room for both sides of each.
+        for some in _batches(tried, MASK_BITS // 2):
             for x, n in _inclusions(frames, some):
                 level.add(x)
                 child, parent, pairs = x
@@ -374,28 +375,44 @@ def discover_composite_references(
 def _inclusions(
     frames: Mapping[str, DataFrame], tried: Sequence[Inclusion]
 ) -> list[tuple[Inclusion, int]]:
-    """Those of ``tried`` that hold, with the number of the child's tuples."""
-    sides: dict[str, list[Column]] = {}
-    for i, (child, parent, pairs) in enumerate(tried):
-        for entity, side, names in ((child, 1, [c for c, _ in pairs]), (parent, 2, [p for _, p in pairs])):
-            schema = frames[entity].schema
-            values = [P.value(schema, c).cast(_family(P.type_at(schema, c))) for c in names]
-            filled = values[0].isNotNull()
-            for v in values[1:]:
-                filled &= v.isNotNull()
-            a, b = _hashes(values)
-            sides.setdefault(entity, []).append(F.struct(
-                F.lit(i).alias("i"), F.when(filled, F.lit(side)).alias("side"), a.alias("a"), b.alias("b")))
+    """Those of ``tried`` that hold, with the number of the child's tuples.
+
+    A side of several candidates is one tuple of columns, which travels once: each distinct value
+    carries a bit for each tuple of columns that has it, as in :func:`discover_references`.
+    """
+    sides: dict[tuple[str, Columns], int] = {}
+    ends = []
+    for child, parent, pairs in tried:
+        ends.append([
+            sides.setdefault((entity, names), len(sides))
+            for entity, names in ((child, tuple(c for c, _ in pairs)), (parent, tuple(p for _, p in pairs)))])
+    kinds = [tuple(_family(P.type_at(frames[e].schema, c)) for c in names) for e, names in sides]
+    coded: dict[str, list[Column]] = {}
+    for (entity, names), i in sides.items():
+        schema = frames[entity].schema
+        values = [P.value(schema, c).cast(k) for c, k in zip(names, kinds[i])]
+        filled = values[0].isNotNull()
+        for v in values[1:]:
+            filled &= v.isNotNull()
+        a, b = _hashes(values)
+        coded.setdefault(entity, []).append(F.struct(
+            F.when(filled, _bit(i)).alias("held"), a.alias("a"), b.alias("b")))
     rows: DataFrame | None = None
-    for entity, coded in sides.items():
-        one = frames[entity].select(F.inline(F.array(*coded))).where("side is not null")
+    for entity, structs in coded.items():
+        one = frames[entity].select(F.inline(F.array(*structs))).where("held is not null")
         rows = one if rows is None else rows.unionByName(one)
     if rows is None:
         return []
-    tuples = rows.groupBy("i", "a", "b").agg(F.bit_or("side").alias("side"))
-    judged = tuples.groupBy("i").agg(
-        F.count_if(F.col("side") == 1).alias("missing"), F.count_if(F.col("side") != 2).alias("n"))
-    return [(tried[r["i"]], r["n"]) for r in judged.where("missing = 0 and n > 0").collect()]
+    # Tuples of other types may share a hash, but only sides of a candidate are compared.
+    tuples = rows.groupBy("a", "b").agg(F.bit_or("held").alias("held"))
+    counts = []
+    for k, (c, p) in enumerate(ends):
+        mine, theirs = (F.col("held").bitwiseAND(_bit(i)) != 0 for i in (c, p))
+        counts += [F.count_if(mine & ~theirs).alias(f"missing{k}"), F.count_if(mine).alias(f"n{k}")]
+    found = tuples.agg(*counts).first()
+    assert found is not None
+    return [(x, found[f"n{k}"]) for k, x in enumerate(tried)
+            if found[f"missing{k}"] == 0 and found[f"n{k}"] > 0]
 
 
 def proposed_contract(

@@ -147,3 +147,31 @@ def test_sets_with_a_column_of_few_rows_take_no_pass(spark, monkeypatch):
                     want.append(s)
     assert got == {",".join("abcde"[i] for i in s) for s in want} != set()
     assert not [s for s in looked_at if len(s) > 1 and "a" in s]
+
+
+def test_candidates_share_their_sides(spark, monkeypatch):
+    """Columns of equal values make many candidates out of few tuples; a pass takes more than eight."""
+    from modelshift.operators import discovery
+
+    rows = [(i, (i + 1) % 7, (i + 2) % 7) for i in range(7)]
+    frames = {"k": spark.createDataFrame(rows, "a int, b int, c int"),
+              "p": spark.createDataFrame(rows, "x int, y int, z int")}
+    passes, real = [], discovery._inclusions
+
+    def inclusions(frames, tried):
+        passes.append(len(tried))
+        return real(frames, tried)
+
+    monkeypatch.setattr(discovery, "_inclusions", inclusions)
+    got = {(r["child"], r["parent"]) for r in discovery.discover_composite_references(
+        frames, max_size=2).collect()}
+    assert max(passes) > 8
+    sets = {"k": {c: [r[i] for r in rows] for i, c in enumerate("abc")},
+            "p": {c: [r[i] for r in rows] for i, c in enumerate("xyz")}}
+    for one, two in (("k", "p"), ("p", "k")):
+        for c, d in (("ab", "ac") if one == "k" else ("xy", "xz")):
+            for e in sets[two]:
+                for f in sets[two]:
+                    if e != f:
+                        holds = set(zip(sets[one][c], sets[one][d])) <= set(zip(sets[two][e], sets[two][f]))
+                        assert holds == ((f"{one}.{c},{d}", f"{two}.{e},{f}") in got)
