@@ -11,6 +11,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from .common import Columns, map_columns, stored
 
@@ -142,10 +143,14 @@ def learn_lexicon(texts: DataFrame, min_rows: int = 5, min_z: float = 6.0,
 def score_toxicity(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     label_col: str = "toxic", max_train_rows: int = 60_000, trees: int = 40, depth: int = 4,
+    carry: tuple[str, ...] = (),
 ) -> DataFrame:
     """``(id, text_hash, held_out, score)`` for every row of ``docs``; ``score`` is a calibrated
     probability, ``text_hash`` tells rows apart that share an id.
 
+    Columns of ``docs`` named in ``carry`` come along in the struct ``row``, so that a row needs no
+    join with its score; they are stored with the features.
+
     The model reads only features of the whole text. It is fitted on at most ``max_train_rows``
     labels, never on a row whose crc32(id) mod 3 is 1; a quarter of them is kept from the trees
     to fit the isotonic curve. The sample is bounded, so it is broadcast to the documents.
@@ -154,8 +159,8 @@ def score_toxicity(
     rows get equal scores. A null id is never trained on and not held out. If the rows for the trees
     lack one of the two classes, every score is the share of toxic labels (0 without labels).
     """
-    texts = docs.select(F.col(id_col).alias("id"),
-                        F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    texts = docs.select(F.col(id_col).alias("id"), text.alias("text"))
     sample = stored(labelled_sample(labels, id_col, label_col, max_train_rows), "labels")
     learned = learn_lexicon(texts.join(F.broadcast(sample), "id").select("label", "text"))
 
@@ -165,24 +170,34 @@ def score_toxicity(
         taught = frozenset(w.encode() for w in learned)
 
         def run(c: Columns) -> Columns:
-            rows = [features(t, lexicon, taught, second) for t in c["text"]]
+            rows = [features(t or "", lexicon, taught, second) for t in c["text"]]
             return {"id": c["id"], "text_hash": c["text_hash"], **dict(zip(FEATURES, zip(*rows) if rows else [[]] * len(FEATURES)))}
         return run
 
     kind = texts.schema["id"].dataType.simpleString()
     schema = f"id {kind}, text_hash long, " + ", ".join(f"{f} double" for f in FEATURES)
-    hashed = texts.select("id", "text", F.xxhash64("text").alias("text_hash"))
-    rows = stored(map_columns(hashed, schema, prepare), "features")
-    rows = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(rows)
-
-    train = rows.join(F.broadcast(sample), "id").select("id", "label", "features")
+    # A text that is carried travels once, null or not.
+    once = text_col in carry and docs.schema[text_col].dataType == StringType()
+    others = [c for c in carry if not (once and c == text_col)]
+    hashed = docs.select(
+        F.col(id_col).alias("id"), F.xxhash64(text).alias("text_hash"),
+        (F.col(text_col) if once else text).alias("text"),
+        *([F.struct(*others).alias("_row")] if others else []))
+    carried = (*(["text"] if once else []), *(["_row"] if others else []))
+    rows = stored(map_columns(hashed, schema, prepare, carried), "features")
+    row = [F.struct(*[
+        (F.col("text") if c not in others else F.col("_row")[c]).alias(c) for c in carry]).alias("row")] if carry else []
+    # Stored by itself, since the trees go over it many times and need no task for each part of the texts.
+    train = stored(rows.join(F.broadcast(sample), "id").select("id", "label", *FEATURES), "train-features")
+    assembler = VectorAssembler(inputCols=list(FEATURES), outputCol="features")
+    rows, train = assembler.transform(rows), assembler.transform(train).select("id", "label", "features")
     curve = F.pmod(F.xxhash64(F.lit("curve"), "id"), F.lit(4)) == 0
     counts = {(r["curve"], r["label"]): r["count"] for r in
               train.select(curve.alias("curve"), "label").groupBy("curve", "label").count().collect()}
     if not (counts.get((False, 0.0)) and counts.get((False, 1.0))):
         toxic = sum(n for (_, label), n in counts.items() if label)
         share = toxic / max(1, sum(counts.values()))
-        return rows.select("id", "text_hash", held_out("id").alias("held_out"), F.lit(share).alias("score"))
+        return rows.select("id", "text_hash", held_out("id").alias("held_out"), F.lit(share).alias("score"), *row)
     # With too few rows apart, the curve is fitted on all of them.
     for_curve = train.where(curve) if all(counts.get((True, x)) for x in (0.0, 1.0)) else train
     gbt = GBTClassifier(maxIter=trees, maxDepth=depth, stepSize=0.15, subsamplingRate=0.8, seed=17,
@@ -191,9 +206,9 @@ def score_toxicity(
     raw = vector_to_array("rawPrediction")[1]
     isotonic = IsotonicRegression(featuresCol="raw", labelCol="label", predictionCol="score")
     fitted = isotonic.fit(model.transform(for_curve).select(raw.alias("raw"), "label"))
-    scored = model.transform(rows).select("id", "text_hash", raw.alias("raw"))
+    scored = model.transform(rows).select("id", "text_hash", raw.alias("raw"), *row)
     # Between equal steps of the curve the trees still order the texts, by a thousandth at most.
     tie = F.lit(0.001) * (F.lit(1.0) / (F.lit(1.0) + F.exp(-F.col("raw"))))
     score = F.col("score") * 0.999 + tie
     return fitted.transform(scored).select(
-        "id", "text_hash", held_out("id").alias("held_out"), score.alias("score"))
+        "id", "text_hash", held_out("id").alias("held_out"), score.alias("score"), *(["row"] if carry else []))
