@@ -9,14 +9,14 @@ from __future__ import annotations
 from collections.abc import Iterable, Mapping, Sequence
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from modelshift.functions import paths as P
 from modelshift.functions.keys import stable
 from modelshift.operators.rules import Contract, Key, Reference
-from modelshift.session import new_folder
+from modelshift.session import new_folder, settings
 
 #: Column sets measured in one pass over the rows.
 SETS_PER_SCAN = 16
@@ -27,6 +27,10 @@ AGREEMENTS = 10_000
 #: Columns whose equal rows are compared pair by pair: pairs a row on average; rows of a value.
 PAIRS_PER_ROW = 32
 ROWS_OF_A_VALUE = 1_000
+#: What a task of a key search reads and gets, so that its memory does not grow with the table: bytes
+#: of a file or of a joined-up shuffle partition; values of one shuffle partition.
+BYTES_OF_A_TASK = "16m"
+VALUES_OF_A_TASK = 1_000_000
 #: Columns in one mask: the bits of a bigint but for its sign.
 MASK_BITS = 62
 
@@ -156,13 +160,37 @@ def discover_keys(
     collapse before the shuffle. Sets with a column that has few rows to a value (by its counts, up to
     ``ROWS_OF_A_VALUE``, and ``PAIRS_PER_ROW`` on average) take no pass of their own: the pairs of rows
     that agree in the column are compared once, and show for every such set whether it has copies.
+
+    Files are read in parts of ``BYTES_OF_A_TASK`` and the shuffles have more partitions, the more rows
+    there are: a task counts or sorts about ``VALUES_OF_A_TASK`` values at most, in tables of any size.
     """
     names = columns or df.columns
     counts = df.agg(F.count("*").alias("n"), *[
         F.count(P.column(c)).alias(f"c{i}") for i, c in enumerate(names)]).first()
     assert counts is not None
-    n_rows, found = counts["n"], []
+    n_rows = counts["n"]
     filled = [c for i, c in enumerate(names) if n_rows and counts[f"c{i}"] == n_rows]
+    with settings(df.sparkSession, _task_sizes(df.sparkSession, n_rows * len(filled))):
+        found = _minimal_keys(df, filled, n_rows, max_size)
+    return df.sparkSession.createDataFrame(
+        [(entity, ",".join(k), len(k), n_rows) for k in found],
+        "entity string, key string, size int, n_rows bigint")
+
+
+def _task_sizes(spark: SparkSession, values: int) -> dict[str, str]:
+    name = "spark.sql.shuffle.partitions"
+    return {
+        "spark.sql.files.maxPartitionBytes": BYTES_OF_A_TASK,
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": BYTES_OF_A_TASK,
+        name: str(max(int(spark.conf.get(name)), -(-values // VALUES_OF_A_TASK))),
+    }
+
+
+def _minimal_keys(
+    df: DataFrame, filled: Sequence[str], n_rows: int, max_size: int | None
+) -> list[Columns]:
+    """The keys of ``discover_keys``, among columns without nulls."""
+    found: list[Columns] = []
     at = {c: i for i, c in enumerate(filled)}
     #: the most values a set with copies can have
     bound: dict[Columns, int] = {}
@@ -207,9 +235,7 @@ def discover_keys(
                     paired.add(c)
             if any(not paired.intersection(s) for s in level):
                 copies = _largest([*copies, *_agreements(df, [c for c in rest if c not in paired], one_in)])
-    return df.sparkSession.createDataFrame(
-        [(entity, ",".join(k), len(k), n_rows) for k in found],
-        "entity string, key string, size int, n_rows bigint")
+    return found
 
 
 def _wider(sets: Sequence[Columns], at: Mapping[str, int]) -> list[Columns]:
