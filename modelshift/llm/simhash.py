@@ -123,7 +123,8 @@ def fingerprint_links(prints: DataFrame, threshold: int = 2) -> DataFrame:
 
     Every fingerprint goes once to its nearest anchor, and to all anchors that a fingerprint
     within the threshold may have as its nearest. A pair meets at the nearest anchor of the
-    smaller one, and only there.
+    smaller one, and only there. Each fingerprint becomes about 145 rows, which Spark does not
+    see when it sizes the sides; the hint keeps them from being broadcast.
     """
     def prepare():
         anchors = Anchors(threshold)
@@ -140,7 +141,7 @@ def fingerprint_links(prints: DataFrame, threshold: int = 2) -> DataFrame:
     other = spread.select("anchor", F.col("fp").alias("b"))
     near = (F.col("a") < F.col("b")) & (
         F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= threshold)
-    return home.join(other, "anchor").where(near).select("a", "b")
+    return home.hint("merge").join(other.hint("merge"), "anchor").where(near).select("a", "b")
 
 
 def near_duplicates(
