@@ -9,7 +9,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Columns, connected_groups, map_columns, stored
+from .common import WORDS, Columns, connected_groups, in_slots, map_columns, slot_table, stored
 
 SEED = 42
 _SLICE = 1 << 15  # shingles whose bits are counted at once
@@ -118,30 +118,52 @@ class Anchors:
         return row, anchor, over == 0
 
 
+def _anchor_slots(anchors: np.ndarray) -> np.ndarray:
+    x = anchors.view(np.uint64)
+    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
+    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
+    return (x >> np.uint64(38)).astype(np.int64) % (64 * WORDS)
+
+
 def fingerprint_links(prints: DataFrame, threshold: int = 2) -> DataFrame:
     """``(a, b)``: all pairs of distinct fingerprints (column ``fp``) within ``threshold`` bits.
 
     Every fingerprint goes once to its nearest anchor, and to all anchors that a fingerprint
     within the threshold may have as its nearest. A pair meets at the nearest anchor of the
-    smaller one, and only there. Each fingerprint becomes about 145 rows, which Spark does not
-    see when it sizes the sides; the hint keeps them from being broadcast.
+    smaller one, and only there. Of the about 145 anchors of a fingerprint only those leave its
+    task that may be some fingerprint's nearest, by a table of slots; Spark does not see how many
+    rows there are, so a hint keeps it from broadcasting a side.
     """
+    spark = prints.sparkSession
+
+    def prepare_nearest():
+        anchors = Anchors(0)
+
+        def run(c: Columns) -> Columns:
+            fp = np.array(c["fp"], dtype=np.int64)
+            row, anchor, _ = anchors.around(fp)
+            return {"anchor": anchor, "a": fp[row], "slot": _anchor_slots(anchor)}
+        return run
+
+    home = stored(map_columns(prints.select("fp").distinct(), "anchor long, a long, slot long", prepare_nearest),
+                  "anchors")
+    table = spark.sparkContext.broadcast(slot_table(home))  # WORDS numbers
+
     def prepare():
         anchors = Anchors(threshold)
 
         def run(c: Columns) -> Columns:
-            fp = np.array(c["fp"], dtype=np.int64)
-            row, anchor, nearest = anchors.around(fp)
-            return {"anchor": anchor, "fp": fp[row], "nearest": nearest}
+            fp = np.array(c["a"], dtype=np.int64)
+            row, anchor, _ = anchors.around(fp)
+            some = in_slots(table.value, _anchor_slots(anchor))
+            return {"anchor": anchor[some], "b": fp[row[some]]}
         return run
 
-    spread = map_columns(prints.select("fp").distinct(), "anchor long, fp long, nearest boolean",
-                         prepare)
-    home = spread.where("nearest").select("anchor", F.col("fp").alias("a"))
-    other = spread.select("anchor", F.col("fp").alias("b"))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    other = map_columns(home.select("a").repartition(parts, "a"), "anchor long, b long", prepare)
     near = (F.col("a") < F.col("b")) & (
         F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= threshold)
-    return home.hint("merge").join(other.hint("merge"), "anchor").where(near).select("a", "b")
+    return home.select("anchor", "a").hint("merge").join(other.hint("merge"), "anchor").where(near).select("a", "b")
 
 
 def near_duplicates(
